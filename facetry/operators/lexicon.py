@@ -27,7 +27,7 @@ MAX_CATEGORIES = 20_000
 
 def tokens(text: Column) -> Column:
     """Lower-case word tokens."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), "")
 
 
 def category_scores(df: DataFrame, item_id: str, text: str, lexicon: DataFrame) -> DataFrame:
@@ -38,8 +38,9 @@ def category_scores(df: DataFrame, item_id: str, text: str, lexicon: DataFrame)
     of each item were counted, with frequent terms salted.
     """
     terms = stage(lexicon.select("category", F.lower("term").alias("term")).distinct(), "lexicon")
-    found = tokens(F.col(text))
-    words = df.select(item_id, F.size(found).alias("n_tokens"), F.explode(found).alias("term"))
+    # The count is taken below the explode: above it, every token would carry the whole text.
+    split = df.select(item_id, tokens(F.col(text)).alias("_tokens")).withColumn("n_tokens", F.size("_tokens"))
+    words = split.select(item_id, "n_tokens", F.explode("_tokens").alias("term"))
     if fits_broadcast(terms):
         hits = words.join(F.broadcast(terms), "term").withColumn("n", F.lit(1))
     else:

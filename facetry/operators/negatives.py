@@ -87,9 +87,8 @@ def _key_plan(pools: DataFrame, orders: DataFrame, attributes: list[str], k: int
     """Per key: the attribute to avoid, its row range, the draws to expect."""
     widest = F.greatest(*[F.col(f"n_{a}") for a in attributes]) if len(attributes) > 1 else F.col(f"n_{attributes[0]}")
     dominant = F.coalesce(*[F.when(F.col(f"n_{a}") == widest, F.lit(i)) for i, a in enumerate(attributes)])
-    value = F.coalesce(*[F.when(F.col("dominant") == i, F.col(a)) for i, a in enumerate(attributes)])
-    own = F.coalesce(*[F.when(F.col("dominant") == i, F.col(a)) for i, a in enumerate(attributes)])
-    starts = orders.groupBy("dominant", own.alias("_value")).agg(F.min("row_no").alias("lo"))
+    value = F.coalesce(*[F.when(F.col("dominant") == i, F.col(a).cast("string")) for i, a in enumerate(attributes)])
+    starts = orders.groupBy("dominant", value.alias("_value")).agg(F.min("row_no").alias("lo"))
     plan = pools.withColumn("dominant", dominant).withColumn("_value", value).withColumn("width", widest)
     plan = plan.join(starts, ["dominant", "_value"])
     span = F.col("total") - F.col("width")

@@ -48,18 +48,14 @@ def training_rows(
     return stage(labelled.join(grouped.select(item_id, cells.alias("cells")), item_id), "training-rows")
 
 
-@dataclass
-class Shards:
-    """Rows cut to the network's mask, placed for repeated passes."""
+@dataclass(frozen=True)
+class Layout:
+    """How the columns of a shard's batches are read."""
 
-    df: DataFrame
     attributes: list[str]
     slots: int
     mask: int
 
-    def unpersist(self) -> None:
-        self.df.unpersist()
-
     def batches(self, stream: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, dict[str, np.ndarray]]]:
         for batch in stream:
             cells, _ = matrix(batch.column(0))
@@ -68,6 +64,17 @@ class Shards:
                 yield cells.reshape(-1, self.slots, self.mask), labels
 
 
+@dataclass
+class Shards:
+    """Rows cut to the network's mask, placed for repeated passes."""
+
+    df: DataFrame
+    layout: Layout
+
+    def unpersist(self) -> None:
+        self.df.unpersist()
+
+
 def place(rows: DataFrame, attributes: list[str], mask: int, slots: int, item_id: str = "item_id",
           shards: int | None = None, label_suffix: str = "_idx") -> Shards:
     """Shards depend on the rows only, not on the cluster: by default one per 20,000 rows."""
@@ -76,7 +83,7 @@ def place(rows: DataFrame, attributes: list[str], mask: int, slots: int, item_id
     flat = F.flatten(F.transform("cells", lambda v: vectors.trim(v, mask))).alias("cells")
     labels = [F.col(f"{a}{label_suffix}").alias(f"_{a}") for a in attributes]
     spread = rows.repartition(shards, item_id).sortWithinPartitions(item_id).select(flat, *labels)
-    return Shards(spread.persist(StorageLevel.DISK_ONLY), attributes, slots, mask)
+    return Shards(spread.persist(StorageLevel.DISK_ONLY), Layout(attributes, slots, mask))
 
 
 @dataclass
@@ -115,11 +122,11 @@ def _means(names: list[str], sums: np.ndarray) -> dict[str, float]:
 
 def evaluate(shards: Shards, network: Network) -> dict[str, float]:
     """Row means of the losses and accuracies, dropout off."""
-    names = loss_names(shards.attributes)
+    layout, names = shards.layout, loss_names(shards.layout.attributes)
 
     def partial(stream: Iterator[pa.RecordBatch]) -> np.ndarray | None:
         total, seen = np.zeros(len(names)), False
-        for cells, labels in shards.batches(stream):
+        for cells, labels in layout.batches(stream):
             sums, _ = network.losses(cells, labels, slopes=False)
             total, seen = total + [sums[k] for k in names], True
         return total if seen else None
@@ -131,14 +138,14 @@ def evaluate(shards: Shards, network: Network) -> dict[str, float]:
 def train_epoch(shards: Shards, network: Network, state: AdamW, rate: float, decay: float, batch_size: int,
                 epoch: int, seed: int, sync: str = "weights", dropout: bool = True) -> tuple[AdamW, dict[str, float]]:
     """One pass over all rows; the new optimiser state and the row means of the losses."""
-    names = loss_names(shards.attributes)
+    layout, names = shards.layout, loss_names(shards.layout.attributes)
     size = len(state.weights)
 
     def local_steps(stream: Iterator[pa.RecordBatch]) -> np.ndarray | None:
         rng = np.random.default_rng([seed, epoch, TaskContext.get().partitionId()])
         own = AdamW(state.weights, state.first, state.second, state.steps)
         total = np.zeros(len(names))
-        for cells, labels in shards.batches(stream):
+        for cells, labels in layout.batches(stream):
             order = rng.permutation(len(cells))
             for at in range(0, len(order), batch_size):
                 pick = order[at : at + batch_size]
@@ -154,7 +161,7 @@ def train_epoch(shards: Shards, network: Network, state: AdamW, rate: float, dec
     def whole_gradient(stream: Iterator[pa.RecordBatch]) -> np.ndarray | None:
         rng = np.random.default_rng([seed, epoch, TaskContext.get().partitionId()])
         total, gradient = np.zeros(len(names)), np.zeros(size)
-        for cells, labels in shards.batches(stream):
+        for cells, labels in layout.batches(stream):
             for at in range(0, len(cells), 1024):
                 part = slice(at, at + 1024)
                 sums, grad = network.losses(cells[part], {a: v[part] for a, v in labels.items()}, rng if dropout else None)

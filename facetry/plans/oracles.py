@@ -207,8 +207,8 @@ _TWO = f"""{_ITEMS},
 cells AS (SELECT item_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, generate_subscripts(embedding, 1)::INT - 1 AS pos,
                  unnest(embedding)::DOUBLE AS y FROM items),
 xx AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb FROM (SELECT item_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM items)),
-xy AS (SELECT pos, sum(a * y) AS ay, sum(b * y) AS by FROM cells GROUP BY pos),
-fit AS (SELECT pos, (bb * ay - ab * by) / (aa * bb - ab * ab) AS wa, (aa * by - ab * ay) / (aa * bb - ab * ab) AS wb FROM xy, xx),
+xy AS (SELECT pos, sum(a * y) AS ya, sum(b * y) AS yb FROM cells GROUP BY pos),
+fit AS (SELECT pos, (bb * ya - ab * yb) / (aa * bb - ab * ab) AS wa, (aa * yb - ab * ya) / (aa * bb - ab * ab) AS wb FROM xy, xx),
 residuals AS (SELECT item_id, pos::INT AS pos, y, y - a * wa - b * wb AS r FROM cells JOIN fit USING (pos))"""
 SQL["projection_residuals"] = f"WITH {_TWO} SELECT item_id, pos, {_round('r')} AS value FROM residuals"
 SQL["residual_norms"] = f"""WITH {_TWO}
