@@ -31,21 +31,36 @@ def _digest(text_col: str) -> Column:
     return F.sha2(F.col(text_col), 256)
 
 
+def _first_of_text(df: DataFrame, text_col: str, order_col: str) -> DataFrame:
+    """The order value of the first row of each distinct text.
+
+    Only (digest, order) pairs are aggregated, map-side first, so a text held by a third
+    of the rows costs one partial row per task.
+    """
+    return df.groupBy(_digest(text_col).alias("_digest")).agg(F.min(order_col).alias(order_col)).select(order_col)
+
+
 def keep_first(df: DataFrame, text_col: str, order_col: str) -> DataFrame:
     """One row per distinct text, the lowest ``order_col`` (which must be unique).
 
-    Only (digest, order) pairs are aggregated, map-side first, so a text held by a third
-    of the rows costs one partial row per task. The rows themselves join by their unique
-    order value and never meet in a group.
+    The rows join by their unique order value and never meet in a group.
     """
-    keep = df.groupBy(_digest(text_col).alias("_digest")).agg(F.min(order_col).alias(order_col)).select(order_col)
-    return df.join(keep, order_col, "left_semi")
+    return df.join(_first_of_text(df, text_col, order_col), order_col, "left_semi")
+
+
+def _attach_ids(df: DataFrame, kept: DataFrame, order_col: str, prefix: str, name: str) -> DataFrame:
+    """Rows whose order value is in ``kept``, numbered in that order."""
+    ids = with_ordinal(kept, [order_col], "_ordinal")
+    label = F.concat(F.lit(prefix), (F.col("_ordinal") + 1).cast("string")).alias(name)
+    return df.join(ids, order_col).select(*df.columns, label)
 
 
 def assign_ids(df: DataFrame, order_col: str, prefix: str = "W", name: str = "id") -> DataFrame:
-    """``prefix`` + 1-based position in input order."""
-    numbered = with_ordinal(df, [order_col], "_ordinal")
-    return numbered.withColumn(name, F.concat(F.lit(prefix), (F.col("_ordinal") + 1).cast("string"))).drop("_ordinal")
+    """``prefix`` + 1-based position in input order.
+
+    Only the order values are sorted; the rows are shuffled once, to meet their number.
+    """
+    return _attach_ids(df, df.select(order_col), order_col, prefix, name)
 
 
 def clean_items(
@@ -64,8 +79,12 @@ def clean_items(
         df = drop_missing_text(df, text_col)
         if attribute_cols:
             df = drop_missing_attributes(df, attribute_cols)
-    if remove_duplicates and text_col in df.columns:
-        df = keep_first(df, text_col, order_col)
+    distinct = remove_duplicates and text_col in df.columns
+    if distinct and create_id:
+        # One shuffle of the rows drops the duplicates and brings the numbers.
+        return _attach_ids(df, _first_of_text(df, text_col, order_col), order_col, id_prefix, "id")
+    if distinct:
+        return keep_first(df, text_col, order_col)
     return assign_ids(df, order_col, id_prefix) if create_id else df
 
 

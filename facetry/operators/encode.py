@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import time
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -62,7 +63,7 @@ def encode_texts(
 
     Failed texts and vectors whose length is not the common one (``width`` or the most
     frequent) have a null vector and say why. Raises when no text could be encoded.
-    ``concurrency`` sets how many tasks call the encoder at once.
+    ``concurrency`` sets how many tasks call the encoder at once, by default one per core.
     """
     if mode not in CLEANERS:
         raise ValueError(f"unknown mode {mode!r}: use one of {sorted(CLEANERS)}")
@@ -83,8 +84,8 @@ def encode_texts(
     keyed = cleaned.withColumn("digest", F.sha2("text", 256))
     first = keyed.groupBy("digest").agg(F.min(item_id).alias(item_id)).select(item_id)
     unique = keyed.join(first, item_id, "left_semi").select("digest", "text")
-    if concurrency:
-        unique = unique.repartition(concurrency)
+    # Encoding costs far more than moving the texts, so they are dealt out evenly.
+    unique = unique.repartition(concurrency or df.sparkSession.sparkContext.defaultParallelism)
     encoded = stage(unique.mapInPandas(run, "digest string, embedding array<float>, status string"), "encoded")
 
     if width is None:
@@ -125,6 +126,8 @@ class HashingEncoder:
     def __call__(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.width))
         for i, text in enumerate(texts):
-            places = np.array([self._place(t) for t in text.split(" ") if t], dtype=np.int64).reshape(-1, 2)
-            np.add.at(out[i], places[:, 0], places[:, 1])
+            for token, n in Counter(text.split(" ")).items():
+                if token:
+                    bucket, sign = self._place(token)
+                    out[i, bucket] += sign * n
         return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)).astype(np.float32)

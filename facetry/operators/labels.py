@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetry.operators.lookup import attach
+from facetry.operators.lookup import attach, fits_broadcast
 from facetry.operators.ordinals import with_ordinal
 from facetry.session import stage, unpivot
 
@@ -24,6 +24,11 @@ class LabelMapping:
         rows = self.table.groupBy("attribute").count().collect()
         return {r["attribute"]: r["count"] for r in sorted(rows)}
 
+    @cached_property
+    def small(self) -> bool:
+        """Whether all labels together may be broadcast; measured once."""
+        return fits_broadcast(self.table)
+
     def of(self, attribute: str) -> DataFrame:
         return self.table.filter(F.col("attribute") == attribute).select("label", "idx")
 
@@ -44,7 +49,7 @@ class LabelMapping:
             key, idx = f"_label_{attribute}", f"{attribute}_idx"
             known = self.of(attribute).select(F.col("label").alias(key), F.col("idx").alias(idx))
             keyed = df.withColumn(key, F.coalesce(F.col(column).cast("string"), F.lit(null_label)))
-            df = attach(keyed, known, [key], spread_by=spread_by)
+            df = attach(keyed, known, [key], spread_by=spread_by, small=self.small)
             if on_unknown == "error":
                 message = F.concat(F.lit(f"unseen {attribute} label: "), F.col(key))
                 checked = F.when(F.col(idx).isNull(), F.raise_error(message)).otherwise(F.col(idx))
@@ -56,7 +61,7 @@ class LabelMapping:
         """Add ``<attribute>_name`` for each attribute -> class number column pair."""
         for attribute, column in columns.items():
             known = self.of(attribute).select(F.col("label").alias(f"{attribute}_name"), F.col("idx").alias(column))
-            df = attach(df, known, [column], spread_by=spread_by)
+            df = attach(df, known, [column], spread_by=spread_by, small=self.small)
         return df
 
 
@@ -67,7 +72,7 @@ def fit_labels(df: DataFrame, columns: dict[str, str], null_label: str = "") ->
     """
     labels = {a: F.coalesce(F.col(c).cast("string"), F.lit(null_label)) for a, c in columns.items()}
     distinct = unpivot(df, [], labels, "attribute", "label").distinct()
-    numbered = stage(with_ordinal(distinct, ["attribute", "label"], "_ordinal"), "labels")
+    numbered = with_ordinal(distinct, ["attribute", "label"], "_ordinal")
     starts = numbered.groupBy("attribute").agg(F.min("_ordinal").alias("_start"))  # one row per attribute
     idx = (F.col("_ordinal") - F.col("_start")).cast("int").alias("idx")
     return LabelMapping(stage(numbered.join(F.broadcast(starts), "attribute").select("attribute", "label", idx), "labels"))

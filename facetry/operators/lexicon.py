@@ -34,26 +34,26 @@ def category_scores(df: DataFrame, item_id: str, text: str, lexicon: DataFrame)
     """Non-zero scores ``(item_id, category, score)``.
 
     With a lexicon of measured small size, tokens meet it where they are read and only
-    hits, added up map-side, are shuffled. A larger one joins by term after the tokens
-    of each item were counted, with frequent terms salted.
+    lexicon terms, counted map-side per item, are shuffled; categories come after the
+    counting, once per distinct term of an item. A larger lexicon joins by shuffle after
+    the counting, with frequent terms salted.
     """
-    terms = stage(lexicon.select("category", F.lower("term").alias("term")).distinct(), "lexicon")
+    pairs = lexicon.select("category", F.lower("term").alias("term")).distinct()
+    by_term = stage(pairs.groupBy("term").agg(F.collect_set("category").alias("categories")), "lexicon")
     # The count is taken below the explode: above it, every token would carry the whole text.
     split = df.select(item_id, tokens(F.col(text)).alias("_tokens")).withColumn("n_tokens", F.size("_tokens"))
     words = split.select(item_id, "n_tokens", F.explode("_tokens").alias("term"))
-    if fits_broadcast(terms):
-        hits = words.join(F.broadcast(terms), "term").withColumn("n", F.lit(1))
+    small = fits_broadcast(by_term)
+    if small:
+        words = words.join(F.broadcast(by_term.select("term")), "term", "left_semi")
+    counted = words.groupBy(item_id, "n_tokens", "term").agg(F.count("*").alias("n"))
+    if small:
+        known = counted.join(F.broadcast(by_term), "term")
     else:
-        counted = words.groupBy(item_id, "term").agg(F.first("n_tokens").alias("n_tokens"), F.count("*").alias("n"))
-        hits = salted_terms(counted, terms, item_id)
-    return hits.groupBy(item_id, "category").agg((F.sum("n") / F.first("n_tokens")).alias("score"))
-
-
-def salted_terms(counted: DataFrame, terms: DataFrame, item_id: str) -> DataFrame:
-    """Join counted (item, term) rows to their categories; a term's categories travel together."""
-    by_term = terms.groupBy("term").agg(F.collect_set("category").alias("categories"))  # at most MAX_CATEGORIES each
-    joined = salted_join(counted, by_term, ["term"], "inner", item_id)
-    return joined.select(item_id, "n_tokens", "n", F.explode("categories").alias("category"))
+        known = salted_join(counted, by_term, ["term"], "inner", item_id)
+    hits = known.select(item_id, "n_tokens", "n", F.explode("categories").alias("category"))
+    return hits.groupBy(item_id, "n_tokens", "category").agg(F.sum("n").alias("n")).select(
+        item_id, "category", (F.col("n") / F.col("n_tokens")).alias("score"))
 
 
 def category_summary(df: DataFrame, item_id: str, text: str, lexicon: DataFrame) -> DataFrame:

@@ -25,14 +25,15 @@ def attach(
     on: list[str],
     how: str = "left",
     spread_by: str | None = None,
-    broadcast_limit: int = BROADCAST_BYTES,
+    small: bool | None = None,
     hot_rows: int = HOT_KEY_ROWS,
 ) -> DataFrame:
     """Join ``dim`` (unique on ``on``) to ``facts``.
 
     ``spread_by`` is a fact column with many values; it spreads the rows of a hot key.
+    ``small`` is the outcome of ``fits_broadcast`` where the caller has measured already.
     """
-    if fits_broadcast(dim, broadcast_limit):
+    if fits_broadcast(dim) if small is None else small:
         return facts.join(F.broadcast(dim), on, how)
     if spread_by is None:
         return facts.join(dim, on, how)

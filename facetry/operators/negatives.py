@@ -80,7 +80,7 @@ def _row_orders(rows: DataFrame, attributes: list[str]) -> DataFrame:
         rest = [a for a in attributes if a != first]
         numbered = with_ordinal(rows, [first, *rest, "item_id"], "row_no")
         orders.append(numbered.withColumn("dominant", F.lit(i)))
-    return stage(reduce(DataFrame.unionByName, orders), "row-orders")
+    return reduce(DataFrame.unionByName, orders)
 
 
 def _key_plan(pools: DataFrame, orders: DataFrame, attributes: list[str], k: int) -> DataFrame:
@@ -106,7 +106,7 @@ def _draw(anchors: DataFrame, orders: DataFrame, attributes: list[str], k: int,
     A later round repeats the same draws and adds more, so the first k accepted ones,
     and with them the result, do not depend on the number of draws per round.
     """
-    pending, done = anchors.withColumn("draws", F.col("draws")), []
+    pending, done, left = anchors, [], anchors.count()
     rows = orders.select("dominant", "row_no", F.col("item_id").alias("neg_id"), *[F.col(a).alias(f"_{a}") for a in attributes])
     differs = reduce(lambda a, b: a & b, [F.col(a) != F.col(f"_{a}") for a in attributes])
     while True:
@@ -120,11 +120,12 @@ def _draw(anchors: DataFrame, orders: DataFrame, attributes: list[str], k: int,
         picked = found.select("item_id", F.slice(F.array_distinct(order), 1, k).alias("picked"))
         picked = stage(picked.filter(F.size("picked") == k), "negatives")
         done.append(picked)
-        pending = pending.join(picked, "item_id", "left_anti").withColumn("draws", F.col("draws") * 4)
-        pending = stage(pending, "pending")
-        if pending.isEmpty():
+        left -= picked.count()
+        if not left:
             return reduce(DataFrame.unionByName, done).select("item_id", F.posexplode("picked")).select(
                 "item_id", (F.col("pos") + 1).alias("pos"), F.col("col").alias("neg_id"))
+        pending = pending.join(picked, "item_id", "left_anti").withColumn("draws", F.col("draws") * 4)
+        pending = stage(pending, "pending")
 
 
 def _list(anchors: DataFrame, plan: DataFrame, orders: DataFrame, attributes: list[str], k: int, seed: int) -> DataFrame:
@@ -138,12 +139,10 @@ def _list(anchors: DataFrame, plan: DataFrame, orders: DataFrame, attributes: li
     ranges = stage(first.groupBy(*attributes).agg(F.min("row_no").alias("base"), F.count("*").alias("n")), "ranges")
     listed = stage(with_ordinal(plan.filter("path = 'list'").select(*attributes, F.col("n").alias("anchors")),
                                 attributes, "key_no"), "listed")
-    n_listed, pairs = listed.count(), []
-    for start in range(0, n_listed, LIST_CHUNK):
+    pairs = []
+    for start in range(0, listed.count(), LIST_CHUNK):
         chunk = listed.filter((F.col("key_no") >= start) & (F.col("key_no") < start + LIST_CHUNK))
         pairs.append(compatible_keys(chunk, ranges, attributes))
-    if not pairs:
-        return None
     pairs = reduce(DataFrame.unionByName, pairs).join(listed, attributes)
     other = [F.col(f"other_{a}") for a in attributes]
     before = F.sum("n").over(Window.partitionBy("key_no").orderBy(*other)) - F.col("n")
@@ -193,17 +192,21 @@ def sample_negatives(
     # Keys are matched by a shuffle join; adaptive execution broadcasts or splits it by size.
     anchors = stage(valid.join(plan.drop("n"), attributes), "anchors")
 
+    id_type = rows.schema["item_id"].dataType
     slots = F.explode(F.sequence(F.lit(1), F.lit(k))).alias("pos")
+    all_slots = F.explode(F.sequence(F.lit(0), F.lit(k))).alias("pos")
+    used = {r["path"] for r in plan.select("path").distinct().collect()}  # at most three
     parts = [
         valid.select("item_id", F.lit(0).alias("pos"), F.col("item_id").alias("neg_id")),
-        anchors.filter("path = 'none'").select("item_id", slots, F.col("item_id").alias("neg_id")),
-        _draw(anchors.filter("path = 'draw'"), orders, attributes, k, seed),
-        _list(anchors.filter("path = 'list'"), plan, orders, attributes, k, seed),
-        rows.filter("NOT _ok").select(
-            "item_id", F.explode(F.sequence(F.lit(0), F.lit(k))).alias("pos"),
-            F.lit(None).cast(rows.schema["item_id"].dataType).alias("neg_id")),
+        rows.filter("NOT _ok").select("item_id", all_slots, F.lit(None).cast(id_type).alias("neg_id")),
     ]
-    return reduce(DataFrame.unionByName, [p for p in parts if p is not None]).select(
+    if "none" in used:
+        parts.append(anchors.filter("path = 'none'").select("item_id", slots, F.col("item_id").alias("neg_id")))
+    if "draw" in used:
+        parts.append(_draw(anchors.filter("path = 'draw'"), orders, attributes, k, seed))
+    if "list" in used:
+        parts.append(_list(anchors.filter("path = 'list'"), plan, orders, attributes, k, seed))
+    return reduce(DataFrame.unionByName, parts).select(
         F.col("item_id").alias(item_id), F.col("pos").cast("int").alias("pos"), "neg_id")
 
 
