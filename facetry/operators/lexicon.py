@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,30 +31,102 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), "")
 
 
-def category_scores(df: DataFrame, item_id: str, text: str, lexicon: DataFrame) -> DataFrame:
-    """Non-zero scores ``(item_id, category, score)``.
+class Terms:
+    """A small lexicon as arrays: each term with the columns of its categories."""
+
+    def __init__(self, categories: list, rows: list):
+        column = {c: i for i, c in enumerate(categories)}
+        self.width = len(categories)
+        self.terms = pa.array([r["term"] for r in rows], pa.string())
+        lists = [[column[c] for c in r["categories"]] for r in rows]
+        self.starts = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+        self.columns = np.array([c for x in lists for c in x], dtype=np.int64)
+
+    def hits(self, texts: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """Hit counts of a batch of token lists as a dense matrix, and the list lengths."""
+        lengths = np.diff(texts.offsets.to_numpy())
+        found = pc.index_in(texts.flatten(), value_set=self.terms).fill_null(-1).to_numpy()
+        known = found >= 0
+        rows = np.repeat(np.arange(len(texts)), lengths)[known]
+        # Count each distinct term of a text once, then spread the count over its categories.
+        pairs, counts = np.unique(rows * len(self.terms) + found[known], return_counts=True)
+        row, term = np.divmod(pairs, max(len(self.terms), 1))
+        fan = self.starts[term + 1] - self.starts[term]
+        ends = np.cumsum(fan)
+        place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - fan, fan)
+        column = self.columns[np.repeat(self.starts[term], fan) + place]
+        cells = np.repeat(row, fan) * self.width + column
+        dense = np.bincount(cells, weights=np.repeat(counts, fan), minlength=len(texts) * self.width)
+        return dense.reshape(len(texts), self.width), lengths
+
+
+def _sparse_small(df: DataFrame, item_id: str, text: str, terms: Terms) -> DataFrame:
+    """One row per item with its hit columns and scores. Items do not meet, nothing is shuffled."""
+    step = max(1, 4_000_000 // max(terms.width, 1))
 
-    With a lexicon of measured small size, tokens meet it where they are read and only
-    lexicon terms, counted map-side per item, are shuffled; categories come after the
-    counting, once per distinct term of an item. A larger lexicon joins by shuffle after
-    the counting, with frequent terms salted.
-    """
-    pairs = lexicon.select("category", F.lower("term").alias("term")).distinct()
-    by_term = stage(pairs.groupBy("term").agg(F.collect_set("category").alias("categories")), "lexicon")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                dense, lengths = terms.hits(part.column(1))
+                row, column = np.nonzero(dense)
+                scores = dense[row, column] / lengths[row]
+                offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(dense)))]), pa.int32())
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0), pa.ListArray.from_arrays(offsets, pa.array(column, pa.int32())),
+                    pa.ListArray.from_arrays(offsets, pa.array(scores, pa.float64()))], names=[item_id, "cols", "vals"])
+
+    schema = T.StructType([df.schema[item_id], T.StructField("cols", T.ArrayType(T.IntegerType())),
+                           T.StructField("vals", T.ArrayType(T.DoubleType()))])
+    words = F.coalesce(tokens(F.col(text)), F.array().cast("array<string>"))
+    return df.select(item_id, words.alias("_tokens")).mapInArrow(run, schema)
+
+
+def _sparse_large(df: DataFrame, item_id: str, text: str, by_term: DataFrame, columns: DataFrame) -> DataFrame:
+    """The same by joins, for a lexicon too large to travel; frequent terms are salted."""
     # The count is taken below the explode: above it, every token would carry the whole text.
     split = df.select(item_id, tokens(F.col(text)).alias("_tokens")).withColumn("n_tokens", F.size("_tokens"))
     words = split.select(item_id, "n_tokens", F.explode("_tokens").alias("term"))
-    small = fits_broadcast(by_term)
-    if small:
-        words = words.join(F.broadcast(by_term.select("term")), "term", "left_semi")
     counted = words.groupBy(item_id, "n_tokens", "term").agg(F.count("*").alias("n"))
-    if small:
-        known = counted.join(F.broadcast(by_term), "term")
-    else:
-        known = salted_join(counted, by_term, ["term"], "inner", item_id)
+    known = salted_join(counted, by_term, ["term"], "inner", item_id)
     hits = known.select(item_id, "n_tokens", "n", F.explode("categories").alias("category"))
-    return hits.groupBy(item_id, "n_tokens", "category").agg(F.sum("n").alias("n")).select(
-        item_id, "category", (F.col("n") / F.col("n_tokens")).alias("score"))
+    sums = hits.groupBy(item_id, "n_tokens", "category").agg((F.sum("n") / F.col("n_tokens")).alias("score"))
+    placed = sums.join(F.broadcast(columns), "category")  # at most MAX_CATEGORIES rows
+    grouped = placed.groupBy(item_id).agg(F.collect_list(F.struct("column", "score")).alias("hits"))
+    filled = df.select(item_id).join(grouped, item_id, "left")
+    cells = F.coalesce("hits", F.array().cast("array<struct<column:int,score:double>>"))
+    return filled.select(item_id, F.transform(cells, lambda h: h["column"]).alias("cols"), F.transform(cells, lambda h: h["score"]).alias("vals"))
+
+
+def _categories(lexicon: DataFrame) -> tuple[list, DataFrame]:
+    """Sorted category names, and the table ``(category, column)``."""
+    names = [r["category"] for r in lexicon.select("category").distinct().limit(MAX_CATEGORIES + 1).collect()]
+    if len(names) > MAX_CATEGORIES:
+        raise ValueError(f"more than {MAX_CATEGORIES} categories")
+    names = sorted(names)
+    schema = T.StructType([T.StructField("category", lexicon.schema["category"].dataType), T.StructField("column", T.IntegerType())])
+    return names, lexicon.sparkSession.createDataFrame(list(zip(names, range(len(names)))), schema)
+
+
+def sparse_scores(df: DataFrame, item_id: str, text: str, lexicon: DataFrame) -> tuple[DataFrame, list, DataFrame]:
+    """``(item_id, cols, vals)`` for every item, the category names and their table.
+
+    With a lexicon of measured small size this is a single pass over the texts.
+    """
+    names, columns = _categories(lexicon)
+    pairs = lexicon.select("category", F.lower("term").alias("term")).distinct()
+    by_term = stage(pairs.groupBy("term").agg(F.collect_set("category").alias("categories")), "lexicon")
+    if fits_broadcast(by_term):
+        return _sparse_small(df, item_id, text, Terms(names, by_term.collect())), names, columns
+    return _sparse_large(df, item_id, text, by_term, columns), names, columns
+
+
+def category_scores(df: DataFrame, item_id: str, text: str, lexicon: DataFrame) -> DataFrame:
+    """Non-zero scores ``(item_id, category, score)``."""
+    sparse, _, columns = sparse_scores(df, item_id, text, lexicon)
+    cells = sparse.select(item_id, F.explode(F.arrays_zip("cols", "vals")).alias("c"))
+    flat = cells.select(item_id, F.col("c.cols").alias("column"), F.col("c.vals").alias("score"))
+    return flat.join(F.broadcast(columns), "column").select(item_id, "category", "score")  # at most MAX_CATEGORIES rows
 
 
 def category_summary(df: DataFrame, item_id: str, text: str, lexicon: DataFrame) -> DataFrame:
@@ -97,13 +170,6 @@ class LexiconControls:
         }
 
 
-def _sparse(scores: DataFrame, item_id: str, columns: DataFrame) -> DataFrame:
-    """One row per item with its hit columns and scores; at most one entry per category."""
-    hits = scores.join(F.broadcast(columns), "category")  # one row per category, counted before
-    return hits.groupBy(item_id).agg(F.collect_list(F.struct("column", "score")).alias("hits")).select(
-        item_id, F.transform("hits", lambda h: h["column"]).alias("cols"), F.transform("hits", lambda h: h["score"]).alias("vals"))
-
-
 def _fill(batch: pa.RecordBatch, width: int) -> np.ndarray:
     cols, vals = batch.column(batch.schema.get_field_index("cols")), batch.column(batch.schema.get_field_index("vals"))
     dense = np.zeros((batch.num_rows, width))
@@ -137,17 +203,11 @@ def lexicon_controls(
 
     Items without a hit, empty texts included, have an all-zero row and so zero controls.
     """
-    names = [r["category"] for r in lexicon.select("category").distinct().limit(MAX_CATEGORIES + 1).collect()]
-    if len(names) > MAX_CATEGORIES:
-        raise ValueError(f"more than {MAX_CATEGORIES} categories")
-    names, width = sorted(names), len(names)
+    sparse, names, _ = sparse_scores(df, item_id, text, lexicon)
+    width = len(names)
     if n_components > width:
         raise ValueError(f"n_components ({n_components}) exceeds the number of categories ({width})")
-    spark = df.sparkSession
-    columns = spark.createDataFrame(
-        list(zip(names, range(width))),
-        T.StructType([T.StructField("category", lexicon.schema["category"].dataType), T.StructField("column", T.IntegerType())]))
-    sparse = stage(_sparse(category_scores(df, item_id, text, lexicon), item_id, columns), "lexicon-scores")
+    sparse = stage(sparse, "lexicon-scores")
     g = _moments(sparse, width)
     counts = count_empty(df, text).first()
     n = counts.n_items
@@ -168,7 +228,4 @@ def lexicon_controls(
 
     id_type = df.schema[item_id].dataType
     schema = T.StructType([T.StructField(item_id, id_type), T.StructField("controls", T.ArrayType(T.DoubleType()))])
-    hit = sparse.select(item_id, "cols", "vals").mapInArrow(run, schema)
-    zero = F.array_repeat(F.lit(0.0), len(spec.values))
-    return df.select(item_id).join(hit, item_id, "left").select(item_id, F.coalesce("controls", zero).alias("controls")), fit
-
+    return sparse.select(item_id, "cols", "vals").mapInArrow(run, schema), fit

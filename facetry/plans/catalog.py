@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Callable
-from functools import partial, reduce
+from functools import partial, reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ from facetry.operators.training import evaluate, history_frame, place, train_net
 from facetry.plans.baseline import run_baseline
 from facetry.plans.estimator import FacetModel, classification_metrics
 from facetry.plans.settings import Settings
-from facetry.session import scratch_path, stage
+from facetry.session import scratch_path, ship_package, stage
 from facetry.sources import readers, writers
 from facetry.streaming.scoring import score_rows, write_scores
 
@@ -28,8 +28,13 @@ ATTRIBUTES = {"lang": "lang", "label": "label"}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship_package(spark)
+        return fn(spark, folder)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -9,6 +11,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make the package importable in Python workers, once per Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_facetry_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="facetry-package-"), "facetry")
+    context.addPyFile(shutil.make_archive(archive, "zip", root, "facetry"))
+    context._facetry_shipped = True
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables, as the session names it.
 

@@ -60,7 +60,7 @@ def main() -> None:
     folder = f"/root/testdata/sf{sys.argv[1]}"
     names = sys.argv[2:] or list(QUERIES)
     spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
-             .config("spark.ui.enabled", "false").config("spark.driver.memory", "8g").getOrCreate())
+             .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = connect(folder), []
     for name in names:
