@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def valid(vector: Column, width: int | None = None) -> Column:
-    """Present, of the expected width and free of NaN. Infinities pass."""
-    ok = vector.isNotNull() & ~F.exists(vector, F.isnan)
+    """Present, of the expected width and free of NaN and nulls. Infinities pass."""
+    ok = vector.isNotNull() & ~F.exists(vector, lambda x: F.isnan(x) | x.isNull())
     if width is not None:
         ok = ok & (F.size(vector) == width)
     return F.coalesce(ok, F.lit(False))

@@ -133,7 +133,7 @@ def category_summary(df: DataFrame, item_id: str, text: str, lexicon: DataFrame)
     """Per category the mean and population deviation of the score over all items."""
     scores = category_scores(df, item_id, text, lexicon)
     sums = scores.groupBy("category").agg(F.sum("score").alias("s"), F.sum(F.col("score") * F.col("score")).alias("ss"))
-    n = df.agg(F.count("*").alias("n_items"))  # one row
+    n = df.agg(F.nullif(F.count("*"), F.lit(0)).alias("n_items"))  # one row
     all_categories = lexicon.select("category").distinct()
     mean = F.coalesce("s", F.lit(0.0)) / F.col("n_items")
     variance = F.coalesce("ss", F.lit(0.0)) / F.col("n_items") - mean * mean

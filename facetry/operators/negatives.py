@@ -92,8 +92,8 @@ def _key_plan(pools: DataFrame, orders: DataFrame, attributes: list[str], k: int
     plan = pools.withColumn("dominant", dominant).withColumn("_value", value).withColumn("width", widest)
     plan = plan.join(starts, ["dominant", "_value"])
     span = F.col("total") - F.col("width")
-    accept = F.col("pool") / span
-    draws = F.ceil(1.2 * k / accept).cast("int") + 8
+    accept = F.try_divide("pool", span)  # null where one value covers all rows: an empty pool
+    draws = F.ceil(F.try_divide(F.lit(1.2 * k), accept)).cast("int") + 8
     listed = (F.col("pool") > 0) & ((F.col("pool") < 4 * k) | (accept < MIN_ACCEPTANCE))
     path = F.when(F.col("pool") == 0, "none").when(listed, "list").otherwise("draw")
     return stage(plan.select(*attributes, "n", "pool", "dominant", "lo", "width", span.alias("span"),
