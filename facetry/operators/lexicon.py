@@ -188,12 +188,7 @@ def _moments(sparse: DataFrame, width: int) -> Gram:
             n, sums, cross = n + len(dense), sums + dense.sum(axis=0), cross + dense.T @ dense
         return np.concatenate([[n], sums, cross[upper]]) if n else None
 
-    flat = sum_over(sparse.select("cols", "vals"), partial)
-    cross = np.zeros((width, width))
-    if flat is None:
-        return Gram(0, np.zeros(width), cross)
-    cross[upper] = flat[1 + width :]
-    return Gram(int(flat[0]), flat[1 : 1 + width], cross + np.triu(cross, 1).T)
+    return Gram.from_flat(sum_over(sparse.select("cols", "vals"), partial), width)
 
 
 def lexicon_controls(

@@ -73,31 +73,40 @@ def brute_force_pool(items: DataFrame, item_id: str, anchor, attributes: list[st
     return items.join(F.broadcast(one), differs).select(item_id)  # one row is broadcast
 
 
-def _row_orders(rows: DataFrame, attributes: list[str]) -> DataFrame:
-    """Row numbers in one sorted order per attribute: ``(dominant, row_no, item_id, attributes)``."""
+def _key_plan(valid: DataFrame, attributes: list[str], k: int) -> DataFrame:
+    """Per key: its pool, the attribute whose value to avoid, the draws to expect, the way to draw."""
+    pools = pool_sizes(valid, attributes)
+    counts = [F.col(f"n_{a}") for a in attributes]
+    width = F.greatest(*counts) if len(counts) > 1 else counts[0]
+    dominant = F.coalesce(*[F.when(n == width, F.lit(i)) for i, n in enumerate(counts)])
+    span = F.col("total") - F.col("width")
+    accept = F.try_divide("pool", span)  # null where one value covers all rows: an empty pool
+    draws = F.ceil(F.try_divide(F.lit(1.2 * k), accept)).cast("int") + 8
+    listed = (F.col("pool") > 0) & ((F.col("pool") < 4 * k) | (accept < MIN_ACCEPTANCE))
+    path = F.when(F.col("pool") == 0, "none").when(listed, "list").otherwise("draw")
+    return stage(pools.withColumn("width", width).select(
+        *attributes, "n", "pool", dominant.alias("dominant"), "width", span.alias("span"), draws.alias("draws"), path.alias("path")), "key-plan")
+
+
+def _row_orders(valid: DataFrame, attributes: list[str], needed: list[int]) -> DataFrame:
+    """Row numbers in one sorted order per needed attribute: ``(dominant, row_no, item_id, attributes)``."""
     orders = []
-    for i, first in enumerate(attributes):
-        rest = [a for a in attributes if a != first]
-        numbered = with_ordinal(rows, [first, *rest, "item_id"], "row_no")
+    for i in needed:
+        rest = [a for a in attributes if a != attributes[i]]
+        numbered = with_ordinal(valid, [attributes[i], *rest, "item_id"], "row_no")
         orders.append(numbered.withColumn("dominant", F.lit(i)))
     return reduce(DataFrame.unionByName, orders)
 
 
-def _key_plan(pools: DataFrame, orders: DataFrame, attributes: list[str], k: int) -> DataFrame:
-    """Per key: the attribute to avoid, its row range, the draws to expect."""
-    widest = F.greatest(*[F.col(f"n_{a}") for a in attributes]) if len(attributes) > 1 else F.col(f"n_{attributes[0]}")
-    dominant = F.coalesce(*[F.when(F.col(f"n_{a}") == widest, F.lit(i)) for i, a in enumerate(attributes)])
+def _anchors(valid: DataFrame, plan: DataFrame, orders: DataFrame, attributes: list[str]) -> DataFrame:
+    """Valid items with the plan of their key and the start of the row range to avoid.
+
+    Keys are matched by a shuffle join; adaptive execution broadcasts or splits it by size.
+    """
     value = F.coalesce(*[F.when(F.col("dominant") == i, F.col(a).cast("string")) for i, a in enumerate(attributes)])
     starts = orders.groupBy("dominant", value.alias("_value")).agg(F.min("row_no").alias("lo"))
-    plan = pools.withColumn("dominant", dominant).withColumn("_value", value).withColumn("width", widest)
-    plan = plan.join(starts, ["dominant", "_value"])
-    span = F.col("total") - F.col("width")
-    accept = F.try_divide("pool", span)  # null where one value covers all rows: an empty pool
-    draws = F.ceil(F.try_divide(F.lit(1.2 * k), accept)).cast("int") + 8
-    listed = (F.col("pool") > 0) & ((F.col("pool") < 4 * k) | (accept < MIN_ACCEPTANCE))
-    path = F.when(F.col("pool") == 0, "none").when(listed, "list").otherwise("draw")
-    return stage(plan.select(*attributes, "n", "pool", "dominant", "lo", "width", span.alias("span"),
-                             draws.alias("draws"), path.alias("path")), "key-plan")
+    ready = plan.withColumn("_value", value).join(starts, ["dominant", "_value"]).drop("_value", "n")
+    return stage(valid.join(ready, attributes), "anchors")
 
 
 def _draw(anchors: DataFrame, orders: DataFrame, attributes: list[str], k: int, seed: int) -> DataFrame:
@@ -128,14 +137,15 @@ def _draw(anchors: DataFrame, orders: DataFrame, attributes: list[str], k: int,
         pending = stage(pending, "pending")
 
 
-def _list(anchors: DataFrame, plan: DataFrame, orders: DataFrame, attributes: list[str], k: int, seed: int) -> DataFrame:
+def _list(anchors: DataFrame, plan: DataFrame, orders: DataFrame, attributes: list[str], k: int, seed: int, one: int) -> DataFrame:
     """Draws of positions in the exact pool, for the keys that need it.
 
     The pool of a key is the row ranges of its compatible keys laid end to end. Which
     range holds a drawn position is a last-value-before lookup: range starts and draws
-    are sorted together. Keys with many anchors are spread over several salts.
+    are sorted together. Keys with many anchors are spread over several salts. ``one``
+    names a row order; any will do, all keep the rows of a key together.
     """
-    first = orders.filter("dominant = 0")
+    first = orders.filter(F.col("dominant") == one)
     ranges = stage(first.groupBy(*attributes).agg(F.min("row_no").alias("base"), F.count("*").alias("n")), "ranges")
     listed = stage(with_ordinal(plan.filter("path = 'list'").select(*attributes, F.col("n").alias("anchors")),
                                 attributes, "key_no"), "listed")
@@ -187,15 +197,17 @@ def sample_negatives(
     ok = vectors.valid(F.col(vector)) if vector else F.lit(True)
     rows = stage(items.select(F.col(item_id).alias("item_id"), *attributes, ok.alias("_ok")), "items")
     valid = rows.filter("_ok").drop("_ok")
-    orders = _row_orders(valid, attributes)
-    plan = _key_plan(pool_sizes(valid, attributes), orders, attributes, k)
-    # Keys are matched by a shuffle join; adaptive execution broadcasts or splits it by size.
-    anchors = stage(valid.join(plan.drop("n"), attributes), "anchors")
+    plan = _key_plan(valid, attributes, k)
+    ways = plan.select("dominant", "path").distinct().collect()  # at most three per attribute
+    needed, used = sorted({r["dominant"] for r in ways}), {r["path"] for r in ways}
+    if not needed:
+        needed = [0]
+    orders = _row_orders(valid, attributes, needed)
+    anchors = _anchors(valid, plan, orders, attributes)
 
     id_type = rows.schema["item_id"].dataType
     slots = F.explode(F.sequence(F.lit(1), F.lit(k))).alias("pos")
     all_slots = F.explode(F.sequence(F.lit(0), F.lit(k))).alias("pos")
-    used = {r["path"] for r in plan.select("path").distinct().collect()}  # at most three
     parts = [
         valid.select("item_id", F.lit(0).alias("pos"), F.col("item_id").alias("neg_id")),
         rows.filter("NOT _ok").select("item_id", all_slots, F.lit(None).cast(id_type).alias("neg_id")),
@@ -205,7 +217,7 @@ def sample_negatives(
     if "draw" in used:
         parts.append(_draw(anchors.filter("path = 'draw'"), orders, attributes, k, seed))
     if "list" in used:
-        parts.append(_list(anchors.filter("path = 'list'"), plan, orders, attributes, k, seed))
+        parts.append(_list(anchors.filter("path = 'list'"), plan, orders, attributes, k, seed, needed[0]))
     return reduce(DataFrame.unionByName, parts).select(
         F.col("item_id").alias(item_id), F.col("pos").cast("int").alias("pos"), "neg_id")
 

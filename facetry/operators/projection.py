@@ -29,6 +29,15 @@ class Gram:
     sums: np.ndarray
     cross: np.ndarray
 
+    @classmethod
+    def from_flat(cls, flat: np.ndarray | None, width: int) -> Gram:
+        """From count, sums and upper triangle laid end to end; None counts as no rows."""
+        cross = np.zeros((width, width))
+        if flat is None:
+            return cls(0, np.zeros(width), cross)
+        cross[np.triu_indices(width)] = flat[1 + width :]
+        return cls(int(flat[0]), flat[1 : 1 + width], cross + np.triu(cross, 1).T)
+
 
 def gram(df: DataFrame, vector: Column | str, width: int) -> Gram:
     """One pass; each task adds up its rows batch by batch, in double. Null rows are skipped."""
@@ -45,12 +54,7 @@ def gram(df: DataFrame, vector: Column | str, width: int) -> Gram:
                 cross += rows.T @ rows
         return np.concatenate([[n], sums, cross[upper]]) if n else None
 
-    flat = sum_over(df.select(column.alias("v")), partial)
-    if flat is None:
-        return Gram(0, np.zeros(width), np.zeros((width, width)))
-    cross = np.zeros((width, width))
-    cross[upper] = flat[1 + width :]
-    return Gram(int(flat[0]), flat[1 : 1 + width], cross + np.triu(cross, 1).T)
+    return Gram.from_flat(sum_over(df.select(column.alias("v")), partial), width)
 
 
 def gram_frame(spark: SparkSession, g: Gram) -> DataFrame:

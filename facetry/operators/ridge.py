@@ -16,7 +16,7 @@ from facetry.functions import vectors
 from facetry.operators.arrow import list_array, matrix
 from facetry.operators.blocks import sum_over
 from facetry.operators.labels import LabelMapping, fit_labels
-from facetry.operators.projection import Gram, Spectrum, gram, spectrum
+from facetry.operators.projection import Gram, Spectrum, spectrum
 from facetry.session import stage
 
 MAX_DENSE_LABELS = 10_000
@@ -41,20 +41,28 @@ def design_pairs(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return out
 
 
-def label_sums(df: DataFrame, idx: str, vector: str, width: int, classes: int) -> np.ndarray:
-    """Vector sums per class: each task adds its rows into one (classes x width) matrix."""
+def sums_by_label(df: DataFrame, idx: list[str], sizes: list[int], vector: str, width: int) -> tuple[Gram, np.ndarray]:
+    """Gram sums of the vectors and their sums per label, attributes stacked, in one pass."""
+    upper, p = np.triu_indices(width), sum(sizes)
+    offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(int)
 
-    def partial(batches):
-        total, seen = np.zeros((classes, width)), False
+    def partial(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
+        n, cross, by_label, sums = 0, np.zeros((width, width)), np.zeros((p, width)), np.zeros(width)
         for batch in batches:
-            rows, _ = matrix(batch.column(1))
+            rows, _ = matrix(batch.column(len(idx)))
             if len(rows):
-                seen = True
-                np.add.at(total, batch.column(0).to_numpy(), rows)
-        return total.ravel() if seen else None
+                n += len(rows)
+                sums += rows.sum(axis=0)
+                cross += rows.T @ rows
+                for i, at in enumerate(offsets):
+                    np.add.at(by_label, at + batch.column(i).to_numpy(), rows)
+        return np.concatenate([[n], sums, cross[upper], by_label.ravel()]) if n else None
 
-    flat = sum_over(df.select(idx, vector), partial)
-    return flat.reshape(classes, width)
+    flat = sum_over(df.select(*idx, vector), partial)
+    if flat is None:
+        raise ValueError("no valid vectors")
+    triangle = len(upper[0])
+    return Gram.from_flat(flat[: 1 + width + triangle], width), flat[1 + width + triangle :].reshape(p, width)
 
 
 @dataclass
@@ -86,7 +94,9 @@ class Ridge:
         return spark.createDataFrame(rows, "attribute string, idx int, coefficients array<double>")
 
     def score(self, df: DataFrame, columns: dict[str, str], vector: str, spread_by: str | None = None) -> DataFrame:
-        """Add ``fitted``, ``residual`` and the SVD scores ``nuisance``; null for invalid vectors.
+        """Add ``fitted``, ``residual`` and the SVD scores ``nuisance``.
+
+        They are null for invalid vectors and for labels without a coefficient.
 
         The coefficients, at most MAX_DENSE_LABELS rows, travel with the function, so
         the pass joins nothing but the label numbers.
@@ -94,8 +104,11 @@ class Ridge:
         width, attributes = len(self.intercept), self.attributes
         offsets = np.concatenate([[0], np.cumsum([self.sizes[a] for a in attributes])[:-1]]).astype(int)
         weights, intercept, loadings = self.coefficients, self.intercept, self.spectrum.loadings
-        encoded = self.mapping.transform(df, {a: columns[a] for a in attributes}, spread_by=spread_by)
-        encoded = encoded.withColumn("_ok", vectors.valid(F.col(vector), width))
+        encoded = self.mapping.transform(df, {a: columns[a] for a in attributes}, on_unknown="null", spread_by=spread_by)
+        ok = vectors.valid(F.col(vector), width)
+        for a in attributes:
+            ok = ok & F.col(f"{a}_idx").isNotNull()
+        encoded = encoded.withColumn("_ok", ok)
         names, added = df.columns, ["fitted", "residual", "nuisance"]
         schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.ArrayType(T.DoubleType())) for n in added]])
 
@@ -126,8 +139,7 @@ def fit_ridge(
 ) -> Ridge:
     """Ridge with an unpenalised intercept on the one-hot labels of all attributes.
 
-    Pair counts give D'D, per-label vector sums D'Y, one Gram pass Y'Y. Everything after
-    is algebra on matrices as wide as the labels and the vectors: the fit, the residual
+    Pair counts give D'D; one pass over the vectors gives D'Y and Y'Y. Everything after is algebra on matrices as wide as the labels and the vectors: the fit, the residual
     crossproduct and its eigenvectors.
     """
     attributes = list(columns)
@@ -145,8 +157,7 @@ def fit_ridge(
     for r in design_pairs(encoded, {a: f"{a}_idx" for a in attributes}).collect():
         i, j = offsets[r["attribute_i"]] + int(r["label_i"]), offsets[r["attribute_j"]] + int(r["label_j"])
         dd[i, j] = dd[j, i] = r["n"]
-    dy = np.vstack([label_sums(encoded, f"{a}_idx", vector, width, n) for a, n in zip(attributes, sizes)])
-    g = gram(rows, vector, width)
+    g, dy = sums_by_label(encoded, [f"{a}_idx" for a in attributes], sizes, vector, width)
     return _solve(mapping, attributes, alpha, n_nuisance_dims, dd, dy, g)
 
 

@@ -91,6 +91,8 @@ def test_ridge_against_dense(spark):
     assert np.allclose(fit.spectrum.values, s)
     scores = np.array([r.nuisance for r in sorted(scored, key=lambda r: r.item_id)])
     assert np.allclose(fit.explained_variance_ratio, scores.var(0) / residual.var(0).sum())
+    odd = spark.createDataFrame([(0, "0", "0", None), (1, "new", "0", y[0].tolist())], "item_id long, a string, b string, v array<double>")
+    assert all(r.fitted is None and r.nuisance is None for r in fit.score(odd, {"a": "a", "b": "b"}, "v").collect())
     assert fit.sizes == {"a": 4, "b": 6} and fit.coefficient_frame(spark).count() == 10
 
 

@@ -85,8 +85,8 @@ def test_listed_keys_with_many_salts_and_chunks(spark, monkeypatch):
 def test_more_rounds_give_the_same_table(spark, monkeypatch):
     df = items(spark, mixed(200))
     plain = sorted(neg.sample_negatives(df, ["a", "b"]).collect())
-    few = neg._key_plan
-    monkeypatch.setattr(neg, "_key_plan", lambda *a: few(*a).withColumn("draws", F.lit(10)))
+    plan = neg._key_plan
+    monkeypatch.setattr(neg, "_key_plan", lambda *a: plan(*a).withColumn("draws", F.lit(10)))
     assert sorted(neg.sample_negatives(df.repartition(7), ["a", "b"]).collect()) == plain
 
 
