@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -20,10 +19,20 @@ FAN_IN = 64
 SCHEMA = "part long, block int, data binary"
 
 
-def to_blocks(flat: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    step = BLOCK_BYTES // 8
-    for block, at in enumerate(range(0, len(flat), step)):
-        yield block, np.ascontiguousarray(flat[at : at + step], dtype=np.float64).tobytes()
+def _batch(part: int, block: int, data: bytes) -> pa.RecordBatch:
+    columns = [pa.array([part], pa.int64()), pa.array([block], pa.int32()), pa.array([data], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["part", "block", "data"])
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sum equal (part, block) entries of a task."""
+    totals: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        for part, block, data in zip(*(column.to_pylist() for column in batch.columns)):
+            found = totals.get((part, block))
+            totals[part, block] = np.frombuffer(data) + (0 if found is None else found)
+    for (part, block), total in totals.items():
+        yield _batch(part, block, total.tobytes())
 
 
 def sum_over(df: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None], merge_splits: bool = True) -> np.ndarray | None:
@@ -33,26 +42,20 @@ def sum_over(df: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], np.nda
     partial, whatever the number of rows. Merging input splits down to a few per core
     keeps the number of partials in line with the cluster and moves no rows.
     """
+    limit = 2 * df.sparkSession.sparkContext.defaultParallelism
     if merge_splits:
-        df = df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+        df = df.coalesce(limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = partial(batches)
-        part = TaskContext.get().partitionId()
-        for block, data in to_blocks(flat) if flat is not None else ():
-            yield pa.record_batch({
-                "part": pa.array([part], pa.int64()), "block": pa.array([block], pa.int32()),
-                "data": pa.array([data], pa.binary())})
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(len(pdf["data"].iloc[0]) // 8)
-        for data in pdf["data"]:
-            total += np.frombuffer(data)
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "block": [pdf["block"].iloc[0]], "data": [total.tobytes()]})
-
-    partials = df.mapInArrow(run, SCHEMA).withColumn("part", F.floor(F.col("part") / FAN_IN))
-    some = partials.groupBy("part", "block").applyInPandas(add, SCHEMA)
-    rows = some.groupBy("block").applyInPandas(add, SCHEMA).collect()
+        part, step = TaskContext.get().partitionId(), BLOCK_BYTES // 8
+        for at in range(0, 0 if flat is None else len(flat), step):
+            yield _batch(part // FAN_IN, at // step, np.ascontiguousarray(flat[at : at + step], dtype=np.float64).tobytes())
+
+    partials = df.mapInArrow(run, SCHEMA)
+    if limit > FAN_IN or not merge_splits:
+        partials = partials.repartition("part", "block").mapInArrow(_add, SCHEMA)
+    rows = partials.withColumn("part", F.lit(0).cast("long")).repartition("block").mapInArrow(_add, SCHEMA).collect()
     if not rows:
         return None
     return np.concatenate([np.frombuffer(r["data"]) for r in sorted(rows, key=lambda r: r["block"])])

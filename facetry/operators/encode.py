@@ -11,7 +11,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,16 +69,17 @@ def encode_texts(
         raise ValueError(f"unknown mode {mode!r}: use one of {sorted(CLEANERS)}")
     size = batch_size or BATCH_SIZE[mode]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = make_encoder()
-        for pdf in frames:
-            for at in range(0, len(pdf), size):
-                part = pdf.iloc[at : at + size]
-                vectors, status = encode_batch(encoder, part["text"].tolist(), retryable, max_retries, initial_delay)
-                out = [None] * len(part) if vectors is None else [
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                vectors, status = encode_batch(encoder, part.column(1).to_pylist(), retryable, max_retries, initial_delay)
+                out = [None] * part.num_rows if vectors is None else [
                     None if v is None or len(v) == 0 else np.asarray(v, dtype=np.float32) for v in vectors]
                 state = [status if vectors is None else "ok" if v is not None else "empty" for v in out]
-                yield pd.DataFrame({"digest": part["digest"].to_numpy(), "embedding": out, "status": state})
+                columns = [part.column(0), pa.array(out, pa.list_(pa.float32())), pa.array(state, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["digest", "embedding", "status"])
 
     cleaned = df.select(F.col(item_id), CLEANERS[mode](F.col(text)).alias("text"))
     keyed = cleaned.withColumn("digest", F.sha2("text", 256))
@@ -86,7 +87,7 @@ def encode_texts(
     unique = keyed.join(first, item_id, "left_semi").select("digest", "text")
     # Encoding costs far more than moving the texts, so they are dealt out evenly.
     unique = unique.repartition(concurrency or df.sparkSession.sparkContext.defaultParallelism)
-    encoded = stage(unique.mapInPandas(run, "digest string, embedding array<float>, status string"), "encoded")
+    encoded = stage(unique.mapInArrow(run, "digest string, embedding array<float>, status string"), "encoded")
 
     if width is None:
         common = encoded.filter("status = 'ok'").groupBy(F.size("embedding").alias("w")).count()

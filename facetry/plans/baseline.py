@@ -11,7 +11,7 @@ from facetry.functions.text import COMPOSITE_SEPARATOR
 from facetry.operators.clean import add_composite, align, clean_items
 from facetry.operators.projection import vector_width
 from facetry.operators.ridge import Ridge, fit_ridge
-from facetry.session import ship_package, stage
+from facetry.session import clear_scratch, ship_package, stage
 from facetry.sources.readers import load_items, load_vectors
 from facetry.sources.writers import save_json, save_table
 
@@ -63,6 +63,7 @@ def main(argv: list[str] | None = None) -> int:
     ship_package(spark)
     run_baseline(load_items(spark, a.data), load_vectors(spark, a.embeddings), a.id_col, a.description_col,
                  a.composite, a.plain, a.output_dir, a.alpha, a.n_nuisance_dims)
+    clear_scratch(spark)
     return 0
 
 

@@ -38,7 +38,20 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    if not hasattr(context, "_facetry_run"):
+        context._facetry_run = f"{scratch_root(spark)}/facetry-{uuid.uuid4().hex}"
+    return f"{context._facetry_run}/{tag}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; tables built on them are then gone too."""
+    context = spark.sparkContext
+    run = getattr(context, "_facetry_run", None)
+    if run:
+        where = context._jvm.org.apache.hadoop.fs.Path(run)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+        del context._facetry_run
 
 
 def stage(df: DataFrame, tag: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -161,3 +162,26 @@ def test_readers(spark, tmp_path):
     with pytest.raises(ValueError):
         readers.load_labels(spark, str(tmp_path / "v"))
     assert json.dumps(readers.read_json(spark, writers.save_json(spark, {"é": [1]}, str(tmp_path / "j")))) == json.dumps({"é": [1]})
+
+
+def test_scratch_folder_follows_the_session(spark):
+    import os
+
+    from facetry.session import clear_scratch, scratch_root, stage
+
+    stage(spark.range(3), "probe")
+    run = spark.sparkContext._facetry_run
+    assert run.startswith(scratch_root(spark))
+    # On its own run folder only: other tests keep theirs.
+    del spark.sparkContext._facetry_run
+    probe = stage(spark.range(3), "probe")
+    assert probe.count() == 3
+    own = spark.sparkContext._facetry_run.removeprefix("file:")
+    assert os.path.isdir(own)
+    clear_scratch(spark)
+    assert not os.path.isdir(own) and os.path.isdir(run.removeprefix("file:"))
+    named = SimpleNamespace(conf={"spark.checkpoint.dir": "/shared/scratch/"})
+    assert scratch_root(named) == "/shared/scratch"
+    cluster = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="yarn"))
+    with pytest.raises(RuntimeError):
+        scratch_root(cluster)
