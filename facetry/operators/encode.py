@@ -82,9 +82,10 @@ def encode_texts(
                 yield pa.RecordBatch.from_arrays(columns, names=["digest", "embedding", "status"])
 
     cleaned = df.select(F.col(item_id), CLEANERS[mode](F.col(text)).alias("text"))
-    keyed = cleaned.withColumn("digest", F.sha2("text", 256))
-    first = keyed.groupBy("digest").agg(F.min(item_id).alias(item_id)).select(item_id)
-    unique = keyed.join(first, item_id, "left_semi").select("digest", "text")
+    # The narrow table spares later steps reading and hashing the texts again.
+    keyed = stage(cleaned.select(item_id, F.sha2("text", 256).alias("digest")), "digests")
+    first = keyed.groupBy("digest").agg(F.min(item_id).alias(item_id))
+    unique = cleaned.join(first, item_id).select("digest", "text")
     # Encoding costs far more than moving the texts, so they are dealt out evenly.
     unique = unique.repartition(concurrency or df.sparkSession.sparkContext.defaultParallelism)
     encoded = stage(unique.mapInArrow(run, "digest string, embedding array<float>, status string"), "encoded")
@@ -99,7 +100,7 @@ def encode_texts(
     status = F.when((F.col("status") == "ok") & ~fits, "wrong_length").otherwise(F.col("status"))
     checked = encoded.select("digest", F.when(fits, F.col("embedding")).alias("embedding"), status.alias("status"))
     # A text shared by very many items would make its digest a hot join key.
-    return salted_join(keyed.select(item_id, "digest"), checked, ["digest"], "inner", item_id).drop("digest")
+    return salted_join(keyed, checked, ["digest"], "inner", item_id).drop("digest")
 
 
 def status_counts(df: DataFrame) -> DataFrame:

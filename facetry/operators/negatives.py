@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 
 from facetry.functions import vectors
 from facetry.functions.hashing import md5_draw
+from facetry.operators.lookup import attach, salted_join
 from facetry.operators.ordinals import with_ordinal
 from facetry.session import stage
 
 MIN_ACCEPTANCE = 0.02
+DRAWS_PER_ROW = 1_000_000
 LIST_CHUNK = 20_000
 SALT_ROWS = 100_000
 
@@ -82,7 +84,9 @@ def _key_plan(valid: DataFrame, attributes: list[str], k: int) -> DataFrame:
     span = F.col("total") - F.col("width")
     accept = F.try_divide("pool", span)  # null where one value covers all rows: an empty pool
     draws = F.ceil(F.try_divide(F.lit(1.2 * k), accept)).cast("int") + 8
-    listed = (F.col("pool") > 0) & ((F.col("pool") < 4 * k) | (accept < MIN_ACCEPTANCE))
+    # So few rows outside the range that each would be drawn very often: a hot join key.
+    crowded = F.col("width") * draws > F.lit(float(DRAWS_PER_ROW)) * span
+    listed = (F.col("pool") > 0) & ((F.col("pool") < 4 * k) | (accept < MIN_ACCEPTANCE) | crowded)
     path = F.when(F.col("pool") == 0, "none").when(listed, "list").otherwise("draw")
     return stage(pools.withColumn("width", width).select(
         *attributes, "n", "pool", dominant.alias("dominant"), "width", span.alias("span"), draws.alias("draws"), path.alias("path")), "key-plan")
@@ -99,14 +103,11 @@ def _row_orders(valid: DataFrame, attributes: list[str], needed: list[int]) -> D
 
 
 def _anchors(valid: DataFrame, plan: DataFrame, orders: DataFrame, attributes: list[str]) -> DataFrame:
-    """Valid items with the plan of their key and the start of the row range to avoid.
-
-    Keys are matched by a shuffle join; adaptive execution broadcasts or splits it by size.
-    """
+    """Valid items with the plan of their key and the start of the row range to avoid."""
     value = F.coalesce(*[F.when(F.col("dominant") == i, F.col(a).cast("string")) for i, a in enumerate(attributes)])
     starts = orders.groupBy("dominant", value.alias("_value")).agg(F.min("row_no").alias("lo"))
-    ready = plan.withColumn("_value", value).join(starts, ["dominant", "_value"]).drop("_value", "n")
-    return stage(valid.join(ready, attributes), "anchors")
+    ready = stage(plan.withColumn("_value", value).join(starts, ["dominant", "_value"]).drop("_value", "n"), "ready")
+    return stage(attach(valid, ready, attributes, "inner", spread_by="item_id"), "anchors")
 
 
 def _draw(anchors: DataFrame, orders: DataFrame, attributes: list[str], k: int, seed: int) -> DataFrame:
@@ -168,15 +169,16 @@ def _list(anchors: DataFrame, plan: DataFrame, orders: DataFrame, attributes: li
     distinct = F.array_distinct(F.concat(once, fill))
     ranks = F.slice(F.when(F.col("pool") >= k, distinct).otherwise(once), 1, k)
     salt = F.pmod(F.xxhash64("item_id"), F.ceil(F.col("anchors") / SALT_ROWS)).cast("int")
-    probes = anchors.join(listed, attributes).select(
+    probes = attach(anchors, listed, attributes, "inner", spread_by="item_id").select(
         "key_no", salt.alias("salt"), "item_id", F.posexplode(ranks)).select(
         "key_no", "salt", F.col("col").alias("at"), "item_id", (F.col("pos") + 1).cast("int").alias("pos"),
         F.lit(None).cast("bigint").alias("shift"))
     lane = Window.partitionBy("key_no", "salt").orderBy("at", F.col("item_id").isNotNull())
     found = starts.unionByName(probes).withColumn("shift", F.last("shift", ignorenulls=True).over(lane))
     rows = first.select("row_no", F.col("item_id").alias("neg_id"))
-    return found.filter("item_id IS NOT NULL").withColumn("row_no", F.col("at") + F.col("shift")).join(
-        rows, "row_no").select("item_id", "pos", "neg_id")
+    found = found.filter("item_id IS NOT NULL").select("item_id", "pos", (F.col("at") + F.col("shift")).alias("row_no"))
+    # A pool of few rows makes each of them a hot key.
+    return salted_join(stage(found, "listed-draws"), rows, ["row_no"], "inner", "item_id").select("item_id", "pos", "neg_id")
 
 
 def sample_negatives(

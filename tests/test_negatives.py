@@ -82,6 +82,12 @@ def test_listed_keys_with_many_salts_and_chunks(spark, monkeypatch):
     check(df, neg.sample_negatives(df, ["a", "b"]), ("a", "b"), 9)
 
 
+def test_crowded_rows_are_listed(spark, monkeypatch):
+    df = items(spark, mixed(100))
+    monkeypatch.setattr(neg, "DRAWS_PER_ROW", 0)
+    check(df, neg.sample_negatives(df, ["a", "b"]), ("a", "b"), 9)
+
+
 def test_more_rounds_give_the_same_table(spark, monkeypatch):
     df = items(spark, mixed(200))
     plain = sorted(neg.sample_negatives(df, ["a", "b"]).collect())
