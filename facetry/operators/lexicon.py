@@ -23,7 +23,7 @@ from facetry.operators.lookup import fits_broadcast, salted_join
 from facetry.operators.projection import Gram, Spectrum, spectrum
 from facetry.session import stage
 
-MAX_CATEGORIES = 20_000
+MAX_CATEGORIES = 4_000
 
 
 def tokens(text: Column) -> Column:
