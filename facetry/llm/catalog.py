@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from facetry.llm import mixing, secrets
+from facetry.llm import language, mixing, secrets, tokenids, wordpieces
 from facetry.session import ship_package
 
 QUERIES, SQL = {}, {}
@@ -19,7 +19,7 @@ def _query(fn):
     QUERIES[fn.__name__] = run
 
 
-for _fn in (mixing.op3_mix_sources, secrets.op9_secrets):
+for _fn in (mixing.op3_mix_sources, tokenids.op5_token_files, wordpieces.op7_token_counts, secrets.op9_secrets, language.op10_language):
     _query(_fn)
-for _module in (mixing, secrets):
+for _module in (mixing, tokenids, wordpieces, secrets, language):
     SQL |= _module.SQL

@@ -113,8 +113,8 @@ def fit(
 ) -> SecretModel:
     """Learn both chains from at most ``sample`` documents, those with the lowest hashes of their keys.
 
-    Positive tokens are the values of pattern spans, negative ones all other runs of at
-    least ``learn_from`` characters. Without any positive token nothing scores above 0.
+    Positive tokens are the values of pattern spans, as they stand and in capitals,
+    negative ones all other runs of at least ``learn_from`` characters. Without any positive token nothing scores above 0.
     """
     chosen = docs.select(F.col(key).alias("_key")).orderBy(F.xxhash64("_key"), "_key").limit(sample).distinct()
     texts = docs.select(F.col(key).alias("_key"), whole(text_col).alias("_text")).join(F.broadcast(chosen), "_key", "left_semi")
@@ -123,6 +123,7 @@ def fit(
     spans = spans.select(F.col("_base"), runs.alias("_runs"))
     tokens = F.concat(
         F.transform("_base", lambda s: F.struct(F.lit(1).alias("label"), s["value"].alias("value"))),
+        F.transform("_base", lambda s: F.struct(F.lit(1).alias("label"), F.upper(s["value"]).alias("value"))),
         F.transform("_runs", lambda s: F.struct(F.lit(0).alias("label"), s["value"].alias("value"))),
     )
     rows = spans.select(F.inline(tokens)).groupBy("label", "value").count()  # equal tokens once: copies don't weigh more
