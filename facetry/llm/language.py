@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,6 +41,7 @@ class LanguageModel:
     #: Per language: bits of (context + byte), and bits of the escape from a context.
     bits: list[dict[bytes, float]]
     escape: list[dict[bytes, float]]
+    #: Tells fits apart in the memory of a Python worker.
     name: str
 
     def step(self, gram: bytes) -> list[float]:
@@ -121,8 +123,7 @@ class Scorer:
 
 
 def fit(
-    docs: DataFrame, key: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 4, per_language: int = 2_000,
-    name: str = "",
+    docs: DataFrame, key: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 4, per_language: int = 2_000
 ) -> LanguageModel:
     """Learn from rows outside the held-out fold whose language is not null.
 
@@ -134,7 +135,7 @@ def fit(
     sizes = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
-        return LanguageModel([], order, [], [], name)
+        return LanguageModel([], order, [], [], "")
     share = F.lit(0.0)
     for lang, n in sizes.items():
         share = F.when(F.col("_lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
@@ -170,7 +171,7 @@ def fit(
                 known[context + bytes([byte])] = -math.log2(n / total)
         bits.append(known)
         escape.append(leave)
-    return LanguageModel(languages, order, bits, escape, name)
+    return LanguageModel(languages, order, bits, escape, uuid.uuid4().hex)
 
 
 def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -185,12 +186,11 @@ def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        scorer = _memory.get(model.name) if model.name else None
+        scorer = _memory.get(model.name)
         if scorer is None:
             scorer = Scorer(model)
-            if model.name:
-                _memory.clear()
-                _memory[model.name] = scorer
+            _memory.clear()
+            _memory[model.name] = scorer
         for batch in batches:
             found = [scorer.predict(t.as_py()) for t in batch.column(batch.num_columns - 1)]
             columns = [*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
@@ -205,7 +205,7 @@ def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text_co
 def op10_language(spark, folder):
     """Language of every document, learned outside the held-out fold."""
     docs = table(spark, folder, "documents")
-    found = identify(docs, fit(docs, name=folder))
+    found = identify(docs, fit(docs))
     return found.select("doc_id", is_held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
