@@ -2,8 +2,8 @@
 
 The score of a text adds a weight per term and, for every pair of its terms, the product
 of their factor vectors: what an insult means next to the mention of a group is learned
-as an interaction, which a sum of weights can't express. Terms are hashed words; the
-ones with most evidence in the training sample get weights. Training is a small solve on a
+as an interaction, which a sum of weights can't express. Terms are hashed words and stems;
+the ones with most evidence in the training sample get weights. Training is a small solve on a
 bounded sample; scoring is one map pass.
 """
 
@@ -29,9 +29,14 @@ CACHE = 400_000
 _memory: dict[str, Terms] = {}
 
 
-def term(word: str) -> int:
-    """Hash of a word, 32 bits."""
-    return zlib.crc32(word.encode("utf-8", "replace"))
+#: Lengths of the stems that count as terms beside the word, so that endings don't hide one.
+STEMS = (4, 5, 6)
+
+
+def terms_of(word: str) -> list[int]:
+    """Hashes, 32 bits, of a word and its stems."""
+    stems = [f"{word[:n]}*" for n in STEMS if len(word) >= n]
+    return [zlib.crc32(w.encode("utf-8", "replace")) for w in (word, *stems)]
 
 
 @dataclass
@@ -60,7 +65,7 @@ class Terms:
 
     def __init__(self, model: FactorizationMachine):
         self.place = {int(t): i for i, t in enumerate(model.terms)}
-        self.known: dict[str, int] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def positions(self, text: str) -> list[int]:
         words = set(WORD.findall(text.lower()))
@@ -71,11 +76,10 @@ class Terms:
         for w in words:
             at = known.get(w)
             if at is None:
-                at = self.place.get(term(w), -1)
+                at = tuple([self.place[t] for t in terms_of(w) if t in self.place])
                 if len(known) < CACHE:
                     known[w] = at
-            found.add(at)
-        found.discard(-1)
+            found.update(at)
         return sorted(found)
 
 
@@ -151,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str =
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [sorted({term(w) for w in set(WORD.findall(t.as_py().lower()))}) for t in batch.column(2)]
+            rows = [sorted({h for w in set(WORD.findall(t.as_py().lower())) for h in terms_of(w)}) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(rows, pa.list_(pa.int64()))], names=["key", "label", "terms"])
 
     rows = texts.mapInArrow(hashed, "key string, label int, terms array<long>").toArrow().sort_by("key")
