@@ -12,6 +12,7 @@ itself; each task encodes a piece once and looks it up again after that.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,70 +31,99 @@ PAGE_IDS = 65_536
 #: Decoded together: pages of a batch, as far as they have this many ids.
 DECODE_IDS = 1_000_000
 #: Pieces remembered by one Python worker.
-CACHE = 400_000
-TAIL = ".,;:!?"
+CACHE = 600_000
 
 _encoders: dict[str, PieceEncoder] = {}
 
 
-def sure_words(piece: str) -> int:
-    """Words that the tokenizer surely makes of a piece: Latin-1 letters, then punctuation; else 0."""
-    core = piece.rstrip(TAIL)
-    if core.isalpha() and max(core) <= "\xff":
-        return 1 if len(core) == len(piece) else 2
-    return 0
+#: Pieces that a tokenizer surely makes one word of, or two: Latin-1 letters, then punctuation. Any other piece is the last group.
+SURE = re.compile(r"^(?:([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?]*)|(.*))$", re.M)
+
+
+def byte_characters() -> dict[int, str]:
+    """The characters by which byte-level vocabularies write bytes: printable ones stand for themselves."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+BYTES = byte_characters()
+
+
+def spelled(word: str) -> str:
+    """A lower-case word in byte characters."""
+    return word if word.isascii() else "".join([BYTES[b] for b in word.encode()])
 
 
 class PieceEncoder:
     """Ids of texts through a memory of pieces.
 
     Pieces are split at plain spaces and line breaks only; anything else inside a piece
-    is left to the tokenizer. A tokenizer for which white space matters is refused.
+    is left to the tokenizer. A tokenizer for which white space matters is refused. Words
+    that are sure in any tokenizer of this kind go straight to its model, many in one call.
     """
 
     def __init__(self, path: str, kind: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.kind = Tokenizer.from_file(path), kind
-        self.known: dict[str, bytes] = {"": b""}
         vocabulary = self.tokenizer.get_vocab(True)
         if self._plain("a b\n c") != self._plain("a") + self._plain("b") + self._plain("c"):
             raise ValueError("the tokenizer must drop white space")
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        sample = "Straße, Été ÀÏÇ ende."
+        lower = [w for core, tail, _ in SURE.findall(sample.replace(" ", "\n")) for w in (core.lower(), tail) if w]
+        #: Whether the tokenizer lower-cases, spells in bytes and cuts words as the short way does.
+        self.short = self._plain(sample) == self.model.encode(" ".join(map(spelled, lower)), add_special_tokens=False).ids
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {"": b""}
 
     def _plain(self, piece: str) -> list[int]:
         return self.tokenizer.encode(piece, add_special_tokens=False).ids
 
+    def _learn_words(self, words: list[str]) -> None:
+        width = np.dtype(self.kind).itemsize
+        for at in range(0, len(words), 512):
+            some = words[at : at + 512]
+            ids = np.array(self.model.encode_batch_fast([" ".join(map(spelled, some))], add_special_tokens=False)[0].ids)
+            cuts = np.flatnonzero(self.ends[ids]) + 1  # the last id of a word is marked as such
+            if len(cuts) != len(some) or cuts[-1] != len(ids):
+                raise ValueError("words can't be told apart in the ids")
+            data, to = ids.astype(self.kind).tobytes(), (cuts * width).tolist()
+            self.words.update(zip(some, map(data.__getitem__, map(slice, [0, *to], to))))
+
     def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) > CACHE:
-            self.known = {"": b""}
-        sure = [(p, n) for p in pieces if (n := sure_words(p))]
-        # Many sure pieces in one call: a word's last id is marked as such, which tells the pieces apart.
-        for at in range(0, len(sure), 256):
-            some = sure[at : at + 256]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(p for p, _ in some)], add_special_tokens=False)[0].ids)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            last = np.cumsum([n for _, n in some])
-            if len(ends) == last[-1] and ends[-1] == len(ids):
-                cuts = [0, *ends[last - 1].tolist()]
-                data, width = ids.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize
-                self.known.update((p, data[a * width : b * width]) for (p, _), a, b in zip(some, cuts, cuts[1:]))
-        rest = [p for p in pieces if p not in self.known]
+        rest = pieces
+        if self.short:
+            found = [(core.lower(), tail, other) for core, tail, other in SURE.findall("\n".join(pieces))]
+            words = self.words
+            new = {w for core, tail, _ in found for w in (core, tail) if w not in words}
+            self._learn_words(sorted(new))
+            self.known.update((p, words[core] + words[tail]) for p, (core, tail, other) in zip(pieces, found) if not other)
+            rest = [p for p, (_, _, other) in zip(pieces, found) if other]
         for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             self.known[p] = np.array(e.ids, self.kind).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > CACHE or len(self.words) > CACHE:
+            self._forget()
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {p for pieces in split for p in pieces if p not in self.known}
+        found = [list(map(self.known.get, pieces)) for pieces in split]
+        missing = [[i for i, ids in enumerate(row) if ids is None] for row in found]
+        new = {pieces[i] for pieces, places in zip(split, missing) for i in places}
         if new:
-            if len(self.known) + len(new) > CACHE:
-                new = {p for pieces in split for p in pieces}
-                self.known = {"": b""}
             self._learn(sorted(new))
-        get = self.known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in split]
+        for row, pieces, places in zip(found, split, missing):
+            for i in places:
+                row[i] = self.known[pieces[i]]
+        return [b"".join(row) for row in found]
 
 
 def _groups(texts: list[str], limit: int = 1 << 21) -> Iterator[slice]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetry.llm.common import table, whole
-from facetry.llm.tokenids import TAIL, default_tokenizer, sure_words
+from facetry.llm.tokenids import SURE, default_tokenizer, spelled
 
 #: Pieces of text remembered by one Python worker.
 CACHE = 400_000
@@ -105,16 +105,6 @@ def build(vocabulary: list[str], prefix: str = "") -> Automaton:
     return Automaton(child, fail, popped, start)
 
 
-def _byte_characters() -> dict[int, str]:
-    """The characters by which byte-level vocabularies write bytes: printable ones stand for themselves."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
-
-
-BYTES = _byte_characters()
-
-
 class TextCounter:
     """Counts of whole texts: words as a tokenizer cuts them, their pieces by the automaton."""
 
@@ -125,11 +115,9 @@ class TextCounter:
         self.known: dict[str, int] = {}
 
     def words(self, piece: str) -> list[str]:
-        if sure_words(piece):
-            core = piece.rstrip(TAIL)
-            tail = [piece[len(core) :]] if len(core) < len(piece) else []
-            core = core.lower()
-            return [core if core.isascii() else "".join([BYTES[b] for b in core.encode()]), *tail]
+        core, tail, other = SURE.match(piece).groups()
+        if core and not other:
+            return [spelled(core.lower()), tail] if tail else [spelled(core.lower())]
         clean = self.tokenizer.normalizer.normalize_str(piece)
         return [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(clean)]
 
