@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from facetry.llm import decontaminate, fingerprints, language, mixing, secrets, tokenids, toxicity, urlfilter, wordpieces
+from facetry.llm import decontaminate, fingerprints, language, mixing, neardup, secrets, tokenids, toxicity, urlfilter, wordpieces
 from facetry.session import ship_package
 
 QUERIES, SQL = {}, {}
@@ -19,7 +19,7 @@ def _query(fn):
     QUERIES[fn.__name__] = run
 
 
-for _fn in (fingerprints.op1_fingerprints, urlfilter.op2_url_filter, mixing.op3_mix_sources, toxicity.op4_toxicity, tokenids.op5_token_files, wordpieces.op7_token_counts, decontaminate.op8_benchmark_matches, secrets.op9_secrets, language.op10_language):
+for _fn in (fingerprints.op1_fingerprints, urlfilter.op2_url_filter, mixing.op3_mix_sources, toxicity.op4_toxicity, tokenids.op5_token_files, neardup.op6_near_duplicates, wordpieces.op7_token_counts, decontaminate.op8_benchmark_matches, secrets.op9_secrets, language.op10_language):
     _query(_fn)
-for _module in (decontaminate, fingerprints, urlfilter, mixing, toxicity, tokenids, wordpieces, secrets, language):
+for _module in (decontaminate, neardup, fingerprints, urlfilter, mixing, toxicity, tokenids, wordpieces, secrets, language):
     SQL |= _module.SQL
