@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
+import corpus_pipeline
 from facetry.llm import decontaminate, fingerprints, language, mixing, neardup, secrets, tokenids, toxicity, urlfilter, wordpieces
 from facetry.session import ship_package
 
@@ -23,3 +24,6 @@ for _fn in (fingerprints.op1_fingerprints, urlfilter.op2_url_filter, mixing.op3_
     _query(_fn)
 for _module in (decontaminate, neardup, fingerprints, urlfilter, mixing, toxicity, tokenids, wordpieces, secrets, language):
     SQL |= _module.SQL
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -174,8 +174,11 @@ def fit(
     return LanguageModel(languages, order, bits, escape, uuid.uuid4().hex)
 
 
-def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``key, lang_pred, score`` and the columns of ``docs`` named in ``keep``, in one map pass.
+def identify(
+    docs: DataFrame, model: LanguageModel, key: str = "doc_id", text_col: str = "text", keep: list[str] | None = None,
+    names: tuple[str, str] = ("lang_pred", "score"),
+) -> DataFrame:
+    """The columns of ``docs`` in ``keep`` (by default the key), then language and score under ``names``, in one map pass.
 
     A null text, or one without a letter, is ``und`` with score 0, as is every text if no
     language was learned. Ties go to the language that sorts first.
@@ -194,11 +197,10 @@ def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text_co
         for batch in batches:
             found = [scorer.predict(t.as_py()) for t in batch.column(batch.num_columns - 1)]
             columns = [*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
 
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["lang_pred string", "score double"])
+    schema = docs.select(*keep).schema.add(names[0], "string").add(names[1], "double")
     return rows.mapInArrow(run, schema)
 
 

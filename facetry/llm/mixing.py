@@ -68,16 +68,16 @@ def rates(docs: DataFrame, source_col: str = "source", alpha: float = 0.5, weigh
 
 def mix(
     docs: DataFrame, key: str = "doc_id", source_col: str = "source", alpha: float = 0.5,
-    weights: DataFrame | None = None, seed: int = 0, partitions: int | None = None,
+    weights: DataFrame | None = None, seed: int = 0, partitions: int | None = None, names: tuple[str, str] = ("copy", "shuffle_key"),
 ) -> DataFrame:
-    """The columns of ``docs`` with ``copy`` (1, 2, ..) and ``shuffle_key``, in order of ``shuffle_key``.
+    """The columns of ``docs``, the copy's number (1, 2, ..) and its order value under ``names``, in order of that value.
 
     Rows with a null key draw as if it were the empty text; repeated rows draw alike and
-    so are repeated alike; an empty table gives an empty result. Columns of ``docs`` named
-    ``copy`` or ``shuffle_key`` are replaced.
+    so are repeated alike; an empty table gives an empty result. Columns of ``docs`` under
+    those names are replaced.
     """
     spark = docs.sparkSession
-    docs = docs.drop("copy", "shuffle_key")
+    docs = docs.drop(*names)
     plan = rates(docs, source_col, alpha, weights).select(
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source"), F.col("source").isNull().alias("_none"), "parts", "cdf"
     )
@@ -88,12 +88,12 @@ def mix(
     one = lambda part: F.size(F.filter("cdf", lambda c: c <= draw(part)))
     count = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("parts")), one), F.lit(0), lambda a, b: a + b)
     copies = rows.select("_row", "_key", count.alias("_n")).filter("_n > 0")
-    copies = copies.select("_row", "_key", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
-    copies = copies.withColumn("shuffle_key", _hashed(seed, "order", F.col("_key"), F.col("copy")))
+    copies = copies.select("_row", "_key", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy"))
+    copies = copies.withColumn("_order", _hashed(seed, "order", F.col("_key"), F.col("_copy")))
     n = partitions or task_count(spark)
-    place = F.floor(F.col("shuffle_key") / float(2**ORDER_BITS) * n).cast("int")
-    shuffled = copies.repartitionById(n, place).sortWithinPartitions("shuffle_key", "_key", "copy")
-    return shuffled.select("_row.*", "copy", "shuffle_key")
+    place = F.floor(F.col("_order") / float(2**ORDER_BITS) * n).cast("int")
+    shuffled = copies.repartitionById(n, place).sortWithinPartitions("_order", "_key", "_copy")
+    return shuffled.select("_row.*", F.col("_copy").alias(names[0]), F.col("_order").alias(names[1]))
 
 
 def op3_mix_sources(spark, folder):
