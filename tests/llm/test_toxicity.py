@@ -11,7 +11,7 @@ def test_interactions_are_learned():
     rng = np.random.default_rng(1)
     rows, labels = [], []
     for _ in range(3000):
-        insult, group = rng.random(2) < 0.4
+        insult, group = (rng.random(2) < 0.4).tolist()
         words = [f"w{i}" for i in rng.integers(0, 50, 8)] + ["insult"] * insult + ["group"] * group
         rows.append(np.array(sorted({h for w in words for h in toxicity.terms_of(w)})))
         labels.append(float(insult and group))

@@ -49,7 +49,7 @@ def test_rules_by_brute_force(spark):
             if met and sum(met) / len(full) >= 0.05 and sum(met) / len(met) >= 0.7:
                 sure[combo] = sum(met) / len(met)
     kept = {c: round(v, 9) for c, v in sure.items() if not any(set(o) < set(c) and w >= v for o, w in sure.items())}
-    assert got == kept == {("d",): 1.0, ("a", "b"): 1.0}
+    assert got == kept == {("d",): 1.0, ("e",): 1.0, ("a", "b"): 1.0}
     urls = spark.createDataFrame([(1, ["a", "b", "z"]), (2, ["a"]), (3, ["d", "c"]), (4, [])], "k long, tokens array<string>")
     assert {r.k: r.fired for r in uf.match(urls, uf.mine(df, min_support=0.05, min_confidence=0.7, min_lift=1.0), "k").collect()} == {1: ["a", "b"], 3: ["d"]}
 
