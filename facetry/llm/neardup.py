@@ -206,7 +206,8 @@ def near_duplicates(docs: DataFrame, sketch: Sketch = Sketch(), key: str = "doc_
     hubs = members.join(often, "rep").groupBy("key").agg(F.max(F.struct("met", F.col("rep").alias("hub"))).alias("top"))
     gathered = stage(members.join(hubs, "key").select("rep", F.col("top.hub").alias("hub")).distinct(), "gathered")
     needed = gathered.select(F.col("rep").alias("_rep")).distinct()
-    texts = docs.select(F.col(key).cast("long").alias("_rep"), whole(text_col).alias("_text")).join(needed, "_rep", "left_semi")
+    # A merge join at every size: the list grows with the table, so that it would be broadcast for small tables only.
+    texts = docs.select(F.col(key).cast("long").alias("_rep"), whole(text_col).alias("_text")).join(needed.hint("merge"), "_rep", "left_semi")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
