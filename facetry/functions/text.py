@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ REFUSAL_MARKERS = [
     "cannot assist",
     "can't assist",
 ]
+#: Finds a refusal phrase whatever its case; the one form of the list that checks use.
+REFUSAL = "|".join(re.escape(m.lower()) for m in REFUSAL_MARKERS)
 
 
 def strip(text: Column) -> Column:
@@ -83,7 +87,4 @@ def prompt(base: Column, instruction: Column, attributes: dict[str, Column] | No
 def usable_response(response: Column, min_length: int = MIN_RESPONSE_LENGTH) -> Column:
     """Long enough once stripped and free of refusal phrases, whatever their case."""
     trimmed = strip(response)
-    refused = F.lit(False)
-    for marker in REFUSAL_MARKERS:
-        refused = refused | F.contains(F.lower(trimmed), F.lit(marker.lower()))
-    return F.coalesce((F.length(trimmed) >= min_length) & ~refused, F.lit(False))
+    return F.coalesce((F.length(trimmed) >= min_length) & ~F.lower(trimmed).rlike(REFUSAL), F.lit(False))

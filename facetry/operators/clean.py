@@ -52,7 +52,7 @@ def _attach_ids(df: DataFrame, kept: DataFrame, order_col: str, prefix: str, nam
     """Rows whose order value is in ``kept``, numbered in that order."""
     ids = with_ordinal(kept, [order_col], "_ordinal")
     label = F.concat(F.lit(prefix), (F.col("_ordinal") + 1).cast("string")).alias(name)
-    return df.join(ids, order_col).select(*df.columns, label)
+    return df.join(ids, order_col).select(*[c for c in df.columns if c != name], label)
 
 
 def assign_ids(df: DataFrame, order_col: str, prefix: str = "W", name: str = "id") -> DataFrame:

@@ -132,13 +132,15 @@ def category_scores(df: DataFrame, item_id: str, text: str, lexicon: DataFrame)
 def category_summary(df: DataFrame, item_id: str, text: str, lexicon: DataFrame) -> DataFrame:
     """Per category the mean and population deviation of the score over all items."""
     scores = category_scores(df, item_id, text, lexicon)
-    sums = scores.groupBy("category").agg(F.sum("score").alias("s"), F.sum(F.col("score") * F.col("score")).alias("ss"))
+    # The hits' own mean and deviation, and then the zeros of the other items: no difference of large squares.
+    sums = scores.groupBy("category").agg(F.count("*").alias("k"), F.avg("score").alias("m"), F.var_pop("score").alias("v"))
     n = df.agg(F.nullif(F.count("*"), F.lit(0)).alias("n_items"))  # one row
     all_categories = lexicon.select("category").distinct()
-    mean = F.coalesce("s", F.lit(0.0)) / F.col("n_items")
-    variance = F.coalesce("ss", F.lit(0.0)) / F.col("n_items") - mean * mean
+    share = F.coalesce("k", F.lit(0)) / F.col("n_items")
+    hit_mean = F.coalesce("m", F.lit(0.0))
+    variance = share * F.coalesce("v", F.lit(0.0)) + share * (1 - share) * hit_mean * hit_mean
     return all_categories.join(sums, "category", "left").join(F.broadcast(n)).select(
-        "category", mean.alias("mean"), F.sqrt(F.greatest(variance, F.lit(0.0))).alias("std"))
+        "category", (share * hit_mean).alias("mean"), F.sqrt(variance).alias("std"))
 
 
 def count_empty(df: DataFrame, text: str) -> DataFrame:

@@ -39,13 +39,21 @@ def _all_differ(left: str, right: str, attributes: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"{left}.{a}") != F.col(f"{right}.{a}") for a in attributes])
 
 
+def no_nulls(items: DataFrame, attributes: list[str]) -> DataFrame:
+    """Null attributes as the empty label, numbered ones as -1, so that joins on keys lose no item."""
+    kinds = dict(items.dtypes)
+    return items.withColumns({a: F.coalesce(F.col(a), F.lit("" if kinds[a] == "string" else -1).cast(kinds[a])) for a in attributes})
+
+
 def pool_sizes(items: DataFrame, attributes: list[str]) -> DataFrame:
     """Per distinct key: its rows ``n`` and the rows that differ on every attribute, ``pool``.
 
+    A null attribute is a value like any other, written as the empty label.
+
     Inclusion-exclusion over attribute subsets: rows are counted once per key, the
     rest works on those counts.
     """
-    keys = stage(items.groupBy(*attributes).agg(F.count("*").alias("n")), "keys")
+    keys = stage(no_nulls(items.select(*attributes), attributes).groupBy(*attributes).agg(F.count("*").alias("n")), "keys")
     total = keys.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))  # one row
     out = keys.join(F.broadcast(total))
     pool = F.col("total")
@@ -188,16 +196,18 @@ def sample_negatives(
     vector: str | None = "embedding",
     mini_batch_size: int = 10,
     seed: int = 42,
+    width: int | None = None,
 ) -> DataFrame:
     """Negatives table of all items, ``mini_batch_size - 1`` per item, seeded.
 
     Distinct negatives when the pool has that many, otherwise drawn with replacement.
-    Items without a valid vector are no negatives, and their ``neg_id`` is null.
+    Items without a valid vector, of ``width`` entries if that is given, are no
+    negatives, and their ``neg_id`` is null. Null attributes are values like any other.
     """
     k = mini_batch_size - 1
     attributes = sorted(attributes)
-    ok = vectors.valid(F.col(vector)) if vector else F.lit(True)
-    rows = stage(items.select(F.col(item_id).alias("item_id"), *attributes, ok.alias("_ok")), "items")
+    ok = vectors.valid(F.col(vector), width) if vector else F.lit(True)
+    rows = stage(no_nulls(items.select(F.col(item_id).alias("item_id"), *attributes, ok.alias("_ok")), attributes), "items")
     valid = rows.filter("_ok").drop("_ok")
     plan = _key_plan(valid, attributes, k)
     ways = plan.select("dominant", "path").distinct().collect()  # at most three per attribute

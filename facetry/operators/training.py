@@ -32,14 +32,15 @@ MAX_SHARDS = 4096
 
 
 def training_rows(
-    items: DataFrame, negatives: DataFrame, label_cols: list[str], item_id: str = "item_id", vector: str = "embedding"
+    items: DataFrame, negatives: DataFrame, label_cols: list[str], item_id: str = "item_id", vector: str = "embedding",
+    mask: int | None = None,
 ) -> DataFrame:
     """``(item_id, labels.., cells)``: the item's vector and those of its negatives in slot order.
 
-    Items whose own vector is invalid or all zero are left out. Slots meet vectors by
+    ``mask`` cuts the vectors before they are gathered. Items whose own vector is invalid or all zero are left out. Slots meet vectors by
     item id; an item that is a negative of very many others is salted.
     """
-    known = items.select(F.col(item_id).alias("neg_id"), F.col(vector).alias("_v"))
+    known = items.select(F.col(item_id).alias("neg_id"), (vectors.trim(F.col(vector), mask) if mask else F.col(vector)).alias("_v"))
     slots = salted_join(negatives.filter(F.col("neg_id").isNotNull()), known, ["neg_id"], "inner", item_id)
     # One entry per slot, ten by default.
     grouped = slots.groupBy(item_id).agg(F.array_sort(F.collect_list(F.struct("pos", "_v"))).alias("_slots"))
@@ -116,8 +117,9 @@ def loss_names(attributes: list[str]) -> list[str]:
 
 def _means(names: list[str], sums: np.ndarray) -> dict[str, float]:
     found = dict(zip(names, sums.tolist()))
-    n = max(found.pop("rows"), 1.0)
-    return {("acc".join(k.rsplit("correct", 1)) if k.endswith("_correct") else k): v / n for k, v in found.items()}
+    rows = found.pop("rows")
+    n = max(rows, 1.0)
+    return {"rows": rows} | {("acc".join(k.rsplit("correct", 1)) if k.endswith("_correct") else k): v / n for k, v in found.items()}
 
 
 def evaluate(shards: Shards, network: Network) -> dict[str, float]:
@@ -233,6 +235,8 @@ def train_network(
             state, fitted = train_epoch(placed, network, state, schedule.rate, weight_decay, batch_size, epoch, seed, sync)
             network = network.with_flat(state.weights)
             seen = evaluate(held_out, network)
+            if not seen["rows"]:
+                raise ValueError("no validation rows")
             history.append({"epoch": epoch, "train_loss": fitted["total"], "val_loss": seen["total"], "learning_rate": schedule.rate}
                            | {f"val_{a}_acc": seen[f"{a}_acc"] for a in shape["attribute_names"]})
             schedule.update(seen["total"])

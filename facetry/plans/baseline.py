@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetry.functions.text import COMPOSITE_SEPARATOR
-from facetry.operators.clean import add_composite, align, clean_items
+from facetry.operators.clean import add_composite, clean_items
 from facetry.operators.projection import vector_width
 from facetry.operators.ridge import Ridge, fit_ridge
 from facetry.session import clear_scratch, ship_package, stage
@@ -40,7 +40,8 @@ def run_baseline(
     """``order_col`` is the item id, which ``vectors`` shares."""
     cleaned = clean_items(items, order_col, text_col, create_id=False)
     labelled = add_composite(cleaned, composite_cols, "composite", COMPOSITE_SEPARATOR).select(order_col, "composite", F.col(plain_col).alias("plain"))
-    rows = stage(align(labelled, vectors, order_col), "baseline-rows")
+    known = vectors.select(order_col, *[c for c in vectors.columns if c not in labelled.columns])
+    rows = stage(labelled.join(known, order_col, "left"), "baseline-rows")  # items without a vector come out with nulls
     columns = {"composite": "composite", "plain": "plain"}
     fit = fit_ridge(rows, columns, "embedding", vector_width(rows, "embedding"), alpha, n_nuisance_dims, spread_by=order_col)
     scored = fit.score(rows, columns, "embedding", spread_by=order_col)
@@ -61,9 +62,11 @@ def main(argv: list[str] | None = None) -> int:
     a = parser.parse_args(argv)
     spark = SparkSession.builder.appName("facetry-linear-baseline").getOrCreate()
     ship_package(spark)
-    run_baseline(load_items(spark, a.data), load_vectors(spark, a.embeddings), a.id_col, a.description_col,
-                 a.composite, a.plain, a.output_dir, a.alpha, a.n_nuisance_dims)
-    clear_scratch(spark)
+    try:
+        run_baseline(load_items(spark, a.data), load_vectors(spark, a.embeddings), a.id_col, a.description_col,
+                     a.composite, a.plain, a.output_dir, a.alpha, a.n_nuisance_dims)
+    finally:
+        clear_scratch(spark)
     return 0
 
 

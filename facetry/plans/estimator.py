@@ -20,7 +20,7 @@ from facetry.operators.training import history_frame, train_network, training_ro
 from facetry.operators.tuning import tune
 from facetry.plans.settings import Settings
 from facetry.session import stage
-from facetry.sources.readers import exists, load_network
+from facetry.sources.readers import complete, exists, load_network
 from facetry.sources.writers import fingerprint, save_json, save_labels, save_network, save_table
 
 
@@ -55,8 +55,8 @@ class FacetModel:
     ) -> FacetModel:
         """``columns`` maps attribute to column. Vectors come from ``vector`` or from ``text``.
 
-        A model found at ``cached_model_path`` (by default ``<output>/model``) is used
-        instead of training a new one.
+        A complete model at ``cached_model_path`` (by default ``<output>/model``) for the same
+        attributes, numbers of labels and width is used instead of training a new one.
         """
         s, spark = self.settings, items.sparkSession
         columns = columns or {a: a for a in self.attributes}
@@ -67,12 +67,14 @@ class FacetModel:
         label_cols = [f"{a}_idx" for a in self.attributes]
         encoded = stage(encoded.select(F.col(item_id).alias("item_id"), *label_cols, "embedding"), "encoded-items")
         self.vectors, self.width = encoded, vector_width(encoded, "embedding")
-        negatives = stage(sample_negatives(encoded, label_cols, mini_batch_size=s.mini_batch_size, seed=s.array_seed), "negatives")
+        negatives = stage(sample_negatives(encoded, label_cols, mini_batch_size=s.mini_batch_size, seed=s.array_seed, width=self.width), "negatives")
         self.negatives = negatives
 
         model_path = cached_model_path or f"{self.output_dir}/model"
-        if use_cached_model and exists(spark, f"{model_path}/weights"):
-            self.network = load_network(spark, model_path)
+        known = load_network(spark, model_path) if use_cached_model and complete(spark, f"{model_path}/weights") else None
+        sizes = {a: self.mapping.sizes[a] for a in self.attributes}
+        if known and known.shape["attribute_sizes"] == sizes and known.shape["orig_size"] == self.width:
+            self.network = known
         else:
             self._train(encoded, negatives, label_cols, model_path, tune_first, n_trials, training)
         self.hyperparameters = self.hyperparameters or dict(self.network.shape)
@@ -88,12 +90,13 @@ class FacetModel:
             raise ValueError("give a vector column, or a text column and make_encoder")
         mode = "service" if self.settings.embedding_backend == "openai" else "local"
         made = stage(encode.encode_texts(items, item_id, text, make_encoder, mode), "vectors")
-        return items.join(made.select(item_id, "embedding"), item_id)
+        return items.join(made.select(item_id, "embedding"), item_id, "left")
 
     def _train(self, encoded, negatives, label_cols, model_path, tune_first, n_trials, training) -> None:
         s, spark = self.settings, encoded.sparkSession
-        rows = training_rows(encoded, negatives, label_cols)
-        split = stage(split_items(rows, "item_id", s.validation_split, s.seed), "split-rows")
+        # Searches never ask for more than the larger of the two masks.
+        mask = None if tune_first else min(s.mask_size, self.width)
+        split = split_items(training_rows(encoded, negatives, label_cols, mask=mask), "item_id", s.validation_split, s.seed)
         train, validation = split.filter("split = 'train'"), split.filter("split = 'validation'")
         sizes = {a: self.mapping.sizes[a] for a in self.attributes}
         plan = {"learning_rate": s.learning_rate, "weight_decay": s.weight_decay, "mask_size": s.mask_size,
@@ -201,6 +204,7 @@ class FacetModel:
             "attributes": self.attributes, "n_samples": sums["nuisance_embedding"]["rows"],
             "embedding_dim_per_attribute": self.network.shape["embedding_units_per_attribute"],
             "num_nuisance_dims": self.settings.num_nuisance_dims, "embedding_backend": backend, "full_embedding_dim": width,
+            "embedding_model": self.settings.embedding_model, "embedding_dim": self.settings.embedding_dim,
             # One row per attribute.
             "classification_metrics": {r["attribute"]: r.asDict() for r in self.metrics.collect()},
         }
@@ -258,11 +262,17 @@ def nuisance_from_dict(saved: dict) -> Nuisance:
     return Nuisance(fit, spec, saved["dims"], saved["diagnostics"])
 
 
-def classification_metrics(rows: DataFrame, network: Network, vector: str = "embedding") -> DataFrame:
-    """Metrics of the network on all given rows, labels in ``<attribute>_idx``."""
-    names = network.shape["attribute_names"]
-    valid = rows.filter(vectors.valid(F.col(vector)))
-    scored = score(valid, network, vector, keep=[f"{a}_idx" for a in names], with_logits=True)
+def classification_metrics(rows: DataFrame, network: Network, vector: str = "embedding", split: str | None = None) -> DataFrame:
+    """Metrics of the network on all given rows, or those of a ``split``; labels in ``<attribute>_idx``.
+
+    A row without a valid vector counts as one of zeros, as it does among the samples.
+    """
+    names, width = network.shape["attribute_names"], network.shape["orig_size"]
+    if split is not None:
+        rows = rows.filter(F.col("split") == split)
+    zeros = F.array_repeat(F.lit(0.0), width).cast(rows.schema[vector].dataType)
+    filled = rows.withColumn(vector, F.when(vectors.valid(F.col(vector), width), F.col(vector)).otherwise(zeros))
+    scored = score(filled, network, vector, keep=[f"{a}_idx" for a in names], with_logits=True)
     sides = [metrics.ranked_predictions(scored, a, f"{a}_idx", f"{a}_logits") for a in names]
     return metrics.attribute_metrics(reduce(DataFrame.unionByName, sides))
 

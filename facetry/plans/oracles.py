@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
+from facetry.functions.text import REFUSAL_MARKERS, WHITESPACE
+from facetry.sources.readers import MISSING_TOKENS
+
 SQL: dict[str, str] = {}
 
-# Code points of the white space that text cleaning strips.
-_BLANKS = " || ".join(f"chr({c})" for c in [
-    9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288])
+_BLANKS = " || ".join(f"chr({ord(c)})" for c in WHITESPACE)
 
-# Cell contents that count as missing in a CSV file.
-_MISSING = ", ".join(f"'{t}'" for t in [
-    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
-    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"])
+_MISSING = ", ".join(f"'{t}'" for t in MISSING_TOKENS)
 
 _LABELLED = "labelled AS (SELECT d.*, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id))"
 _ITEMS = ("items AS (SELECT d.doc_id AS item_id, d.lang, d.source, e.label, e.embedding "
@@ -360,11 +358,11 @@ SELECT encoder, item_id, width::BIGINT AS width, varietal <> '' AS has_plain FRO
 
 # -- augmentation ---------------------------------------------------------------
 
-# Prompt wording, the named strategies and the phrases that mark a refusal.
+# Prompt wording and the named strategies.
 _STRATEGIES = """(VALUES
   ('concise', 'extremely brief, factual, minimal words, no embellishments', 0.3::DOUBLE, 50),
   ('creative', 'imaginative, metaphorical, poetic, unexpected comparisons', 0.9::DOUBLE, 250)) AS s(strategy, instruction, temperature, max_tokens)"""
-_REFUSALS = ["i cannot", "i''m sorry", "i am sorry", "as an ai", "i''m not able", "i am not able", "i apologize", "cannot assist", "can''t assist"]
+_REFUSALS = [m.lower().replace("'", "''") for m in REFUSAL_MARKERS]
 SQL["build_prompts"] = f"""
 SELECT doc_id AS base_id, strategy, v::INT AS variation, temperature, max_tokens, md5(
   'Create a new product description based on this original:' || chr(10) || chr(10) || '"' || text || '"' || chr(10) || chr(10) ||

@@ -67,6 +67,11 @@ def load_vectors(spark: SparkSession, path: str, vector: str = "embedding") -> D
     return df
 
 
+def complete(spark: SparkSession, path: str) -> bool:
+    """A table that its writer finished, not one half written."""
+    return exists(spark, f"{path}/_SUCCESS")
+
+
 def load_negatives(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.parquet(path)
     if not {"item_id", "pos", "neg_id"} <= set(df.columns):
