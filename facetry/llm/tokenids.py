@@ -31,7 +31,7 @@ PAGE_IDS = 65_536
 #: Decoded together: pages of a batch, as far as they have this many ids.
 DECODE_IDS = 1_000_000
 #: Pieces remembered by one Python worker.
-CACHE = 600_000
+CACHE = 800_000
 
 _encoders: dict[str, PieceEncoder] = {}
 
@@ -105,7 +105,7 @@ class PieceEncoder:
             found = [(core.lower(), tail, other) for core, tail, other in SURE.findall("\n".join(pieces))]
             words = self.words
             new = {w for core, tail, _ in found for w in (core, tail) if w not in words}
-            self._learn_words(sorted(new))
+            self._learn_words(list(new))
             self.known.update((p, words[core] + words[tail]) for p, (core, tail, other) in zip(pieces, found) if not other)
             rest = [p for p, (_, _, other) in zip(pieces, found) if other]
         for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
@@ -119,7 +119,7 @@ class PieceEncoder:
         missing = [[i for i, ids in enumerate(row) if ids is None] for row in found]
         new = {pieces[i] for pieces, places in zip(split, missing) for i in places}
         if new:
-            self._learn(sorted(new))
+            self._learn(list(new))
         for row, pieces, places in zip(found, split, missing):
             for i in places:
                 row[i] = self.known[pieces[i]]
@@ -168,8 +168,11 @@ def count_ids(encoded: DataFrame, kind: str) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                found = np.bincount(np.frombuffer(ids.as_buffer(), kind))
+            texts = batch.column(0)
+            offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+            ids = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view(kind)  # of all rows
+            for at in range(0, len(ids), 1 << 22):
+                found = np.bincount(ids[at : at + (1 << 22)])
                 if len(found) > len(total):
                     found, total = total, found
                 total[: len(found)] += found
