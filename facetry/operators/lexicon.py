@@ -19,11 +19,13 @@ from pyspark.sql import types as T
 from facetry.functions.text import strip
 from facetry.operators.arrow import list_array, matrix
 from facetry.operators.blocks import sum_over
-from facetry.operators.lookup import fits_broadcast, salted_join
+from facetry.operators.lookup import attach, fits_broadcast, salted_join
 from facetry.operators.projection import Gram, Spectrum, spectrum
 from facetry.session import stage
 
-MAX_CATEGORIES = 4_000
+#: Up to this width the crossproduct of the scores is summed and solved at once, beyond it by subspace iteration.
+DENSE_CATEGORIES = 4_000
+OVERSAMPLE, STEPS, TOLERANCE = 8, 100, 1e-12
 
 
 def tokens(text: Column) -> Column:
@@ -82,16 +84,19 @@ def _sparse_small(df: DataFrame, item_id: str, text: str, terms: Terms) -> DataF
     return df.select(item_id, words.alias("_tokens")).mapInArrow(run, schema)
 
 
-def _sparse_large(df: DataFrame, item_id: str, text: str, by_term: DataFrame, columns: DataFrame) -> DataFrame:
-    """The same by joins, for a lexicon too large to travel; frequent terms are salted."""
+def _long_scores(df: DataFrame, item_id: str, text: str, by_term: DataFrame) -> DataFrame:
+    """``(item_id, category, score)`` by joins, for a lexicon too large to travel; frequent terms are salted."""
     # The count is taken below the explode: above it, every token would carry the whole text.
     split = df.select(item_id, tokens(F.col(text)).alias("_tokens")).withColumn("n_tokens", F.size("_tokens"))
     words = split.select(item_id, "n_tokens", F.explode("_tokens").alias("term"))
-    counted = words.groupBy(item_id, "n_tokens", "term").agg(F.count("*").alias("n"))
+    counted = stage(words.groupBy(item_id, "n_tokens", "term").agg(F.count("*").alias("n")), "term-counts")
     known = salted_join(counted, by_term, ["term"], "inner", item_id)
     hits = known.select(item_id, "n_tokens", "n", F.explode("categories").alias("category"))
-    sums = hits.groupBy(item_id, "n_tokens", "category").agg((F.sum("n") / F.col("n_tokens")).alias("score"))
-    placed = sums.join(F.broadcast(columns), "category")  # at most MAX_CATEGORIES rows
+    return hits.groupBy(item_id, "n_tokens", "category").agg((F.sum("n") / F.col("n_tokens")).alias("score")).select(item_id, "category", "score")
+
+
+def _sparse_large(df: DataFrame, item_id: str, text: str, by_term: DataFrame, columns: DataFrame) -> DataFrame:
+    placed = attach(_long_scores(df, item_id, text, by_term), columns, ["category"], "inner", spread_by=item_id)
     grouped = placed.groupBy(item_id).agg(F.collect_list(F.struct("column", "score")).alias("hits"))
     filled = df.select(item_id).join(grouped, item_id, "left")
     cells = F.coalesce("hits", F.array().cast("array<struct<column:int,score:double>>"))
@@ -100,10 +105,7 @@ def _sparse_large(df: DataFrame, item_id: str, text: str, by_term: DataFrame, co
 
 def _categories(lexicon: DataFrame) -> tuple[list, DataFrame]:
     """Sorted category names, and the table ``(category, column)``."""
-    names = [r["category"] for r in lexicon.select("category").distinct().limit(MAX_CATEGORIES + 1).collect()]
-    if len(names) > MAX_CATEGORIES:
-        raise ValueError(f"more than {MAX_CATEGORIES} categories")
-    names = sorted(names)
+    names = sorted(r["category"] for r in lexicon.select("category").distinct().collect())  # which the diagnostics list
     schema = T.StructType([T.StructField("category", lexicon.schema["category"].dataType), T.StructField("column", T.IntegerType())])
     return names, lexicon.sparkSession.createDataFrame(list(zip(names, range(len(names)))), schema)
 
@@ -114,19 +116,27 @@ def sparse_scores(df: DataFrame, item_id: str, text: str, lexicon: DataFrame) ->
     With a lexicon of measured small size this is a single pass over the texts.
     """
     names, columns = _categories(lexicon)
-    pairs = lexicon.select("category", F.lower("term").alias("term")).distinct()
-    by_term = stage(pairs.groupBy("term").agg(F.collect_set("category").alias("categories")), "lexicon")
+    by_term = _by_term(lexicon)
     if fits_broadcast(by_term):
         return _sparse_small(df, item_id, text, Terms(names, by_term.collect())), names, columns
     return _sparse_large(df, item_id, text, by_term, columns), names, columns
 
 
+def _by_term(lexicon: DataFrame) -> DataFrame:
+    pairs = lexicon.select("category", F.lower("term").alias("term")).distinct()
+    return stage(pairs.groupBy("term").agg(F.collect_set("category").alias("categories")), "lexicon")
+
+
 def category_scores(df: DataFrame, item_id: str, text: str, lexicon: DataFrame) -> DataFrame:
-    """Non-zero scores ``(item_id, category, score)``."""
-    sparse, _, columns = sparse_scores(df, item_id, text, lexicon)
+    """Non-zero scores ``(item_id, category, score)``, of any number of categories."""
+    by_term = _by_term(lexicon)
+    if not fits_broadcast(by_term):
+        return _long_scores(df, item_id, text, by_term)
+    names, columns = _categories(lexicon)
+    sparse = _sparse_small(df, item_id, text, Terms(names, by_term.collect()))
     cells = sparse.select(item_id, F.explode(F.arrays_zip("cols", "vals")).alias("c"))
     flat = cells.select(item_id, F.col("c.cols").alias("column"), F.col("c.vals").alias("score"))
-    return flat.join(F.broadcast(columns), "column").select(item_id, "category", "score")  # at most MAX_CATEGORIES rows
+    return flat.join(F.broadcast(columns), "column").select(item_id, "category", "score")  # as many rows as the lexicon that fits
 
 
 def category_summary(df: DataFrame, item_id: str, text: str, lexicon: DataFrame) -> DataFrame:
@@ -193,6 +203,62 @@ def _moments(sparse: DataFrame, width: int) -> Gram:
     return Gram.from_flat(sum_over(sparse.select("cols", "vals"), partial), width)
 
 
+def _cells(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and value of every score in a batch."""
+    cols, vals = batch.column(batch.schema.get_field_index("cols")), batch.column(batch.schema.get_field_index("vals"))
+    rows = np.repeat(np.arange(batch.num_rows), np.diff(cols.offsets.to_numpy()))
+    return rows, cols.flatten().to_numpy(), vals.flatten().to_numpy()
+
+
+def _add_rows(places: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Sums of ``rows`` by place."""
+    out = np.zeros((size, rows.shape[1]))
+    if len(places):
+        order = np.argsort(places, kind="stable")
+        at = np.flatnonzero(np.diff(places[order], prepend=-1))
+        out[places[order][at]] = np.add.reduceat(rows[order], at, axis=0)
+    return out
+
+
+def _times(batch: pa.RecordBatch, matrix_: np.ndarray) -> np.ndarray:
+    row, column, value = _cells(batch)
+    return _add_rows(row, value[:, None] * matrix_[column], batch.num_rows)
+
+
+def _wide_spectrum(sparse: DataFrame, width: int, k: int) -> tuple[Spectrum, np.ndarray, np.ndarray]:
+    """The leading singular vectors by subspace iteration, and sums and sums of squares per category.
+
+    A step is one pass over the stored scores; tasks and the driver hold ``width * (k + 8)`` numbers.
+    """
+    m = min(width, k + OVERSAMPLE)
+    basis = np.linalg.qr(np.random.default_rng(0).normal(size=(width, m)))[0]
+    last = None
+    for _ in range(STEPS):
+
+        def partial(batches: Iterator[pa.RecordBatch], basis=basis) -> np.ndarray | None:
+            total, seen = np.zeros((width, m + 2)), False
+            for batch in batches:
+                row, column, value = _cells(batch)
+                scores = _add_rows(row, value[:, None] * basis[column], batch.num_rows)
+                total += _add_rows(column, np.column_stack([value[:, None] * scores[row], value, value**2]), width)
+                seen = True
+            return total.ravel() if seen else None
+
+        flat = sum_over(sparse.select("cols", "vals"), partial)
+        found = flat.reshape(width, m + 2)
+        inner = spectrum(basis.T @ found[:, :m], m)
+        if last is not None and np.abs(inner.values[:k] - last[:k]).max() <= TOLERANCE * max(inner.values[0], 1e-300):
+            break
+        last, used = inner.values, basis
+        basis = np.linalg.qr(found[:, :m])[0]
+    else:
+        basis = used  # out of steps: the basis that ``inner`` was found for
+    loadings = basis @ inner.loadings[:, :k]
+    largest = np.abs(loadings).argmax(axis=0)
+    loadings = loadings * np.where(loadings[largest, np.arange(k)] < 0, -1.0, 1.0)
+    return Spectrum(loadings, inner.values[:k]), found[:, m], found[:, m + 1]
+
+
 def lexicon_controls(
     df: DataFrame, item_id: str, text: str, lexicon: DataFrame, n_components: int = 10
 ) -> tuple[DataFrame, LexiconControls]:
@@ -205,21 +271,24 @@ def lexicon_controls(
     if n_components > width:
         raise ValueError(f"n_components ({n_components}) exceeds the number of categories ({width})")
     sparse = stage(sparse, "lexicon-scores")
-    g = _moments(sparse, width)
     counts = count_empty(df, text).first()
     n = counts.n_items
-    spec = spectrum(g.cross, n_components)
-    means = g.sums / n
-    variances = np.clip(np.diag(g.cross) / n - means**2, 0, None)
+    if width <= DENSE_CATEGORIES:
+        g = _moments(sparse, width)
+        spec, sums, squares = spectrum(g.cross, n_components), g.sums, np.diag(g.cross)
+    else:
+        spec, sums, squares = _wide_spectrum(sparse, width, n_components)
+    means = sums / n
+    variances = np.clip(squares / n - means**2, 0, None)
     score_means = means @ spec.loadings
     ratios = (spec.values**2 / n - score_means**2) / variances.sum()
     fit = LexiconControls(names, spec, ratios, means, np.sqrt(variances), n, counts.n_empty)
 
-    loadings = spec.loadings
+    shared = df.sparkSession.sparkContext.broadcast(spec.loadings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = _fill(batch, width) @ loadings
+            scores = _times(batch, shared.value)
             present = np.ones(batch.num_rows, dtype=bool)
             yield pa.RecordBatch.from_arrays([batch.column(0), list_array(scores, present, pa.float64())], names=[item_id, "controls"])
 

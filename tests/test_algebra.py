@@ -125,3 +125,22 @@ def test_lexicon_controls_against_numpy(spark):
     assert np.allclose(fit.means, dense.mean(0)) and np.allclose(fit.stds, dense.std(0))
     with pytest.raises(ValueError):
         lexicon.lexicon_controls(df, "item_id", "text", terms, 5)
+
+
+def test_many_categories(spark, monkeypatch):
+    """More categories than the dense solve takes: same controls by subspace iteration, and plain scores at any number."""
+    df, terms = lexicon_tables(spark)
+    out, fit = lexicon.lexicon_controls(df, "item_id", "text", terms, 2)
+    monkeypatch.setattr(lexicon, "DENSE_CATEGORIES", 1)
+    wide, other = lexicon.lexicon_controls(df, "item_id", "text", terms, 2)
+    assert np.allclose(fit.spectrum.values, other.spectrum.values) and np.allclose(fit.explained_variance_ratio, other.explained_variance_ratio)
+    dense = {r.item_id: r.controls for r in out.collect()}
+    assert all(np.allclose(dense[r.item_id], r.controls, atol=1e-6) for r in wide.collect())
+    rows = [(f"c{i:05}", f"term{i}") for i in range(5000)]
+    many = spark.createDataFrame(rows, "category string, term string")
+    texts = spark.createDataFrame([(i, f"term{i} term{i + 1} other") for i in range(40)], "item_id long, text string")
+    assert lexicon.category_summary(texts, "item_id", "text", many).count() == 5000
+    controls, fit = lexicon.lexicon_controls(texts, "item_id", "text", many, 3)
+    x = np.zeros((40, 41))
+    x[range(40), range(40)] = x[range(40), range(1, 41)] = 1 / 3
+    assert np.allclose(fit.spectrum.values, np.linalg.svd(x)[1][:3], rtol=1e-4) and controls.count() == 40
