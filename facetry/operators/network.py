@@ -22,8 +22,6 @@ from facetry.functions import vectors
 from facetry.functions.hashing import DIGITS, SPAN
 from facetry.operators.arrow import list_array, matrix
 
-MAX_WEIGHT_BYTES = 512 * 1024 * 1024
-
 # Default hyperparameters.
 DEFAULT_SHAPE = {
     "mini_batch_size": 10,
@@ -82,12 +80,10 @@ def initial_weight(seed: int, layer: str, row: int, column: int) -> float:
 
 
 class Network:
-    """Hyperparameters and weights; small enough to travel with a task."""
+    """Hyperparameters and weights. They travel as a broadcast variable, once per executor."""
 
     def __init__(self, shape: dict, weights: dict[str, np.ndarray]):
         self.shape, self.weights = shape, weights
-        if sum(w.nbytes for w in weights.values()) > MAX_WEIGHT_BYTES:
-            raise ValueError(f"weights exceed {MAX_WEIGHT_BYTES} bytes: too many classes or units")
 
     @classmethod
     def initial(cls, shape: dict, seed: int = 42) -> Network:
@@ -219,7 +215,10 @@ def score(
     added = names + ([f"{a}_logits" for a in names] if with_logits else [])
     schema = T.StructType([*[df.schema[c] for c in keep], *[T.StructField(n, T.ArrayType(T.DoubleType())) for n in added]])
 
+    shared = df.sparkSession.sparkContext.broadcast(network)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        network = shared.value
         for batch in batches:
             x, present = matrix(batch.column(len(keep)))
             found = network.representations(x.reshape(-1, mask))

@@ -27,8 +27,7 @@ from facetry.session import stage
 
 # Optimiser defaults.
 BETA_1, BETA_2, EPSILON = 0.9, 0.999, 1e-8
-ROWS_PER_SHARD = 20_000
-MAX_SHARDS = 4096
+SHARDS = 8
 
 
 def training_rows(
@@ -77,10 +76,11 @@ class Shards:
 
 
 def place(rows: DataFrame, attributes: list[str], mask: int, slots: int, item_id: str = "item_id",
-          shards: int | None = None, label_suffix: str = "_idx") -> Shards:
-    """Shards depend on the rows only, not on the cluster: by default one per 20,000 rows."""
-    if shards is None:
-        shards = min(max(8, -(-rows.count() // ROWS_PER_SHARD)), MAX_SHARDS)
+          shards: int = SHARDS, label_suffix: str = "_idx") -> Shards:
+    """Rows by shard. With ``sync="weights"`` the number of shards is the degree of averaging.
+
+    So it is a parameter of the training, whatever the table and the cluster; large tables ask for more.
+    """
     flat = F.flatten(F.transform("cells", lambda v: vectors.trim(v, mask))).alias("cells")
     labels = [F.col(f"{a}{label_suffix}").alias(f"_{a}") for a in attributes]
     spread = rows.repartition(shards, item_id).sortWithinPartitions(item_id).select(flat, *labels)
@@ -125,9 +125,10 @@ def _means(names: list[str], sums: np.ndarray) -> dict[str, float]:
 def evaluate(shards: Shards, network: Network) -> dict[str, float]:
     """Row means of the losses and accuracies, dropout off."""
     layout, names = shards.layout, loss_names(shards.layout.attributes)
+    shared = shards.df.sparkSession.sparkContext.broadcast(network)
 
     def partial(stream: Iterator[pa.RecordBatch]) -> np.ndarray | None:
-        total, seen = np.zeros(len(names)), False
+        network, total, seen = shared.value, np.zeros(len(names)), False
         for cells, labels in layout.batches(stream):
             sums, _ = network.losses(cells, labels, slopes=False)
             total, seen = total + [sums[k] for k in names], True
@@ -143,7 +144,10 @@ def train_epoch(shards: Shards, network: Network, state: AdamW, rate: float, dec
     layout, names = shards.layout, loss_names(shards.layout.attributes)
     size = len(state.weights)
 
+    shared = shards.df.sparkSession.sparkContext.broadcast((network, state))  # once per executor, not per task
+
     def local_steps(stream: Iterator[pa.RecordBatch]) -> np.ndarray | None:
+        network, state = shared.value
         rng = np.random.default_rng([seed, epoch, TaskContext.get().partitionId()])
         own = AdamW(state.weights, state.first, state.second, state.steps)
         total = np.zeros(len(names))
@@ -161,6 +165,7 @@ def train_epoch(shards: Shards, network: Network, state: AdamW, rate: float, dec
         return np.concatenate([total, [n * own.steps], n * own.weights, n * own.first, n * own.second])
 
     def whole_gradient(stream: Iterator[pa.RecordBatch]) -> np.ndarray | None:
+        network, _ = shared.value
         rng = np.random.default_rng([seed, epoch, TaskContext.get().partitionId()])
         total, gradient = np.zeros(len(names)), np.zeros(size)
         for cells, labels in layout.batches(stream):
@@ -173,6 +178,7 @@ def train_epoch(shards: Shards, network: Network, state: AdamW, rate: float, dec
     if sync not in ("weights", "gradient"):
         raise ValueError(f"unknown sync {sync!r}")
     flat = sum_over(shards.df, local_steps if sync == "weights" else whole_gradient, merge_splits=False)
+    shared.unpersist()
     if flat is None:
         raise ValueError("no training rows")
     losses, rest = flat[: len(names)], flat[len(names) :]
@@ -216,7 +222,7 @@ def train_network(
     start_from_epoch: int = 3,
     seed: int = 42,
     sync: str = "weights",
-    shards: int | None = None,
+    shards: int = SHARDS,
     item_id: str = "item_id",
     on_improvement=None,
 ) -> tuple[Network, list[dict]]:
