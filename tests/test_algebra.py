@@ -144,3 +144,40 @@ def test_many_categories(spark, monkeypatch):
     x = np.zeros((40, 41))
     x[range(40), range(40)] = x[range(40), range(1, 41)] = 1 / 3
     assert np.allclose(fit.spectrum.values, np.linalg.svd(x)[1][:3], rtol=1e-4) and controls.count() == 40
+
+
+def test_ridge_with_many_labels(spark, monkeypatch):
+    """Conjugate gradients on tables give what the dense solve gives, and fit more labels than it takes."""
+    rng = np.random.default_rng(4)
+    rows = [(i, f"a{rng.integers(30)}", f"b{rng.integers(6) ** 2}", rng.normal(size=3).tolist()) for i in range(400)]
+    df = spark.createDataFrame([*rows, (400, "a1", "b0", None)], "item_id long, a string, b string, v array<double>")
+    columns = {"a": "a", "b": "b"}
+    dense = ridge.fit_ridge(df, columns, "v", 3, alpha=0.7, n_nuisance_dims=2)
+    monkeypatch.setattr(ridge, "DENSE_LABELS", 3)
+    wide = ridge.fit_ridge(df, columns, "v", 3, alpha=0.7, n_nuisance_dims=2)
+    monkeypatch.undo()
+    assert wide.coefficients is None and np.allclose(wide.intercept, dense.intercept)
+    frame = lambda fit: {(r.attribute, r.idx): r.coefficients for r in fit.coefficient_frame(spark).collect()}
+    assert frame(wide).keys() == frame(dense).keys() and all(np.allclose(v, frame(dense)[k]) for k, v in frame(wide).items())
+    assert np.allclose(wide.spectrum.values, dense.spectrum.values) and np.allclose(wide.residual_variance_ratio, dense.residual_variance_ratio)
+    scored = {r.item_id: r for r in wide.score(df, columns, "v", spread_by="item_id").collect()}
+    for r in dense.score(df, columns, "v").collect():
+        for name in ("fitted", "residual", "nuisance"):
+            assert (scored[r.item_id][name] is None) == (r[name] is None)
+            assert r[name] is None or np.allclose(scored[r.item_id][name], r[name])
+
+
+def test_ridge_beyond_the_dense_solve(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, f"a{i % 11_000}", f"b{rng.integers(4)}", rng.normal(size=2).tolist()) for i in range(15_000)]
+    df = spark.createDataFrame(rows, "item_id long, a string, b string, v array<double>")
+    fit = ridge.fit_ridge(df, {"a": "a", "b": "b"}, "v", 2, alpha=1.0, n_nuisance_dims=1)
+    assert sum(fit.sizes.values()) == 11_004 > ridge.DENSE_LABELS
+    scored = fit.mapping.transform(fit.score(df, {"a": "a", "b": "b"}, "v", spread_by="item_id"), {"a": "a", "b": "b"}).toPandas()
+    residual = np.stack(scored.residual)
+    assert np.allclose(residual.sum(0), 0, atol=1e-6)  # the intercept is free
+    for name in ("a", "b"):  # residuals of a label add up to alpha times its coefficients
+        sums = np.zeros((fit.sizes[name], 2))
+        np.add.at(sums, scored[f"{name}_idx"].to_numpy(), residual)
+        w = {r.idx: r.coefficients for r in fit.coefficient_frame(spark).filter(f"attribute = '{name}'").collect()}
+        assert np.allclose(sums, [w[i] for i in range(len(w))], atol=1e-6)
