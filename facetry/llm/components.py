@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facetry.operators.lookup import salted_join
 from facetry.session import stage
 
 
@@ -16,14 +17,14 @@ def _stars(edges: DataFrame, small: bool) -> DataFrame:
     """One contraction: neighbours of a node are linked to the least of them instead.
 
     The large one moves the neighbours above a node, the small one those below it and
-    the node itself. Least neighbours are found map-side first; the join can be split where a node has
-    very many links.
+    the node itself. Least neighbours are found map-side first; a node with very many
+    links is spread over several salts to meet its own.
     """
     links = edges.filter("u > v") if small else _both_ways(edges)
-    least = links.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")).withColumnRenamed("u", "w")
-    met = links.join(least, links["u"] == least["w"])
+    least = links.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    met = salted_join(links, least, ["u"], "inner", spread_by="v")
     if small:
-        moved = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("w").alias("u"), F.col("m").alias("v")))
+        moved = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
     else:
         moved = met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.filter("u <> v").distinct()

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from facetry.llm.common import table, whole
 from facetry.llm.components import components
+from facetry.operators.lookup import salted_join
 from facetry.session import stage
 
 #: Word hashes remembered by one Python worker; shingles hashed at once; members of a block; columns multiplied at once.
@@ -218,7 +219,7 @@ def near_duplicates(docs: DataFrame, sketch: Sketch = Sketch(), key: str = "doc_
 
     sets = texts.mapInArrow(full, "rep long, items binary").groupBy("rep").agg(F.min("items").alias("items"))
     sizes = gathered.groupBy("hub").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    placed = gathered.join(sizes, "hub").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    placed = salted_join(gathered, sizes, ["hub"], "inner", spread_by="rep").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("a"), F.greatest("block", o).alias("b")))
     rows = placed.join(sets, "rep").select("hub", "rep", "items", F.inline(pairs))
     found = components(_block_links(rows.select("hub", "a", "b", "rep", "items"), sketch.percent), "u", "v")
