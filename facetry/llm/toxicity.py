@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetry.llm.common import is_held_out, table, whole
+from facetry.session import stage
 
 WORD = re.compile(r"\w+")
 #: Words remembered by one Python worker.
@@ -29,6 +30,8 @@ CACHE = 400_000
 _memory: dict[str, Terms] = {}
 
 
+#: Rows that a term must be in to be tried.
+LEAST_ROWS = 3
 #: Lengths of the stems that count as terms beside the word, so that endings don't hide one.
 STEMS = (4, 5, 6)
 
@@ -83,46 +86,42 @@ class Terms:
         return sorted(found)
 
 
+def informative(terms: np.ndarray, seen: np.ndarray, hits: np.ndarray, n: int, positive: int, n_terms: int) -> np.ndarray:
+    """The terms with most evidence, sorted: in ``seen`` of ``n`` rows and in ``hits`` of the ``positive`` ones.
+
+    Evidence is the log likelihood ratio (G squared) of the counts against independence. What
+    chance alone reaches grows with the number of terms tried, so the bar does too.
+    """
+    tried = seen >= LEAST_ROWS
+    terms, seen, hits = terms[tried], seen[tried].astype(float), hits[tried].astype(float)
+    share = positive / n
+    parts = [(hits, seen * share), (seen - hits, seen * (1 - share))]
+    parts += [(positive - hits, positive - seen * share), (n - positive - seen + hits, (n - positive) - seen * (1 - share))]
+    evidence = sum(2 * a * np.log(np.maximum(a, 1e-12) / np.maximum(b, 1e-12)) for a, b in parts)
+    chosen = np.lexsort((terms, -evidence))[:n_terms]
+    return np.sort(terms[chosen[evidence[chosen] > 2 * np.log(max(len(terms), 2))]])
+
+
 def train(
-    rows: list[np.ndarray], labels: np.ndarray, n_terms: int = 4096, rank: int = 8, epochs: int = 12, rate: float = 0.1,
+    terms: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, rank: int = 8, epochs: int = 12, rate: float = 0.1,
     decay: float = 1e-4, seed: int = 0,
 ) -> FactorizationMachine:
-    """Fit on rows of distinct term hashes: logistic loss, adaptive gradient steps, L2 decay."""
+    """Fit on rows of distinct positions in ``terms``: logistic loss, adaptive gradient steps, L2 decay."""
     rng = np.random.default_rng(seed)
     n, positive = len(rows), int(labels.sum())
     prior = float(np.log((positive + 0.5) / (n - positive + 0.5)))
-    none = FactorizationMachine(np.zeros(0, np.int64), prior, np.zeros(0), np.zeros((0, rank)), uuid.uuid4().hex)
-    if not positive or positive == n:
-        return none
-    sizes = np.array([len(r) for r in rows])
-    flat, of = np.concatenate(rows), np.repeat(np.arange(n), sizes)
-    terms, flat = np.unique(flat, return_inverse=True)
-    # Evidence of a term: the log likelihood ratio (G squared) of its counts against independence. What chance
-    # alone reaches grows with the number of terms tried, so the bar does too.
-    seen = np.bincount(flat, minlength=len(terms)).astype(float)
-    hits = np.bincount(flat, labels[of].astype(float), len(terms))
-    share = positive / n
-    parts = [(hits, seen * share), (seen - hits, seen * (1 - share))]
-    parts += [(positive - hits, positive - seen * share), (n - positive - seen + hits, (n - positive) - seen * (1 - share))]
-    evidence = sum(2 * a * np.log(np.maximum(a, 1e-12) / np.maximum(b, 1e-12)) for a, b in parts)
-    tried = seen >= 3
-    evidence[~tried] = 0
-    chosen = np.argsort(-evidence, kind="stable")[:n_terms]
-    chosen = np.sort(chosen[evidence[chosen] > 2 * np.log(max(tried.sum(), 2))])
-    if not len(chosen):
-        return none
-    place = np.full(len(terms), -1)
-    place[chosen] = np.arange(len(chosen))
-    keep = place[flat] >= 0
-    flat, of = place[flat[keep]], of[keep]
-    starts = np.searchsorted(of, np.arange(n + 1))
-    weights, factors, bias = np.zeros(len(chosen)), rng.normal(0, 0.02, (len(chosen), rank)), prior
-    g_w, g_f, g_b = np.full(len(chosen), 1e-4), np.full((len(chosen), rank), 1e-4), 1e-4
+    if not len(terms):
+        return FactorizationMachine(np.zeros(0, np.int64), prior, np.zeros(0), np.zeros((0, rank)), uuid.uuid4().hex)
+    flat = np.concatenate(rows).astype(np.int64)
+    starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+
+    weights, factors, bias = np.zeros(len(terms)), rng.normal(0, 0.02, (len(terms), rank)), prior
+    g_w, g_f, g_b = np.full(len(terms), 1e-4), np.full((len(terms), rank), 1e-4), 1e-4
     for _ in range(epochs):
         order = rng.permutation(n)
         for at in range(0, n, 256):
             some = order[at : at + 256]
-            x = np.zeros((len(some), len(chosen)))
+            x = np.zeros((len(some), len(terms)))
             for i, row in enumerate(some):
                 x[i, flat[starts[row] : starts[row + 1]]] = 1
             used = np.flatnonzero(x.any(0))
@@ -138,34 +137,54 @@ def train(
             weights[used] -= rate * d_w / np.sqrt(g_w[used])
             factors[used] -= rate * d_f / np.sqrt(g_f[used])
             bias -= rate * error.sum() / np.sqrt(g_b)
-    return FactorizationMachine(terms[chosen], float(bias), weights, factors, uuid.uuid4().hex)
+    return FactorizationMachine(terms, float(bias), weights, factors, uuid.uuid4().hex)
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000, **options) -> FactorizationMachine:
+def fit(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000,
+    n_terms: int = 4096, **options,
+) -> FactorizationMachine:
     """Learn from at most ``sample`` labelled rows outside the held-out fold, those whose keys hash lowest.
 
-    A key with several labels counts as positive if one of them is. Without labels of both
-    kinds every text gets the prior.
+    A key with several labels counts as positive if one of them is; copies of a text count once. Terms are
+    counted by Spark; the driver gets those in three or more rows, and per row the
+    positions of the chosen ones. Without labels of both kinds every text gets the prior.
     """
     known = labels.select(F.col(key).alias("_key"), F.col(label_col).cast("int").alias("_label")).filter("_key IS NOT NULL AND _label IS NOT NULL")
-    known = known.filter(~is_held_out("_key")).groupBy("_key").agg(F.max("_label").alias("_label"))
+    known = known.filter(~is_held_out("_key")).groupBy("_key").agg(F.max((F.col("_label") > 0).cast("int")).alias("_label"))
     chosen = known.orderBy(F.xxhash64(F.lit("toxicity"), "_key"), "_key").limit(sample)
     texts = docs.select(F.col(key).alias("_key"), whole(text_col).alias("_text")).join(F.broadcast(chosen), "_key")
-    texts = texts.groupBy("_key", "_label").agg(F.min("_text").alias("_text"))
+    texts = stage(texts.groupBy("_text").agg(F.max("_label").alias("_label")), "labelled-texts")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [sorted({h for w in set(WORD.findall(t.as_py().lower())) for h in terms_of(w)}) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(rows, pa.list_(pa.int64()))], names=["key", "label", "terms"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows = [list({h for w in set(WORD.findall(t.as_py().lower())) for h in terms_of(w)}) for t in part.column(0)]
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(rows, pa.list_(pa.int64()))], names=["label", "terms"])
+
+    size = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum("_label"), F.lit(0)).alias("positive")).first()
+    terms = np.zeros(0, np.int64)
+    if 0 < size["positive"] < size["n"]:
+        each = texts.mapInArrow(hashed, "label int, terms array<long>").select("label", F.explode("terms").alias("term"))
+        counts = each.groupBy("term").agg(F.count("*").alias("seen"), F.sum("label").alias("hits")).filter(F.col("seen") >= LEAST_ROWS).toArrow()
+        terms = informative(*[counts[c].to_numpy() for c in ("term", "seen", "hits")], size["n"], size["positive"], n_terms)
+    place = {int(t): i for i, t in enumerate(terms)}
+    shared = docs.sparkSession.sparkContext.broadcast(FactorizationMachine(terms, 0.0, np.zeros(0), np.zeros((0, 0)), ""))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Terms(shared.value)
+        for batch in batches:
+            rows = [found.positions(t.as_py()) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.list_(pa.int32()))], names=["label", "terms"])
 
-    rows = texts.mapInArrow(hashed, "key string, label int, terms array<long>").toArrow().sort_by("key")
+    rows = texts.mapInArrow(placed, "label int, terms array<int>").orderBy("terms", "label").toArrow() if place else None
+    if rows is None:
+        labels = np.repeat([1.0, 0.0], [size["positive"], size["n"] - size["positive"]])
+        return train(terms, [np.zeros(0, np.int64)] * size["n"], labels, **options)
     lists = rows["terms"].combine_chunks()
     flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
-    distinct: dict[bytes, int] = {}  # copies of a text count once
-    for a, b, label in zip(at, at[1:], rows["label"].to_numpy() > 0):
-        found = flat[a:b].tobytes()
-        distinct[found] = max(distinct.get(found, 0), int(label))
-    return train([np.frombuffer(r, np.int64) for r in distinct], np.array(list(distinct.values()), float), **options)
+    return train(terms, [flat[a:b] for a, b in zip(at, at[1:])], rows["label"].to_numpy().astype(float), **options)
 
 
 def score(docs: DataFrame, model: FactorizationMachine, key: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -13,11 +13,19 @@ def test_interactions_are_learned():
     for _ in range(3000):
         insult, group = (rng.random(2) < 0.4).tolist()
         words = [f"w{i}" for i in rng.integers(0, 50, 8)] + ["insult"] * insult + ["group"] * group
-        rows.append(np.array(sorted({h for w in words for h in toxicity.terms_of(w)})))
+        rows.append(sorted({h for w in words for h in toxicity.terms_of(w)}))
         labels.append(float(insult and group))
-    model = toxicity.train(rows[:2500], np.array(labels[:2500]), epochs=40)
-    place = {int(t): i for i, t in enumerate(model.terms)}
-    scores = model.score([[place[int(h)] for h in r if int(h) in place] for r in rows[2500:]])
+    counted, seen = np.unique(np.concatenate(rows[:2500]), return_counts=True)
+    hits = {t: 0 for t in counted.tolist()}
+    for row, label in zip(rows[:2500], labels):
+        for t in row:
+            hits[t] += label
+    terms = toxicity.informative(counted, seen, np.array(list(hits.values())), 2500, int(sum(labels[:2500])), 100)
+    assert set(toxicity.terms_of("insult") + toxicity.terms_of("group")) <= set(terms.tolist()) and len(terms) < 20
+    place = {int(t): i for i, t in enumerate(terms)}
+    placed = [np.array(sorted(place[h] for h in r if h in place), np.int64) for r in rows]
+    model = toxicity.train(terms, placed[:2500], np.array(labels[:2500]), epochs=40)
+    scores = model.score([p.tolist() for p in placed[2500:]])
     assert ((scores > 0.5) == (np.array(labels[2500:]) > 0)).mean() > 0.98
 
 
