@@ -114,7 +114,6 @@ def train(
         return FactorizationMachine(np.zeros(0, np.int64), prior, np.zeros(0), np.zeros((0, rank)), uuid.uuid4().hex)
     flat = np.concatenate(rows).astype(np.int64)
     starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-
     weights, factors, bias = np.zeros(len(terms)), rng.normal(0, 0.02, (len(terms), rank)), prior
     g_w, g_f, g_b = np.full(len(terms), 1e-4), np.full((len(terms), rank), 1e-4), 1e-4
     for _ in range(epochs):
@@ -178,13 +177,14 @@ def fit(
             rows = [found.positions(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.list_(pa.int32()))], names=["label", "terms"])
 
-    rows = texts.mapInArrow(placed, "label int, terms array<int>").orderBy("terms", "label").toArrow() if place else None
+    rows = texts.mapInArrow(placed, "label int, terms array<int>").toArrow() if place else None
     if rows is None:
         labels = np.repeat([1.0, 0.0], [size["positive"], size["n"] - size["positive"]])
         return train(terms, [np.zeros(0, np.int64)] * size["n"], labels, **options)
     lists = rows["terms"].combine_chunks()
     flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
-    return train(terms, [flat[a:b] for a, b in zip(at, at[1:])], rows["label"].to_numpy().astype(float), **options)
+    found = sorted(((flat[a:b], label) for a, b, label in zip(at, at[1:], rows["label"].to_pylist())), key=lambda r: (r[0].tobytes(), r[1]))
+    return train(terms, [r for r, _ in found], np.array([label for _, label in found], float), **options)
 
 
 def score(docs: DataFrame, model: FactorizationMachine, key: str = "doc_id", text_col: str = "text") -> DataFrame:
