@@ -31,7 +31,7 @@ PAGE_IDS = 65_536
 #: Decoded together: pages of a batch, as far as they have this many ids.
 DECODE_IDS = 1_000_000
 #: Pieces remembered by one Python worker.
-CACHE = 800_000
+CACHE = 1_200_000
 
 _encoders: dict[str, PieceEncoder] = {}
 
@@ -55,6 +55,17 @@ def spelled(word: str) -> str:
     return word if word.isascii() else "".join([BYTES[b] for b in word.encode()])
 
 
+def folded(text: str) -> str:
+    """The text in lower case if that surely changes no id: Latin-1, where each letter has its own, and no special token."""
+    if "<|" in text:
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 class PieceEncoder:
     """Ids of texts through a memory of pieces.
 
@@ -114,7 +125,7 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE or len(self.words) > CACHE:
             self._forget()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [(folded(t) if self.short else t).replace("\n", " ").split(" ") for t in texts]
         found = [list(map(self.known.get, pieces)) for pieces in split]
         missing = [[i for i, ids in enumerate(row) if ids is None] for row in found]
         new = {pieces[i] for pieces, places in zip(split, missing) for i in places}
