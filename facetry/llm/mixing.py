@@ -3,7 +3,8 @@
 A row of a source is repeated ``N`` times, ``N`` Poisson with the source's rate: its
 share of the target over its share of the rows. ``N`` inverts the distribution at a
 draw hashed from the seed and the row's key, so the copies of a row are the same on
-every run, partitioning and retry. The copies then go through one global shuffle: each
+every run, partitioning and retry. Rows without a key are told apart by a digest of all
+their columns and a number among equal ones. The copies then go through one global shuffle: each
 has a hashed order value, partition ``p`` of ``n`` takes the ``p``-th n-th part of its
 range, and rows are sorted within partitions, so the whole output is in order of that
 value. Nothing is keyed by source but one count per source, so a hot source does not
@@ -22,6 +23,8 @@ from facetry.operators.lookup import attach
 PART_RATE = 256.0
 DIGITS = 12
 ORDER_BITS = 4 * DIGITS
+#: Equal rows without a key that one task numbers at a time.
+CHUNK = 1000
 
 
 def _hashed(*parts: Column | str | int) -> Column:
@@ -66,33 +69,52 @@ def rates(docs: DataFrame, source_col: str = "source", alpha: float = 0.5, weigh
     return found.select("source", "rate", "parts", distribution(F.col("rate") / F.col("parts")).alias("cdf"))
 
 
+def _told_apart(rows: DataFrame, n: int) -> DataFrame:
+    """``_id`` added to (_row, _key): the key as text; where it is null, a digest of the row and its number among equal rows.
+
+    Equal rows are interchangeable, so they are counted and numbered anew, in chunks dealt
+    over all tasks: many equal rows make no hot task.
+    """
+    keyed = rows.filter("_key IS NOT NULL").withColumn("_id", F.col("_key").cast("string"))
+    bare = rows.filter("_key IS NULL")
+    if bare.isEmpty():
+        return keyed
+    counted = bare.groupBy(F.md5(F.to_json("_row")).alias("_digest")).agg(F.any_value("_row").alias("_row"), F.count("*").alias("_m"))
+    chunks = counted.select("_row", "_digest", "_m", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m"), F.lit(CHUNK).cast("long"))).alias("_from"))
+    last = F.least(F.col("_from") + CHUNK - 1, F.col("_m"))
+    numbered = chunks.repartition(n, "_digest", "_from").select("_row", "_digest", F.explode(F.sequence("_from", last)).alias("_number"))
+    told = F.concat_ws(":", F.lit("row"), "_digest", "_number")
+    return keyed.unionByName(numbered.select("_row", F.lit(None).cast(rows.schema["_key"].dataType).alias("_key"), told.alias("_id")))
+
+
 def mix(
     docs: DataFrame, key: str = "doc_id", source_col: str = "source", alpha: float = 0.5,
     weights: DataFrame | None = None, seed: int = 0, partitions: int | None = None, names: tuple[str, str] = ("copy", "shuffle_key"),
 ) -> DataFrame:
     """The columns of ``docs``, the copy's number (1, 2, ..) and its order value under ``names``, in order of that value.
 
-    Rows with a null key draw as if it were the empty text; repeated rows draw alike and
-    so are repeated alike; an empty table gives an empty result. Columns of ``docs`` under
-    those names are replaced.
+    Each row with a null key draws on its own, also among equal ones; rows that share a key
+    draw alike and so are repeated alike; an empty table gives an empty result. Columns of
+    ``docs`` under those names are replaced.
     """
     spark = docs.sparkSession
     docs = docs.drop(*names)
     plan = rates(docs, source_col, alpha, weights).select(
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source"), F.col("source").isNull().alias("_none"), "parts", "cdf"
     )
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_key"),
-                       F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_source"), F.col(source_col).isNull().alias("_none"))
-    rows = attach(rows, plan, ["_source", "_none"], spread_by="_key")
-    draw = lambda part: _hashed(seed, F.col("_key"), part) / float(2**ORDER_BITS)
+    n = partitions or task_count(spark)
+    rows = _told_apart(docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_key")), n)
+    source = F.col("_row").getField(source_col)
+    rows = rows.select("_row", "_id", F.coalesce(source.cast("string"), F.lit("")).alias("_source"), source.isNull().alias("_none"))
+    rows = attach(rows, plan, ["_source", "_none"], spread_by="_id")
+    draw = lambda part: _hashed(seed, F.col("_id"), part) / float(2**ORDER_BITS)
     one = lambda part: F.size(F.filter("cdf", lambda c: c <= draw(part)))
     count = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("parts")), one), F.lit(0), lambda a, b: a + b)
-    copies = rows.select("_row", "_key", count.alias("_n")).filter("_n > 0")
-    copies = copies.select("_row", "_key", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy"))
-    copies = copies.withColumn("_order", _hashed(seed, "order", F.col("_key"), F.col("_copy")))
-    n = partitions or task_count(spark)
+    copies = rows.select("_row", "_id", count.alias("_n")).filter("_n > 0")
+    copies = copies.select("_row", "_id", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy"))
+    copies = copies.withColumn("_order", _hashed(seed, "order", F.col("_id"), F.col("_copy")))
     place = F.floor(F.col("_order") / float(2**ORDER_BITS) * n).cast("int")
-    shuffled = copies.repartitionById(n, place).sortWithinPartitions("_order", "_key", "_copy")
+    shuffled = copies.repartitionById(n, place).sortWithinPartitions("_order", "_id", "_copy")
     return shuffled.select("_row.*", F.col("_copy").alias(names[0]), F.col("_order").alias(names[1]))
 
 

@@ -42,3 +42,19 @@ def test_order_and_odd_rows(spark, odd, none):
     again = mixing.mix(odd.repartition(3), partitions=2).collect()
     assert sorted(map(repr, rows)) == sorted(map(repr, again))
     assert mixing.mix(none).count() == 0
+
+
+def test_rows_without_a_key_draw_on_their_own(spark):
+    """1,999 different rows and 2,001 equal ones, none with a key, and 4,000 rows with one."""
+    bare = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.least("id", F.lit(1999)).cast("string").alias("text"), F.lit("a").alias("source"))
+    keyed = spark.range(4000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"), F.lit("b").alias("source"))
+    df = bare.union(keyed)
+    got = mixing.mix(df, partitions=4).collect()
+    equal = [r for r in got if r.doc_id is None and r.text == "1999"]
+    other = [r for r in got if r.doc_id is None and r.text != "1999"]
+    assert abs(len(equal) - 2001) < 5 * 2001**0.5 and abs(len(other) - 1999) < 5 * 1999**0.5
+    assert abs(len({r.text for r in other}) - 1999 * (1 - math.exp(-1))) < 100
+    assert len({r.shuffle_key for r in equal + other}) == len(equal) + len(other)
+    assert sum(r.copy == 1 for r in equal) < 1500 and max(r.copy for r in equal) > 2
+    assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix(df.repartition(7), partitions=3).collect()))
+    assert {repr(r) for r in mixing.mix(keyed).collect()} == {repr(r) for r in got if r.doc_id is not None}
