@@ -1,8 +1,8 @@
 """URL filters: listed rules, and association rules for what they leave open.
 
 Listed rules name a host with its subdomains and a start of the path; the longest that
-fits decides. For other urls, FP-growth mines combinations of url tokens that go with the
-label "block" in labelled urls. Rules are pruned by support, confidence and lift, and a rule
+fits decides. For other urls, combinations of url tokens that go with the label "block" in
+labelled urls are mined set by set, of any length. Rules are pruned by support, confidence and lift, and a rule
 that adds tokens to another one without being surer is dropped. Matching goes through
 an inverted index: each rule is filed under one token, a url meets the rules of its own
 tokens, and a rule fires if the url has all its tokens.
@@ -10,18 +10,18 @@ tokens, and a rule fires if the url has all its tokens.
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetry.llm.common import let, table, whole
-from facetry.operators.lookup import fits_broadcast
+from facetry.operators.lookup import attach, fits_broadcast
 from facetry.session import stage
 
 #: (host, start of the path, verdict) of the standing list.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
          ("net", "/es/", "block"), ("net", "/fr/", "block")]
-BLOCKED = "label=block"
 
 
 def host_of(url: Column) -> Column:
@@ -60,14 +60,41 @@ def tokens_of(url: Column) -> Column:
     return F.array_distinct(F.concat(at_host, at_path, F.transform(keys, lambda x: F.concat(F.lit("query="), x))))
 
 
-def mine(
-    labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, min_lift: float = 1.2, widest: int = 8,
-) -> DataFrame:
+def _free_sets(baskets: DataFrame, least: int) -> DataFrame:
+    """``set, b, u``: token sets in ``b >= least`` blocked and ``u`` open urls, of which no token can go without letting in an open url.
+
+    Baskets are ``items`` (sorted numbers) in ``b`` blocked and ``u`` open urls. If a set without one of its
+    tokens is met by the same open urls, it is as sure, and so is each larger set without that token: their
+    rules would fall to shorter ones. So free sets grow token by token from free sets, whatever
+    their length, and long baskets of tokens that go together have few of them.
+    """
+    hits = baskets.select("items", "b", "u", F.lit(0).alias("at"), F.array().cast("array<int>").alias("set"))
+    found, size, last = None, 0, None
+    while True:
+        size += 1
+        wide = hits.select("items", "b", "u", "at", "set", F.posexplode(F.slice("items", F.col("at") + 1, F.size("items"))).alias("skip", "item"))
+        wide = wide.select("items", "b", "u", (F.col("at") + F.col("skip") + 1).alias("at"), F.concat("set", F.array("item")).alias("set"))
+        kept = wide.groupBy("set").agg(F.sum("b").alias("b"), F.sum("u").alias("u")).filter(F.col("b") >= least)
+        if last is not None:
+            without = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.filter("set", lambda x, j: j != i))
+            parts = kept.select("set", "b", "u", F.explode(without).alias("less"))
+            parts = parts.join(last.select(F.col("set").alias("less"), F.col("u").alias("u_less")), "less")
+            kept = parts.groupBy("set", "b", "u").agg(F.count("*").alias("n"), F.min("u_less").alias("u_less"))
+            kept = kept.filter((F.col("n") == size) & (F.col("u_less") > F.col("u"))).select("set", "b", "u")
+        last = stage(kept, "token-sets")
+        found = last if found is None else found.unionByName(last)
+        grow = last.filter("u > 0").select("set")
+        if grow.isEmpty():
+            return found
+        hits = stage(attach(wide.filter(F.col("at") < F.size("items")), grow, ["set"], "left_semi", spread_by="items"), "token-hits")
+
+
+def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, min_lift: float = 1.2) -> DataFrame:
     """Rules ``tokens, confidence, support`` from rows ``tokens array<string>, blocked boolean``.
 
-    Baskets are the frequent tokens of a url, at most ``widest`` of them: those by which
-    most is blocked. So a row has under ``2 ** widest`` combinations, which bounds the
-    number of rules at ``2 ** widest / min_support``, whatever the number of rows.
+    Baskets are all tokens of a url with the support. The rules are those that FP-growth
+    finds on them and that no shorter rule which is as sure makes needless; only sets that can
+    give such a rule are counted.
     """
     spark = labelled.sparkSession
     rows = labelled.filter(F.size("tokens") > 0).select("tokens", "blocked")
@@ -75,20 +102,24 @@ def mine(
     schema = "tokens array<string>, confidence double, support double"
     if not n["n"] or not n["b"]:
         return spark.createDataFrame([], schema)
-    # Tokens above the support: at most tokens per url / min_support of them.
+    least = max(math.ceil(min_support * n["n"]), 1)
+    # Tokens above the support: at most tokens per url / min_support of them. Rare ones come first, so few baskets meet a set's start.
     each = rows.select(F.explode("tokens").alias("token"), F.col("blocked").cast("long").alias("b"))
-    known = each.groupBy("token").agg(F.count("*").alias("n"), F.sum("b").alias("b")).filter(F.col("b") >= min_support * n["n"])
-    ranked = [r["token"] for r in known.orderBy(F.desc(F.col("b") / F.col("n")), F.desc("b"), "token").collect()]
+    known = each.groupBy("token").agg(F.count("*").alias("n"), F.sum("b").alias("b")).filter(F.col("b") >= least)
+    ranked = [r["token"] for r in known.orderBy("n", "token").collect()]
     if not ranked:
         return spark.createDataFrame([], schema)
     place = F.create_map(*[x for i, t in enumerate(ranked) for x in (F.lit(t), F.lit(i))])
-    best = F.slice(F.array_sort(F.filter(F.transform("tokens", lambda t: F.element_at(place, t)), lambda i: i.isNotNull())), 1, widest)
+    items = F.array_sort(F.array_distinct(F.filter(F.transform("tokens", lambda t: F.element_at(place, t)), lambda i: i.isNotNull())))
     names = F.array(*[F.lit(t) for t in ranked])
-    named = F.transform(best, lambda i: F.get(names, i))
-    baskets = rows.select(F.when(F.col("blocked"), F.concat(named, F.array(F.lit(BLOCKED)))).otherwise(named).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(stage(baskets, "baskets"))
-    rules = model.associationRules.filter((F.element_at("consequent", 1) == BLOCKED) & (F.col("lift") >= min_lift))
-    rules = rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
+    blocked = F.coalesce(F.col("blocked"), F.lit(False)).cast("long")
+    baskets = rows.select(items.alias("items"), blocked.alias("b")).filter(F.size("items") > 0)
+    baskets = stage(baskets.groupBy("items").agg(F.sum("b").alias("b"), F.sum(1 - F.col("b")).alias("u")), "baskets")
+    confidence = F.col("b") / (F.col("b") + F.col("u"))
+    sure = (confidence >= min_confidence) & (confidence / (n["b"] / n["n"]) >= min_lift)
+    named = F.array_sort(F.transform("set", lambda i: F.get(names, i)))
+    rules = _free_sets(baskets, least).filter(sure).select(named.alias("tokens"), confidence.alias("confidence"), (F.col("b") / n["n"]).alias("support"))
+    rules = stage(rules, "sure-sets")
     # A rule falls to one that asks for less and is as sure. Rules are compared through a token they share.
     narrow, wide = rules.alias("a"), rules.alias("b")
     shorter = wide.select(F.col("tokens").alias("less"), F.col("confidence").alias("sure"), F.element_at("tokens", 1).alias("token"))

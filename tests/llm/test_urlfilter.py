@@ -56,3 +56,24 @@ def test_rules_by_brute_force(spark):
 
 def test_nothing(spark):
     assert uf.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_long_baskets_are_mined_whole(spark):
+    """The pair (x, y) is the surest rule, its tokens the least sure of the ten of a url; forty tokens that go together give no powers of two."""
+    stem = [f"s{i}" for i in range(8)]
+    rows = [([*stem, "x", "y"], True)] * 20 + [([s], False) for s in stem] * 6 + [(stem, False)] * 6 + [(["x", "s0", "s1"], False), (["y", "s2"], False)] * 15
+    df = spark.createDataFrame(rows, "tokens array<string>, blocked boolean")
+    got = {tuple(r.tokens): (round(r.confidence, 9), round(r.support, 9)) for r in uf.mine(df, 0.05, 0.6, 1.2).collect()}
+    full = {}
+    for size in range(1, 11):
+        for combo in itertools.combinations([*stem, "x", "y"], size):
+            met = [b for t, b in rows if set(combo) <= set(t)]
+            if sum(met) >= 0.05 * len(rows) and sum(met) / len(met) >= max(0.6, 1.2 * 20 / len(rows)):
+                full[combo] = (sum(met) / len(met), sum(met) / len(rows))
+    kept = {c: v for c, v in full.items() if not any(set(o) < set(c) and w[0] >= v[0] for o, w in full.items())}
+    assert got == {c: (round(v[0], 9), round(v[1], 9)) for c, v in kept.items()}
+    assert ("x", "y") in got
+    deep = [f"d{i:02}" for i in range(40)]
+    rows = [(deep, True)] * 20 + [([*deep[:39], "e"], False)] * 5 + [(["e"], False)] * 60
+    got = {tuple(r.tokens): round(r.confidence, 9) for r in uf.mine(spark.createDataFrame(rows, df.schema), 0.05, 0.6, 1.2).collect()}
+    assert got == {**{(d,): 0.8 for d in deep[:39]}, ("d39",): 1.0}
