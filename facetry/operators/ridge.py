@@ -23,7 +23,7 @@ from facetry.session import stage
 
 #: Up to this many labels the normal equations are solved at once, beyond it by conjugate gradients on tables.
 DENSE_LABELS = 10_000
-STEPS, TOLERANCE = 300, 1e-11
+STEPS, TOLERANCE = 3000, 1e-11
 #: Labels whose sums a task holds before it passes them on.
 HELD = 16_384
 
@@ -291,6 +291,9 @@ def _fit_wide(encoded: DataFrame, attributes: list[str], sizes: list[int], vecto
         state = _with_arrays(state, ["x", "r", "p", "q"], ["x", "r", "p"], move)
         if (left <= TOLERANCE**2 * np.maximum(goal, 1e-300)).all():
             break
+    else:
+        reached = np.sqrt((left / np.maximum(goal, 1e-300)).max())
+        raise ArithmeticError(f"conjugate gradients reached a residual of {reached:.1e} in {STEPS} steps, {TOLERANCE:.0e} is wanted")
     solved = stage(state.select("place", "n", F.col("x").alias("w"), "r").join(b.select("place", "b"), "place"), "ridge-coefficients")
 
     def products(n, w, r, b):

@@ -181,3 +181,30 @@ def test_ridge_beyond_the_dense_solve(spark):
         np.add.at(sums, scored[f"{name}_idx"].to_numpy(), residual)
         w = {r.idx: r.coefficients for r in fit.coefficient_frame(spark).filter(f"attribute = '{name}'").collect()}
         assert np.allclose(sums, [w[i] for i in range(len(w))], atol=1e-6)
+
+
+def test_flat_spectra_converge_or_raise(spark, monkeypatch):
+    """Singular values 0.1 % apart: vectors as exact as the dense ones; running out of steps is an error."""
+    width = 300
+    values = (1 - 0.001 * np.arange(width)) ** 2
+    turn = np.linalg.qr(np.random.default_rng(7).normal(size=(width, width)))[0]
+    cross = (turn * values) @ turn.T
+    found, vecs = lexicon._leading(lambda block: cross @ block, width, 10)
+    assert np.allclose(found, values[:10], atol=1e-10) and np.allclose(np.abs(vecs.T @ turn[:, :10]), np.eye(10), atol=1e-7)
+    rows = [([i], [float(np.sqrt(v))]) for i, v in enumerate(values[:40])]
+    sparse = spark.createDataFrame(rows, "cols array<int>, vals array<double>")
+    got, sums, squares = lexicon._wide_spectrum(sparse, 40, 3)
+    assert np.allclose(got.loadings, np.eye(40)[:, :3], atol=1e-7) and np.allclose(squares, values[:40]) and np.allclose(sums**2, values[:40])
+    monkeypatch.setattr(lexicon, "STEPS", 2)
+    with pytest.raises(ArithmeticError):
+        lexicon._leading(lambda block: cross @ block, width, 10)
+
+
+def test_ridge_without_convergence_raises(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, f"a{rng.integers(30)}", f"b{rng.integers(6)}", rng.normal(size=2).tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, "item_id long, a string, b string, v array<double>")
+    monkeypatch.setattr(ridge, "DENSE_LABELS", 3)
+    monkeypatch.setattr(ridge, "STEPS", 2)
+    with pytest.raises(ArithmeticError):
+        ridge.fit_ridge(df, {"a": "a", "b": "b"}, "v", 2, alpha=0.01, n_nuisance_dims=1)
