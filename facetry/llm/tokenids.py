@@ -12,7 +12,6 @@ itself; each task encodes a piece once and looks it up again after that.
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +22,7 @@ from pyspark.sql import functions as F
 
 from facetry.llm.common import table, whole
 from facetry.llm.huffman import Code, code_lengths, limit_for
+from facetry.llm.piecetable import EMPTY, WIDTH, PieceTable, words_of
 from facetry.operators.lookup import attach
 from facetry.session import scratch_path, stage
 
@@ -30,14 +30,20 @@ from facetry.session import scratch_path, stage
 PAGE_IDS = 65_536
 #: Decoded together: pages of a batch, as far as they have this many ids.
 DECODE_IDS = 1_000_000
-#: Pieces remembered by one Python worker.
+#: Pieces remembered by one Python worker, and bytes of those among them that are long.
 CACHE = 1_200_000
+HELD = 64_000_000
 
 _encoders: dict[str, PieceEncoder] = {}
 
 
-#: Pieces that a tokenizer surely makes one word of, or two: Latin-1 letters, then punctuation. Any other piece is the last group.
-SURE = re.compile(r"^(?:([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?]*)|(.*))$", re.M)
+#: Punctuation that may end a piece.
+TAIL = ".,;:!?"
+
+
+def is_sure(word: str) -> bool:
+    """Whether a tokenizer surely makes one word of it: Latin-1 letters, or nothing."""
+    return not word or (word.isalpha() and (word.isascii() or max(word) <= "\xff"))
 
 
 def byte_characters() -> dict[int, str]:
@@ -87,14 +93,17 @@ class PieceEncoder:
         self.model = Tokenizer(self.tokenizer.model)
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         sample = "Straße, Été ÀÏÇ ende."
-        lower = [w for core, tail, _ in SURE.findall(sample.replace(" ", "\n")) for w in (core.lower(), tail) if w]
+        cores = [(p.rstrip(TAIL), p) for p in sample.split(" ")]
+        lower = [w for core, p in cores for w in (core.lower(), p[len(core) :]) if w]
         #: Whether the tokenizer lower-cases, spells in bytes and cuts words as the short way does.
         self.short = self._plain(sample) == self.model.encode(" ".join(map(spelled, lower)), add_special_tokens=False).ids
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, bytes] = {"": b""}
         self.words: dict[str, bytes] = {"": b""}
+        self.table = PieceTable()
+        self.ids = np.zeros(1 << 16, self.kind)  # of all pieces, one after the other
+        self.begin = np.zeros(1 << 16, np.int64)  # where the ids of each piece begin
 
     def _plain(self, piece: str) -> list[int]:
         return self.tokenizer.encode(piece, add_special_tokens=False).ids
@@ -110,31 +119,79 @@ class PieceEncoder:
             data, to = ids.astype(self.kind).tobytes(), (cuts * width).tolist()
             self.words.update(zip(some, map(data.__getitem__, map(slice, [0, *to], to))))
 
-    def _learn(self, pieces: list[str]) -> None:
-        rest = pieces
-        if self.short:
-            found = [(core.lower(), tail, other) for core, tail, other in SURE.findall("\n".join(pieces))]
-            words = self.words
-            new = {w for core, tail, _ in found for w in (core, tail) if w not in words}
-            self._learn_words(list(new))
-            self.known.update((p, words[core] + words[tail]) for p, (core, tail, other) in zip(pieces, found) if not other)
-            rest = [p for p, (_, _, other) in zip(pieces, found) if other]
-        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.known[p] = np.array(e.ids, self.kind).tobytes()
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces, without the memory of pieces."""
+        cores = [p.rstrip(TAIL) for p in pieces] if self.short else pieces
+        sure = list(map(is_sure, cores)) if self.short else [False] * len(pieces)
+        parts = [(c.lower(), p[len(c) :]) for p, c, ok in zip(pieces, cores, sure) if ok]
+        self._learn_words([w for w in {w for part in parts for w in part} if w not in self.words])
+        rest = self.tokenizer.encode_batch_fast([p for p, ok in zip(pieces, sure) if not ok], add_special_tokens=False)
+        parts, rest = iter(parts), iter(rest)
+        out = []
+        for ok in sure:
+            if ok:
+                core, tail = next(parts)
+                out.append(self.words[core] + self.words[tail])
+            else:
+                out.append(np.array(next(rest).ids, self.kind).tobytes())
+        return out
+
+    def _remember(self, pieces: list[bytes]) -> None:
+        """Keep the ids of the pieces that the table has just numbered."""
+        encoded = self._encoded([p.decode() for p in pieces])
+        first = self.table.size - len(encoded)
+        new = np.frombuffer(b"".join(encoded), self.kind)
+        at = int(self.begin[first])
+        self.ids = enlarged(self.ids, at + len(new))
+        self.ids[at : at + len(new)] = new
+        self.begin = enlarged(self.begin, self.table.size + 1)
+        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded)) // new.itemsize
+        self.begin[first + 1 : self.table.size + 1] = at + np.cumsum(sizes)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE or len(self.words) > CACHE:
+        """The ids of every text. What stands between breaks is looked up for all texts at once."""
+        if self.table.size > CACHE or self.table.held > HELD or len(self.words) > CACHE:
             self._forget()
-        split = [(folded(t) if self.short else t).replace("\n", " ").split(" ") for t in texts]
-        found = [list(map(self.known.get, pieces)) for pieces in split]
-        missing = [[i for i, ids in enumerate(row) if ids is None] for row in found]
-        new = {pieces[i] for pieces, places in zip(split, missing) for i in places}
-        if new:
-            self._learn(list(new))
-        for row, pieces, places in zip(found, split, missing):
-            for i in places:
-                row[i] = self.known[pieces[i]]
-        return [b"".join(row) for row in found]
+        rows = [(folded(t) if self.short else t).encode() for t in texts]
+        joined = b"\n".join([*rows, bytes(16)])  # a break after every text, and bytes to read past the last
+        data = np.frombuffer(joined, np.uint8)
+        breaks = np.flatnonzero((data == 32) | (data == 10))
+        starts = np.concatenate([[0], breaks[:-1] + 1])
+        some = breaks > starts
+        starts, stops = starts[some], breaks[some]
+        sizes = stops - starts
+        numbers = np.empty(len(starts), np.int32)
+        at = np.flatnonzero(sizes <= WIDTH)
+        keys = words_of(data, starts[at], sizes[at])
+        found = self.table.find(keys)
+        new = np.flatnonzero(found == EMPTY)
+        if len(new):
+            _, first, back = np.unique(keys[new].view("V16").ravel(), return_index=True, return_inverse=True)
+            found[new] = self.table.add(keys[new[first]])[back]
+            which = at[new[first]]
+            self._remember([joined[a:b] for a, b in zip(starts[which].tolist(), stops[which].tolist())])
+        numbers[at] = found
+        at = np.flatnonzero(sizes > WIDTH)
+        long = [joined[a:b] for a, b in zip(starts[at].tolist(), stops[at].tolist())]
+        if new := list(dict.fromkeys(p for p in long if p not in self.table.long)):
+            self.table.add_long(new)
+            self._remember(new)
+        numbers[at] = np.fromiter(map(self.table.long.__getitem__, long), np.int32, len(long))
+
+        begin = self.begin[numbers]
+        sizes = self.begin[numbers + 1] - begin
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.ids[np.repeat(begin - total[:-1], sizes) + np.arange(total[-1])].tobytes()
+        ends = np.cumsum([len(r) + 1 for r in rows])  # of the texts, with their breaks
+        cuts = (total[np.searchsorted(stops, ends)] * self.ids.itemsize).tolist()
+        return [ids[a:b] for a, b in zip([0, *cuts], cuts)]
+
+
+def enlarged(values: np.ndarray, size: int) -> np.ndarray:
+    """The values in an array of at least ``size`` entries."""
+    if size <= len(values):
+        return values
+    return np.concatenate([values, np.zeros(max(len(values), size - len(values)), values.dtype)])
 
 
 def _groups(texts: list[str], limit: int = 1 << 21) -> Iterator[slice]:
@@ -149,20 +206,31 @@ def _groups(texts: list[str], limit: int = 1 << 21) -> Iterator[slice]:
         yield slice(first, len(texts))
 
 
+def id_kind(tokenizer: str, end_id: int | None) -> str:
+    """Two bytes an id if all ids fit, else four; little-endian and unsigned."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_file(tokenizer).get_vocab_size(True), (end_id or 0) + 1) <= 1 << 16 else "<u4"
+
+
+def encoder_of(tokenizer: str, kind: str) -> PieceEncoder:
+    """The encoder of this Python worker."""
+    name = f"{tokenizer} {kind}"
+    if name not in _encoders:
+        _encoders[name] = PieceEncoder(tokenizer, kind)
+    return _encoders[name]
+
+
 def encode_texts(docs: DataFrame, tokenizer: str, end_id: int | None, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``key, ids``: little-endian unsigned ids as binary, two bytes each if all ids fit, else four.
 
     A null text is empty; the end id follows every text. Special tokens are not added.
     """
-    from tokenizers import Tokenizer
-
-    size = max(Tokenizer.from_file(tokenizer).get_vocab_size(True), (end_id or 0) + 1)
-    kind = "<u2" if size <= 1 << 16 else "<u4"
+    kind = id_kind(tokenizer, end_id)
     end = b"" if end_id is None else np.array([end_id], kind).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.setdefault(f"{tokenizer} {kind}", None) or PieceEncoder(tokenizer, kind)
-        _encoders[f"{tokenizer} {kind}"] = encoder
+        encoder = encoder_of(tokenizer, kind)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for part in _groups(texts):
@@ -308,6 +376,3 @@ def default_tokenizer() -> str:
 def op5_token_files(spark, folder, tokenizer: str | None = None):
     """Ids of every document through the files: start, number and checksum."""
     return token_table(table(spark, folder, "documents"), tokenizer or default_tokenizer())
-
-
-SQL: dict[str, str] = {}
