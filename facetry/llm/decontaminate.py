@@ -162,6 +162,3 @@ def op8_benchmark_matches(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = find_items(docs, table(spark, folder, "benchmark"))
     return found.select("doc_id", F.inline("matches"))
-
-
-SQL: dict[str, str] = {}

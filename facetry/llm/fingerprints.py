@@ -180,6 +180,3 @@ def compare_with_edited(docs: DataFrame, key: str = "doc_id", text_col: str = "t
 def op1_fingerprints(spark, folder):
     """Fingerprints of all documents and of their edited texts."""
     return compare_with_edited(table(spark, folder, "documents"))
-
-
-SQL: dict[str, str] = {}

@@ -209,6 +209,3 @@ def op10_language(spark, folder):
     docs = table(spark, folder, "documents")
     found = identify(docs, fit(docs))
     return found.select("doc_id", is_held_out("doc_id").alias("held_out"), "lang_pred", "score")
-
-
-SQL: dict[str, str] = {}

@@ -233,6 +233,3 @@ def near_duplicates(docs: DataFrame, sketch: Sketch = Sketch(), key: str = "doc_
 def op6_near_duplicates(spark, folder):
     """Components of documents whose 3-word shingles overlap by 85 percent or more."""
     return near_duplicates(table(spark, folder, "documents"), Sketch(words=3, percent=85, chunks=11, symbols=6))
-
-
-SQL: dict[str, str] = {}

@@ -168,6 +168,3 @@ def op9_secrets(spark, folder):
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
         _joined(F.array_sort(F.concat("base", "added"))).alias("spans"),
     )
-
-
-SQL: dict[str, str] = {}

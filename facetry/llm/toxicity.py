@@ -210,6 +210,3 @@ def op4_toxicity(spark, folder):
     docs = table(spark, folder, "documents")
     found = score(docs, fit(docs, table(spark, folder, "labels")))
     return found.select("doc_id", is_held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
-
-
-SQL: dict[str, str] = {}

@@ -173,6 +173,3 @@ def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Verdict of every page: the listed rule's, else that of the mined rules."""
     found = judge(table(spark, folder, "pages"))
     return found.select("page_id", "host", "path", "rule", "verdict", F.array_join("fired", " ").alias("fired"), "confidence")
-
-
-SQL: dict[str, str] = {}

@@ -176,6 +176,3 @@ def count_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", text_col:
 def op7_token_counts(spark, folder, tokenizer: str | None = None):
     """Words and greedy word pieces of every document."""
     return count_tokens(table(spark, folder, "documents"), tokenizer or default_tokenizer())
-
-
-SQL: dict[str, str] = {}

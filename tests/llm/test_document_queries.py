@@ -14,10 +14,10 @@ def test_sql(spark, name):
 
 
 def test_all_operators_have_a_query():
-    assert {n.split("_")[0] for n in QUERIES} == {"pipeline", *(f"op{i}" for i in range(1, 11))}
+    assert {n.split("_")[0] for n in QUERIES} == {"pipeline", *(f"op{i}" for i in range(1, 14))}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"pipeline"}))
 def test_columns(spark, name):
     df = QUERIES[name](spark, FOLDER)
-    assert df.columns[0] in ("doc_id", "page_id") and df.count() > 0
+    assert df.columns[0] in ("doc_id", "page_id", "vec_id", "lang") and df.count() > 0
