@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetry.llm.common import table, whole
-from facetry.llm.tokenids import SURE, default_tokenizer, spelled
+from facetry.llm.tokenids import TAIL, default_tokenizer, is_sure, spelled
 
 #: Pieces of text remembered by one Python worker.
 CACHE = 400_000
@@ -115,8 +115,9 @@ class TextCounter:
         self.known: dict[str, int] = {}
 
     def words(self, piece: str) -> list[str]:
-        core, tail, other = SURE.match(piece).groups()
-        if core and not other:
+        core = piece.rstrip(TAIL)
+        tail = piece[len(core) :]
+        if core and is_sure(core):
             return [spelled(core.lower()), tail] if tail else [spelled(core.lower())]
         clean = self.tokenizer.normalizer.normalize_str(piece)
         return [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(clean)]
