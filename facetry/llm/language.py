@@ -11,7 +11,6 @@ language with the shortest code wins.
 
 from __future__ import annotations
 
-import math
 import re
 import uuid
 from collections import Counter, defaultdict
@@ -24,12 +23,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetry.llm.common import is_held_out, table, whole
+from facetry.llm.piecetable import PieceTable, enlarged, pieces_of
+from facetry.llm.tokenids import _groups
+from facetry.operators.lookup import attach
+from facetry.session import stage
 
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
-#: Words remembered by one Python worker, and bits per byte that halve the score of a language.
-CACHE = 400_000
+#: Words remembered by one Python worker, and bytes of the long ones; bits per byte that halve the score of a language.
+CACHE = 600_000
+HELD = 64_000_000
 SHARPNESS = 4.0
+#: A gram of up to seven bytes is a number: its bytes, the last one lowest, and its length above them.
+LENGTH_AT = 56
+MOST = 7
 
 _memory: dict[str, Scorer] = {}
 
@@ -38,88 +45,105 @@ _memory: dict[str, Scorer] = {}
 class LanguageModel:
     languages: list[str]
     order: int
-    #: Per language: bits of (context + byte), and bits of the escape from a context.
-    bits: list[dict[bytes, float]]
-    escape: list[dict[bytes, float]]
+    #: Per language: grams (context and byte) in ascending order and their bits, contexts and the bits of the escape from them.
+    grams: list[np.ndarray]
+    bits: list[np.ndarray]
+    contexts: list[np.ndarray]
+    escapes: list[np.ndarray]
     #: Tells fits apart in the memory of a Python worker.
     name: str
 
-    def step(self, gram: bytes) -> list[float]:
-        """Bits of the last byte of ``gram`` after the bytes before it, in each language."""
-        out = []
-        for bits, escape in zip(self.bits, self.escape):
-            cost = 0.0
-            for at in range(len(gram)):
-                found = bits.get(gram[at:])
-                if found is not None:
-                    cost += found
-                    break
-                cost += escape.get(gram[at:-1], 0.0)
-            else:
-                cost += 8.0
-            out.append(cost)
-        return out
 
+def positions(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every byte of the words and of the space after each: the last bytes up to it, the size of its context, its word.
 
-def grams(word: str, order: int) -> list[bytes]:
-    """Every byte of a word and the space after it, each with its context."""
-    data = b" " + word.encode("utf-8", "replace") + b" "
-    return [data[max(0, i - order) : i + 1] for i in range(1, len(data))]
+    A context begins at the space before the word at the earliest.
+    """
+    data = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
+    at = np.arange(1, len(data))
+    space = np.maximum.accumulate(np.where(data == 32, np.arange(len(data)), 0))
+    size = np.minimum(order, at - space[:-1])
+    last = np.zeros(len(at), np.int64)
+    for back in range(order, -1, -1):
+        last = last << 8 | np.where(at >= back, data[np.maximum(at - back, 0)], 0)
+    return last, size, np.repeat(np.arange(len(words)), [len(w) + 1 for w in words])
+
+
+def gram(last: np.ndarray, size: int) -> np.ndarray:
+    """The numbers of the last ``size`` bytes."""
+    return (last & ((1 << 8 * size) - 1)) | size << LENGTH_AT
+
+
+def look_up(keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``keys`` in the ascending ``known``, and which of them are there."""
+    if not len(known):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return at, known[at] == keys
+
+
+def code_lengths(model: LanguageModel, words: list[bytes]) -> np.ndarray:
+    """Bits of every word in each language."""
+    last, size, of = positions(words, model.order)
+    # The same byte after the same context costs the same: one computation for all of them.
+    keys, back = np.unique((last & ((1 << 8 * (model.order + 1)) - 1) & ((1 << 8 * (size + 1)) - 1)) | (size + 1) << LENGTH_AT, return_inverse=True)
+    size, last = (keys >> LENGTH_AT) - 1, keys & ((1 << LENGTH_AT) - 1)
+    out = np.empty((len(words), len(model.languages)))
+    for i in range(len(model.languages)):
+        cost, open_ = np.zeros(len(keys)), np.arange(len(keys))
+        for n in range(model.order, -1, -1):
+            now = open_[size[open_] >= n]
+            at, found = look_up(gram(last[now], n + 1), model.grams[i])
+            cost[now[found]] += model.bits[i][at[found]]
+            left = now[~found]
+            at, found = look_up(gram(last[left] >> 8, n), model.contexts[i])
+            cost[left[found]] += model.escapes[i][at[found]]
+            open_ = np.concatenate([open_[size[open_] < n], left])
+        cost[open_] += 8.0
+        out[:, i] = np.bincount(of, cost[back], len(words))
+    return out
 
 
 class Scorer:
-    """Code lengths of texts; remembers grams and words."""
+    """Code lengths of texts; remembers words."""
 
     def __init__(self, model: LanguageModel):
-        self.model, self.known = model, {}
-        self.grams: dict[bytes, int] = {}
-        self.steps = np.zeros((1024, len(model.languages)))
-        self.words = np.zeros((CACHE, len(model.languages)), np.float32)
-
-    def _gram(self, gram: bytes) -> int:
-        found = self.grams.get(gram)
-        if found is None:
-            if len(self.grams) == CACHE:
-                self.grams.clear()
-            found = self.grams[gram] = len(self.grams)
-            if found == len(self.steps):
-                self.steps = np.concatenate([self.steps, np.zeros_like(self.steps)])
-            self.steps[found] = self.model.step(gram)
-        return found
-
-    def word(self, word: str) -> np.ndarray:
-        steps = grams(word, self.model.order)
-        total = np.zeros(self.steps.shape[1])
-        for at in range(0, len(steps), 4096):  # fewer than CACHE, so that their numbers hold until they are added up
-            ids = [self._gram(g) for g in steps[at : at + 4096]] if len(self.grams) + 4096 <= CACHE else None
-            if ids is None:
-                self.grams.clear()
-                ids = [self._gram(g) for g in steps[at : at + 4096]]
-            total += self.steps[ids].sum(0)
-        return total
-
-    def lengths(self, text: str) -> np.ndarray:
-        words = text.lower().split()
-        total = np.zeros(self.steps.shape[1])
-        for at in range(0, len(words), CACHE // 4):
-            some = words[at : at + CACHE // 4]
-            new = {w for w in some if w not in self.known}
-            if len(self.known) + len(new) > CACHE:
-                self.known, new = {}, set(some)
-            for w in new:
-                self.known[w] = n = len(self.known)
-                self.words[n] = self.word(w)
-            rows = np.fromiter(map(self.known.__getitem__, some), np.int64, len(some))
-            total += self.words[rows].sum(0, dtype=np.float64)
-        return total
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.model.languages or not LETTER.search(text):
-            return UNKNOWN, 0.0
-        bits = self.lengths(text)
-        best = int(bits.argmin())
-        more = (bits - bits[best]) / max(len(text.encode("utf-8", "replace")), 1)
-        return self.model.languages[best], float(1.0 / np.exp2(-SHARPNESS * more).sum())
+        self.model = model
+        self._forget()
+
+    def _forget(self) -> None:
+        self.table = PieceTable()
+        self.costs = np.zeros((1024, len(self.model.languages)), np.float32)
+
+    def lengths(self, texts: list[str]) -> np.ndarray:
+        if self.table.size > CACHE or self.table.held > HELD:
+            self._forget()
+        joined, starts, stops, counts = pieces_of([" ".join(t.lower().split()).encode("utf-8", "replace") for t in texts])
+        numbers, new = self.table.number(joined, starts, stops)
+        if new:
+            self.costs = enlarged(self.costs, self.table.size)
+            first = self.table.size - len(new)
+            for at in range(0, len(new), 100_000):
+                self.costs[first + at : first + at + 100_000][: len(new) - at] = code_lengths(self.model, new[at : at + 100_000])
+        out = np.empty((len(texts), len(self.model.languages)))
+        for i in range(out.shape[1]):
+            total = np.concatenate([[0.0], np.cumsum(self.costs[numbers, i], dtype=np.float64)])[counts]
+            out[:, i] = np.diff(total, prepend=0.0)
+        return out
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        out = [(UNKNOWN, 0.0)] * len(texts)
+        some = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if self.model.languages else []
+        found = [texts[i] for i in some]
+        for part in _groups(found):
+            bits = self.lengths(found[part])
+            best = bits.argmin(1)
+            size = np.array([len(t.encode("utf-8", "replace")) for t in found[part]])
+            more = (bits - bits.min(1)[:, None]) / size[:, None]
+            scores = 1.0 / np.exp2(-SHARPNESS * more).sum(1)
+            for i, b, s in zip(some[part], best.tolist(), scores.tolist()):
+                out[i] = (self.model.languages[b], s)
+        return out
 
 
 def fit(
@@ -127,20 +151,21 @@ def fit(
 ) -> LanguageModel:
     """Learn from rows outside the held-out fold whose language is not null.
 
-    About ``per_language`` rows of each language are used, those whose keys hash lowest;
-    counting them is a map-side aggregate, so a language with most rows makes no large group.
+    About ``per_language`` rows of each language are used, those whose key and text hash lowest,
+    so rows without a key draw by their texts; counting them is a map-side aggregate, so a
+    language with most rows makes no large group. What reaches the driver are the grams of the
+    sample as arrays.
     """
+    if not 0 <= order < MOST:
+        raise ValueError(f"order must be 0 to {MOST - 1}")
     rows = docs.select(F.col(key).alias("_key"), whole(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
     rows = rows.filter(~is_held_out("_key") & F.col("_lang").isNotNull() & (F.col("_lang") != UNKNOWN))
-    sizes = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(sizes)
+    sizes = stage(rows.groupBy("_lang").agg(F.count("*").alias("_n")), "languages")
+    languages = sorted(r["_lang"] for r in sizes.collect())
     if not languages:
-        return LanguageModel([], order, [], [], "")
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("_lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.lit("language"), F.col("_key")), F.lit(1 << 20)) / float(1 << 20)
-    chosen = rows.filter(draw < share).select("_lang", "_text")
+        return LanguageModel([], order, [], [], [], [], "")
+    draw = F.pmod(F.xxhash64(F.lit("language"), F.col("_key"), F.col("_text")), F.lit(1 << 20)) / float(1 << 20)
+    chosen = attach(rows, sizes, ["_lang"], "inner", spread_by="_text").filter(draw < per_language / F.col("_n")).select("_lang", "_text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,30 +173,35 @@ def fit(
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words[lang].update(text.lower().split())
             for lang, counter in words.items():
-                total: Counter = Counter()
-                for word, n in counter.items():
-                    for gram in grams(word, order):
-                        total[gram] += n
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(total)), pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["lang", "gram", "n"])
-
-    found = chosen.mapInArrow(count, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    trees = {lang: defaultdict(Counter) for lang in languages}
-    for r in found.toLocalIterator():  # grams of the sample
-        gram = bytes(r["gram"])
-        for at in range(len(gram)):
-            trees[r["lang"]][gram[at:-1]][gram[-1]] += r["n"]
-    bits, escape = [], []
+                last, size, of = positions([w.encode("utf-8", "replace") for w in counter], order)
+                weight = np.fromiter(counter.values(), np.float64, len(counter))[of]
+                for n in range(order + 1) if len(counter) else ():
+                    grams, back = np.unique(gram(last[size >= n], n + 1), return_inverse=True)
+                    total = np.bincount(back, weight[size >= n], len(grams)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams), pa.array(total)], names=["lang", "gram", "n"])
+
+    found = chosen.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    length, body = F.shiftright("gram", LENGTH_AT), F.col("gram").bitwiseAND((1 << LENGTH_AT) - 1)
+    context = F.shiftleft(length - 1, LENGTH_AT).bitwiseOR(F.shiftright(body, 8))
+    found = stage(found.withColumn("context", context), "grams")
+    after = found.groupBy("lang", "context").agg(F.count("*").alias("d"), (F.sum("n") + F.count("*")).alias("total"))  # at most 256 bytes each
+    after = stage(after, "contexts")
+    bits = found.join(after, ["lang", "context"]).select("lang", "gram", (-F.log2(F.col("n") / F.col("total"))).alias("bits"))
+    grams = _arrays(bits, languages, "gram", "bits")
+    contexts = _arrays(after.select("lang", "context", (-F.log2(F.col("d") / F.col("total"))).alias("bits")), languages, "context", "bits")
+    return LanguageModel(languages, order, *grams, *contexts, uuid.uuid4().hex)
+
+
+def _arrays(df: DataFrame, languages: list[str], key: str, value: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Per language the keys in ascending order, and their values; rows of a bounded sample."""
+    keys, values = [], []
     for lang in languages:
-        known, leave = {}, {}
-        for context, after in trees[lang].items():
-            total = sum(after.values()) + len(after)
-            leave[context] = -math.log2(len(after) / total)
-            for byte, n in after.items():
-                known[context + bytes([byte])] = -math.log2(n / total)
-        bits.append(known)
-        escape.append(leave)
-    return LanguageModel(languages, order, bits, escape, uuid.uuid4().hex)
+        rows = df.filter(F.col("lang") == lang).select(key, value).toArrow()
+        found, bits = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+        order = np.argsort(found)
+        keys.append(found[order])
+        values.append(bits[order])
+    return keys, values
 
 
 def identify(
@@ -181,7 +211,8 @@ def identify(
     """The columns of ``docs`` in ``keep`` (by default the key), then language and score under ``names``, in one map pass.
 
     A null text, or one without a letter, is ``und`` with score 0, as is every text if no
-    language was learned. Ties go to the language that sorts first.
+    language was learned. Ties go to the language that sorts first. Repeated rows are all
+    returned, with the same language; null keys stay.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -195,7 +226,7 @@ def identify(
             _memory.clear()
             _memory[model.name] = scorer
         for batch in batches:
-            found = [scorer.predict(t.as_py()) for t in batch.column(batch.num_columns - 1)]
+            found = scorer.predict(batch.column(batch.num_columns - 1).to_pylist())
             columns = [*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
 

@@ -80,3 +80,46 @@ class PieceTable:
         self.long.update(zip(strings, range(self.size, self.size + len(strings))))
         self.size += len(strings)
         self.held += sum(map(len, strings))
+
+    def number(self, joined: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+        """Numbers of the strings between ``starts`` and ``stops``, and those that are new, in the order of their numbers.
+
+        ``joined`` has 16 bytes to spare at its end.
+        """
+        data, sizes = np.frombuffer(joined, np.uint8), stops - starts
+        numbers, added = np.empty(len(starts), np.int32), []
+        at = np.flatnonzero(sizes <= WIDTH)
+        keys = words_of(data, starts[at], sizes[at])
+        found = self.find(keys)
+        new = np.flatnonzero(found == EMPTY)
+        if len(new):
+            _, first, back = np.unique(keys[new].view("V16").ravel(), return_index=True, return_inverse=True)
+            found[new] = self.add(keys[new[first]])[back]
+            which = at[new[first]]
+            added = [joined[a:b] for a, b in zip(starts[which].tolist(), stops[which].tolist())]
+        numbers[at] = found
+        at = np.flatnonzero(sizes > WIDTH)
+        long = [joined[a:b] for a, b in zip(starts[at].tolist(), stops[at].tolist())]
+        if new := list(dict.fromkeys(p for p in long if p not in self.long)):
+            self.add_long(new)
+            added += new
+        numbers[at] = np.fromiter(map(self.long.__getitem__, long), np.int32, len(long))
+        return numbers, added
+
+
+def pieces_of(rows: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows joined, where their pieces between spaces and line breaks start and stop, and how many pieces end before each row's end."""
+    joined = b"\n".join([*rows, bytes(16)])  # a break after every row, and bytes to read past the last
+    data = np.frombuffer(joined, np.uint8)
+    breaks = np.flatnonzero((data == 32) | (data == 10))
+    starts = np.concatenate([[0], breaks[:-1] + 1])
+    some = breaks > starts
+    starts, stops = starts[some], breaks[some]
+    return joined, starts, stops, np.searchsorted(stops, np.cumsum([len(r) + 1 for r in rows]))
+
+
+def enlarged(values: np.ndarray, size: int) -> np.ndarray:
+    """The values in an array of at least ``size`` entries."""
+    if size <= len(values):
+        return values
+    return np.concatenate([values, np.zeros((max(len(values), size - len(values)), *values.shape[1:]), values.dtype)])

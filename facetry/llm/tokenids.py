@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from facetry.llm.common import table, whole
 from facetry.llm.huffman import Code, code_lengths, limit_for
-from facetry.llm.piecetable import EMPTY, WIDTH, PieceTable, words_of
+from facetry.llm.piecetable import PieceTable, enlarged, pieces_of
 from facetry.operators.lookup import attach
 from facetry.session import scratch_path, stage
 
@@ -153,47 +153,18 @@ class PieceEncoder:
         if self.table.size > CACHE or self.table.held > HELD or len(self.words) > CACHE:
             self._forget()
         rows = [(folded(t) if self.short else t).encode() for t in texts]
-        joined = b"\n".join([*rows, bytes(16)])  # a break after every text, and bytes to read past the last
-        data = np.frombuffer(joined, np.uint8)
-        breaks = np.flatnonzero((data == 32) | (data == 10))
-        starts = np.concatenate([[0], breaks[:-1] + 1])
-        some = breaks > starts
-        starts, stops = starts[some], breaks[some]
-        sizes = stops - starts
-        numbers = np.empty(len(starts), np.int32)
-        at = np.flatnonzero(sizes <= WIDTH)
-        keys = words_of(data, starts[at], sizes[at])
-        found = self.table.find(keys)
-        new = np.flatnonzero(found == EMPTY)
-        if len(new):
-            _, first, back = np.unique(keys[new].view("V16").ravel(), return_index=True, return_inverse=True)
-            found[new] = self.table.add(keys[new[first]])[back]
-            which = at[new[first]]
-            self._remember([joined[a:b] for a, b in zip(starts[which].tolist(), stops[which].tolist())])
-        numbers[at] = found
-        at = np.flatnonzero(sizes > WIDTH)
-        long = [joined[a:b] for a, b in zip(starts[at].tolist(), stops[at].tolist())]
-        if new := list(dict.fromkeys(p for p in long if p not in self.table.long)):
-            self.table.add_long(new)
+        joined, starts, stops, counts = pieces_of(rows)
+        numbers, new = self.table.number(joined, starts, stops)
+        if new:
             self._remember(new)
-        numbers[at] = np.fromiter(map(self.table.long.__getitem__, long), np.int32, len(long))
-
         begin = self.begin[numbers]
         sizes = self.begin[numbers + 1] - begin
         total = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.ids[np.repeat(begin - total[:-1], sizes) + np.arange(total[-1])].tobytes()
-        ends = np.cumsum([len(r) + 1 for r in rows])  # of the texts, with their breaks
-        cuts = (total[np.searchsorted(stops, ends)] * self.ids.itemsize).tolist()
+        cuts = (total[counts] * self.ids.itemsize).tolist()
         return [ids[a:b] for a, b in zip([0, *cuts], cuts)]
 
 
-def enlarged(values: np.ndarray, size: int) -> np.ndarray:
-    """The values in an array of at least ``size`` entries."""
-    if size <= len(values):
-        return values
-    return np.concatenate([values, np.zeros(max(len(values), size - len(values)), values.dtype)])
-
-
 def _groups(texts: list[str], limit: int = 1 << 21) -> Iterator[slice]:
     """Runs of texts of about ``limit`` characters, at least one text each."""
     first = size = 0
