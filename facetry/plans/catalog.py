@@ -377,6 +377,17 @@ def negatives_certificate(spark, folder):
         F.count("*").alias("n_slots"), F.countDistinct("neg_id").alias("n_distinct"), F.count_if(shares).alias("n_shared"))
 
 
+@query
+def negatives_of_all_documents(spark, folder):
+    """Per document over three attributes, null quality being a value: slots, distinct negatives, those sharing an attribute."""
+    rows = labelled(spark, folder).select(F.col("doc_id").alias("item_id"), "quality", "lang", "source")
+    found = negatives.sample_negatives(rows, ["quality", "lang", "source"], vector=None).filter("pos > 0")
+    other = rows.select(F.col("item_id").alias("neg_id"), *[F.col(a).alias(f"_{a}") for a in ("quality", "lang", "source")])
+    shares = F.col("quality").eqNullSafe(F.col("_quality")) | (F.col("lang") == F.col("_lang")) | (F.col("source") == F.col("_source"))
+    return found.join(rows, "item_id").join(other, "neg_id").groupBy("item_id").agg(
+        F.count("*").alias("n_slots"), F.countDistinct("neg_id").alias("n_distinct"), F.count_if(shares).alias("n_shared"))
+
+
 @query
 def anchor_slots(spark, folder):
     anchors = sample_negatives(spark, folder).filter("pos = 0")

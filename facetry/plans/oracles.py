@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from facetry.functions.text import REFUSAL_MARKERS, WHITESPACE
+from facetry.operators.negatives import FACTOR, PRIME, ROUNDS
 from facetry.sources.readers import MISSING_TOKENS
 
 SQL: dict[str, str] = {}
@@ -154,37 +155,42 @@ SELECT a.label, a.lang, b.label AS other_label, b.lang AS other_lang, b.n FROM k
 SQL["brute_force_pool"] = f"""WITH {_ITEMS}, one AS (SELECT * FROM items ORDER BY item_id LIMIT 1)
 SELECT items.item_id FROM items, one WHERE items.label <> one.label AND items.lang <> one.lang"""
 
-# Draw 400 row numbers per item outside the range of its more common value (the label
-# on ties), keep the first nine distinct rows that differ on both attributes.
-_SAMPLE = f"""{_ITEMS}, {_pools(['label', 'lang'])},
-by_label AS (SELECT item_id, label, lang, row_number() OVER (ORDER BY label, lang, item_id) - 1 AS row_no FROM items),
-by_lang AS (SELECT item_id, label, lang, row_number() OVER (ORDER BY lang, label, item_id) - 1 AS row_no FROM items),
-orders AS (SELECT 0 AS dominant, * FROM by_label UNION ALL SELECT 1, * FROM by_lang),
-label_ranges AS (SELECT label, min(row_no) AS lo, count(*) AS width FROM by_label GROUP BY label),
-lang_ranges AS (SELECT lang, min(row_no) AS lo, count(*) AS width FROM by_lang GROUP BY lang),
+def _permuted(source: str) -> str:
+    """``x`` of ``source`` after the rounds of the permutation, and its other columns (see negatives.permuted)."""
+    inner = f"SELECT *, x >> rb AS h0, x & ((1::BIGINT << rb) - 1) AS h1 FROM ({source})"
+    for i in range(ROUNDS):
+        key = f"(k[{i % 4 + 1}] + {i})"
+        inner = f"SELECT * REPLACE ((h{1 - i % 2} + {key}) % {PRIME} AS m) FROM ({inner.replace('SELECT *,', 'SELECT *, 0::BIGINT AS m,', 1) if i == 0 else inner})"
+        mask = f"((1::BIGINT << {'rb' if i % 2 else 'lb'}) - 1)"
+        inner = f"SELECT * REPLACE (xor(h{i % 2}, ((m * m % {PRIME}) * {FACTOR} + {key}) % {PRIME} & {mask}) AS h{i % 2}) FROM ({inner})"
+    return f"SELECT item_id, pool, lb, rb, k, j, h0 << rb | h1 AS x FROM ({inner})"
+
+
+# The pool of an item in the order of keys and ids; the permutation of 0 .. 8 says which rows of it are drawn.
+_SAMPLE = f"""{_ITEMS},
+pairs AS (
+  SELECT a.item_id, b.item_id AS neg_id, row_number() OVER (PARTITION BY a.item_id ORDER BY b.label::VARCHAR, b.lang, b.item_id) - 1 AS x
+  FROM items a JOIN items b ON a.label <> b.label AND a.lang <> b.lang),
 anchors AS (
-  SELECT i.item_id, i.label, i.lang, CASE WHEN a.width >= b.width THEN 0 ELSE 1 END AS dominant,
-         CASE WHEN a.width >= b.width THEN a.lo ELSE b.lo END AS lo, greatest(a.width, b.width) AS width,
-         (SELECT count(*) FROM items) AS total
-  FROM items i JOIN label_ranges a USING (label) JOIN lang_ranges b USING (lang)),
-draws AS (
-  SELECT *, {_hash('item_id', '42', 'j')} % (total - width) AS at
-  FROM (SELECT *, unnest(range(400)) AS j FROM anchors)),
-hits AS (
-  SELECT d.item_id, o.item_id AS neg_id, min(d.j) AS j FROM draws d
-  JOIN orders o ON o.dominant = d.dominant AND o.row_no = d.at + CASE WHEN d.at >= d.lo THEN d.width ELSE 0 END
-  WHERE o.label <> d.label AND o.lang <> d.lang GROUP BY d.item_id, o.item_id),
+  SELECT item_id, count(*)::BIGINT AS pool, greatest(length(bin(count(*) - 1)), 2)::BIGINT AS bits,
+         list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(md5(item_id || ':42'), i, 8))::BIGINT % {PRIME}) AS k
+  FROM pairs GROUP BY item_id HAVING count(*) >= 9),
+walk AS (
+  {_permuted("SELECT item_id, pool, bits // 2 AS lb, bits - bits // 2 AS rb, k, j, j AS x FROM anchors, (SELECT unnest(range(9)) AS j)")}
+  UNION ALL {_permuted("SELECT * FROM walk WHERE x >= pool")}),
 sample AS (
   SELECT item_id, 0 AS pos, item_id AS neg_id FROM items
-  UNION ALL
-  SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY j))::INT AS pos, neg_id FROM hits
-  QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY j) <= 9)"""
-SQL["sample_negatives"] = f"WITH {_SAMPLE} SELECT item_id, pos, neg_id FROM sample"
+  UNION ALL SELECT item_id, (j + 1)::INT, neg_id FROM walk JOIN pairs USING (item_id, x) WHERE x < pool)"""
+SQL["sample_negatives"] = f"WITH RECURSIVE {_SAMPLE} SELECT item_id, pos, neg_id FROM sample"
 SQL["negatives_round_trip"] = SQL["sample_negatives"]
 SQL["negatives_certificate"] = f"""WITH {_ITEMS}, {_pools(['label', 'lang', 'source'])}
 SELECT item_id, 9::BIGINT AS n_slots, 9::BIGINT AS n_distinct, 0::BIGINT AS n_shared FROM items JOIN pools USING (label, lang, source) WHERE pool >= 9"""
+SQL["negatives_of_all_documents"] = f"""WITH {_LABELLED},
+pools AS (SELECT a.doc_id AS item_id, count(b.doc_id) AS pool FROM labelled a LEFT JOIN labelled b
+  ON a.quality IS DISTINCT FROM b.quality AND a.lang <> b.lang AND a.source <> b.source GROUP BY a.doc_id)
+SELECT item_id, 9::BIGINT AS n_slots, CASE WHEN pool >= 9 THEN 9 END::BIGINT AS n_distinct, 0::BIGINT AS n_shared FROM pools WHERE pool > 0"""
 SQL["anchor_slots"] = f"WITH {_ITEMS} " + _entries("items", "item_id", "embedding")
-SQL["gather_negative_vectors"] = f"""WITH {_SAMPLE},
+SQL["gather_negative_vectors"] = f"""WITH RECURSIVE {_SAMPLE},
 coded AS (SELECT item_id, (dense_rank() OVER (ORDER BY lang) - 1)::INT AS lang_idx,
                  (dense_rank() OVER (ORDER BY label::VARCHAR) - 1)::INT AS label_idx FROM items)
 SELECT s.item_id, lang_idx, label_idx, pos, {_round('list_sum(list_transform(embedding, lambda x: x::DOUBLE))')} AS total
@@ -302,9 +308,9 @@ _COSINES = f"""{_SAMPLE},
 cosines AS (SELECT s.item_id, s.pos, {_cosine(1, 32)} AS cos_a, {_cosine(33, 64)} AS cos_b
   FROM sample s JOIN items o ON o.item_id = s.item_id JOIN items n ON n.item_id = s.neg_id WHERE s.pos > 0),
 pulls AS (SELECT item_id, ln(1 + sum(exp(cos_a / 0.1))) + ln(1 + sum(exp(cos_b / 0.1))) AS loss FROM cosines GROUP BY item_id)"""
-SQL["cosine_rows"] = f"WITH {_COSINES} SELECT item_id, pos, {_round('cos_a')} AS cos_a, {_round('cos_b')} AS cos_b FROM cosines"
-SQL["contrastive_rows"] = f"WITH {_COSINES} SELECT item_id, {_round('loss')} AS loss FROM pulls"
-SQL["loss_means"] = f"""WITH {_COSINES}, {_CE}
+SQL["cosine_rows"] = f"WITH RECURSIVE {_COSINES} SELECT item_id, pos, {_round('cos_a')} AS cos_a, {_round('cos_b')} AS cos_b FROM cosines"
+SQL["contrastive_rows"] = f"WITH RECURSIVE {_COSINES} SELECT item_id, {_round('loss')} AS loss FROM pulls"
+SQL["loss_means"] = f"""WITH RECURSIVE {_COSINES}, {_CE}
 SELECT {_round('ce', 5)} AS cross_entropy, n AS n_rows, {_round('pull', 5)} AS contrastive, {_round('ce + 0.1 * pull', 5)} AS total
 FROM (SELECT avg({_round('loss')}) AS ce, count(*) AS n FROM entropy), (SELECT avg({_round('loss')}) AS pull FROM pulls)"""
 
@@ -430,7 +436,7 @@ SQL["network_metrics"] = (
     "JOIN truth USING (item_id, attribute) JOIN class_counts USING (attribute)),"
     + _PREDICTIONS[_PREDICTIONS.index("\npredictions AS"):]
     + f" SELECT attribute, {_REPORT}, num_classes, num_classes_in_data, num_samples FROM report")
-SQL["network_losses"] = f"""WITH {_SAMPLE}, {_FORWARD}, {_TRUTH},
+SQL["network_losses"] = f"""WITH RECURSIVE {_SAMPLE}, {_FORWARD}, {_TRUTH},
 entropy AS (SELECT l.item_id, l.attribute, ln(sum(exp(x))) - max(x) FILTER (class = truth) AS loss, arg_max(class, x) = any_value(truth) AS hit
             FROM logits l JOIN truth t ON t.item_id = l.item_id AND t.attribute = l.attribute GROUP BY l.item_id, l.attribute),
 units AS (SELECT item_id, attribute, list(r ORDER BY i) AS v FROM blocks WHERE i >= 0 GROUP BY item_id, attribute),

@@ -72,28 +72,78 @@ def test_dominant_value_and_hidden_pool(spark):
     check(df, neg.sample_negatives(df, ["a", "b"], mini_batch_size=4), ("a", "b"), 3)
 
 
-def test_listed_keys_with_many_salts_and_chunks(spark, monkeypatch):
-    rows = [("hot", str(i % 3)) for i in range(400)] + [("cold", str(i % 3)) for i in range(9)]
-    df = items(spark, rows)
+def test_more_levels_give_the_same_table(spark, monkeypatch):
+    df = items(spark, mixed(200))
     plain = sorted(neg.sample_negatives(df, ["a", "b"]).collect())
-    monkeypatch.setattr(neg, "SALT_ROWS", 10)
-    monkeypatch.setattr(neg, "LIST_CHUNK", 1)
+    monkeypatch.setattr(neg, "FAN_OUT", 2)
+    assert sorted(neg.sample_negatives(df.repartition(7), ["a", "b"]).collect()) == plain
+    monkeypatch.setattr(neg, "HOT_KEY_ROWS", 0)
     assert sorted(neg.sample_negatives(df, ["a", "b"]).collect()) == plain
-    check(df, neg.sample_negatives(df, ["a", "b"]), ("a", "b"), 9)
-
 
-def test_crowded_rows_are_listed(spark, monkeypatch):
-    df = items(spark, mixed(100))
-    monkeypatch.setattr(neg, "DRAWS_PER_ROW", 0)
-    check(df, neg.sample_negatives(df, ["a", "b"]), ("a", "b"), 9)
 
-
-def test_more_rounds_give_the_same_table(spark, monkeypatch):
-    df = items(spark, mixed(200))
-    plain = sorted(neg.sample_negatives(df, ["a", "b"]).collect())
-    plan = neg._key_plan
-    monkeypatch.setattr(neg, "_key_plan", lambda *a: plan(*a).withColumn("draws", F.lit(10)))
-    assert sorted(neg.sample_negatives(df.repartition(7), ["a", "b"]).collect()) == plain
+def test_a_whole_pool_is_drawn(spark):
+    """With as many slots as each pool has rows, every row of it is drawn once."""
+    rows = [(str(i % 3), str(i // 3 % 4), str(i // 12)) for i in range(60)]
+    df = items(spark, rows, ("a", "b", "c"))
+    got = check(df, neg.sample_negatives(df, ["a", "b", "c"], mini_batch_size=25), ("a", "b", "c"), 24)
+    assert all(len({n for p, n in slots.items() if p}) == 24 for slots in got.values())
+
+
+def test_two_common_values_and_many_others(spark):
+    """Two attributes are nearly always the same, the third has very many values."""
+    n = 20_000
+    rows = [("x" if i % 100 else f"x{i % 7}", "y" if i % 101 else f"y{i % 5}", str(i // 2)) for i in range(n)]
+    df = items(spark, rows, ("a", "b", "c")).drop("embedding")
+    found = neg.sample_negatives(df, ["a", "b", "c"], vector=None, mini_batch_size=4).persist()
+    own = df.select("item_id", "a", "b", "c")
+    other = df.select(F.col("item_id").alias("neg_id"), *[F.col(x).alias(f"_{x}") for x in "abc"])
+    pairs = found.filter("pos > 0").join(own, "item_id").join(other, "neg_id")
+    assert found.count() == 4 * n
+    empty = found.filter("pos > 0 AND neg_id = item_id").select("item_id").distinct()
+    pools = neg.pool_sizes(df, ["a", "b", "c"]).join(own, ["a", "b", "c"])
+    assert empty.count() == pools.filter("pool = 0").count()
+    assert pairs.filter("neg_id <> item_id AND (a = _a OR b = _b OR c = _c)").count() == 0
+    enough = pools.filter("pool >= 3").select("item_id")
+    assert found.filter("pos > 0").join(enough, "item_id").groupBy("item_id").agg(F.countDistinct("neg_id").alias("d")).filter("d < 3").count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 16, 17, 1000, 2**40 + 12345])
+def test_permutation(size):
+    import numpy as np
+
+    n = min(size, 1000)
+    x = np.arange(n)
+    keys = np.random.default_rng(size).integers(0, 2**32, 4)
+    out = neg.permuted(x, np.full(n, size), np.tile(keys, (n, 1)))
+    assert len(set(out.tolist())) == n and 0 <= out.min() and out.max() < size
+    assert size > 1000 or sorted(out.tolist()) == list(range(n))
+
+
+def test_first_two_ranks_are_even_over_all_pairs():
+    import numpy as np
+
+    for size in (5, 9, 23):
+        keys = np.random.default_rng(size).integers(0, 2**32, (60_000, 4))
+        both = [neg.permuted(np.full(len(keys), j), np.full(len(keys), size), keys) for j in (0, 1)]
+        counts = np.bincount(both[0] * size + both[1], minlength=size * size).reshape(size, size)
+        assert (np.diag(counts) == 0).all()
+        off = counts[~np.eye(size, dtype=bool)]
+        expected = len(keys) / len(off)
+        chi = ((off - expected) ** 2 / expected).sum()
+        assert abs(chi - len(off)) < 6 * (2 * len(off)) ** 0.5
+
+
+def test_null_attributes_are_values_of_their_own(spark):
+    from datetime import date, datetime
+
+    day = [None, date(1970, 1, 1), date(2000, 1, 1)]
+    time = [None, datetime(2000, 1, 1, 0, 0, 0, 1), datetime(2000, 1, 1, 0, 0, 0, 2)]
+    for kind, values in [("int", [None, -1, 2]), ("boolean", [None, True, False]), ("date", day), ("timestamp", time), ("string", [None, "", "null"]), ("double", [None, -1.0, 0.5])]:
+        df = spark.createDataFrame([(i, values[i % 3], "b" if i % 2 else None) for i in range(60)], f"item_id long, a {kind}, b string")
+        assert {(r.n, r.pool) for r in neg.pool_sizes(df, ["a"]).collect()} == {(20, 40)}
+        assert {(r.n, r.pool) for r in neg.pool_sizes(df, ["a", "b"]).collect()} == {(10, 20)}
+        check(df, neg.sample_negatives(df, ["a", "b"], vector=None, mini_batch_size=6), ("a", "b"), 5)
+        assert neg.brute_force_pool(df, "item_id", 0, ["a", "b"]).count() == 20
 
 
 def test_invalid_anchors(spark):
