@@ -1,4 +1,10 @@
-"""Ridge regression of vectors on one-hot attributes, from grouped sums."""
+"""Ridge regression of vectors on one-hot attributes, from grouped sums.
+
+The labels of one attribute never occur together, so their block of the normal equations is
+diagonal. The attribute with most labels is eliminated by a group-by over its labels (Schur
+complement); what is left is a system of the other attributes' labels, solved at once. The
+labels of the large attribute, their sums and coefficients stay in tables.
+"""
 
 from __future__ import annotations
 
@@ -17,12 +23,16 @@ from facetry.functions import vectors
 from facetry.operators.arrow import list_array, matrix
 from facetry.operators.blocks import sum_over
 from facetry.operators.labels import LabelMapping, fit_labels
-from facetry.operators.lookup import attach
+from facetry.operators.lookup import attach, salted_join
 from facetry.operators.projection import Gram, Spectrum, gram, spectrum
-from facetry.session import stage
-
-#: Up to this many labels the normal equations are solved at once, beyond it by conjugate gradients on tables.
-DENSE_LABELS = 10_000
+from facetry.session import discard, stage
+
+#: Up to this many labels besides those of the largest attribute the rest is solved at once, beyond it by conjugate gradients on tables.
+DENSE_REST = 3_000
+#: Coefficients of up to this many bytes travel as a broadcast variable, others stay in a table.
+SMALL_BYTES = 64 * 1024 * 1024
+#: Labels of the largest attribute that meet the others in one dense block.
+BLOCK_ROWS = 256
 STEPS, TOLERANCE = 3000, 1e-11
 #: Labels whose sums a task holds before it passes them on.
 HELD = 16_384
@@ -47,35 +57,11 @@ def design_pairs(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return out
 
 
-def sums_by_label(df: DataFrame, idx: list[str], sizes: list[int], vector: str, width: int) -> tuple[Gram, np.ndarray]:
-    """Gram sums of the vectors and their sums per label, attributes stacked, in one pass."""
-    upper, p = np.triu_indices(width), sum(sizes)
-    offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(int)
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
-        n, cross, by_label, sums = 0, np.zeros((width, width)), np.zeros((p, width)), np.zeros(width)
-        for batch in batches:
-            rows, _ = matrix(batch.column(len(idx)))
-            if len(rows):
-                n += len(rows)
-                sums += rows.sum(axis=0)
-                cross += rows.T @ rows
-                for i, at in enumerate(offsets):
-                    np.add.at(by_label, at + batch.column(i).to_numpy(), rows)
-        return np.concatenate([[n], sums, cross[upper], by_label.ravel()]) if n else None
-
-    flat = sum_over(df.select(*idx, vector), partial)
-    if flat is None:
-        raise ValueError("no valid vectors")
-    triangle = len(upper[0])
-    return Gram.from_flat(flat[: 1 + width + triangle], width), flat[1 + width + triangle :].reshape(p, width)
-
-
 @dataclass
 class Ridge:
     """A fitted baseline. ``coefficients`` has one row per label, attributes stacked.
 
-    With more than ``DENSE_LABELS`` labels it is None, and ``table`` holds ``(place, w)`` instead.
+    Beyond ``SMALL_BYTES`` it is None, and ``table`` holds ``(place, w)`` instead.
     """
 
     mapping: LabelMapping
@@ -115,8 +101,8 @@ class Ridge:
 
         They are null for invalid vectors and for labels without a coefficient.
 
-        Coefficients of the dense solve travel as a broadcast variable, so the pass joins
-        nothing but the label numbers; those in a table are joined by label, hot labels salted.
+        Small coefficients travel as a broadcast variable, so the pass joins nothing but the
+        label numbers; those in a table are joined by label, hot labels salted.
         """
         if self.table is not None:
             return self._score_wide(df, columns, vector, spread_by)
@@ -147,7 +133,6 @@ class Ridge:
 
         return encoded.mapInArrow(run, schema)
 
-
     def _score_wide(self, df: DataFrame, columns: dict[str, str], vector: str, spread_by: str | None) -> DataFrame:
         width = len(self.intercept)
         shared = df.sparkSession.sparkContext.broadcast((self.intercept, self.spectrum.loadings))
@@ -261,16 +246,19 @@ def _fit_wide(encoded: DataFrame, attributes: list[str], sizes: list[int], vecto
     b = stage(_with_arrays(labels, ["v"], ["b"], lambda n, v: [v - n * mean]), "label-sums")
     weight = lambda n: 1 / (n + alpha)
     state = _with_arrays(b, ["b"], ["x", "r", "p"], lambda n, b: [np.zeros_like(b), b, b * weight(n)])
-    goal, center, beta = None, _totals(b, ["b"], lambda n, b: (n * b * weight(n)).sum(0)) / g.n, None
+    kept, goal, center, beta = None, None, _totals(b, ["b"], lambda n, b: (n * b * weight(n)).sum(0)) / g.n, None
     for _ in range(STEPS):
         directions = state.select(F.col("place").alias("j"), "p")
-        met = pairs.join(directions, "j").select(F.col("i").alias("place"), F.col("n").alias("_k"), F.col("p").alias("_p"))
+        met = salted_join(pairs, directions, ["j"], "inner", "i").select(F.col("i").alias("place"), F.col("n").alias("_k"), F.col("p").alias("_p"))
         scaled = met.select("place", F.lit(0).alias("n"), F.transform("_p", lambda v: v * F.col("_k")).alias("v"))
         near = _sum_by_place(scaled).select("place", F.col("v").alias("near"))
         joined = state.join(near, "place", "left").withColumn("near", F.coalesce("near", F.transform("p", lambda v: F.lit(0.0))))
         center_now = center
         step = lambda n, x, r, p, near: [x, r, p, n * p + near - n * center_now + alpha * p]
-        state = stage(_with_arrays(joined, ["x", "r", "p", "near"], ["x", "r", "p", "q"], step), "conjugate-gradients")
+        latest = stage(_with_arrays(joined, ["x", "r", "p", "near"], ["x", "r", "p", "q"], step), "conjugate-gradients")
+        if kept is not None:
+            discard(kept)  # the table of the step before
+        state = kept = latest
 
         def dots(n, r, p, q):
             w = weight(n)
@@ -316,40 +304,122 @@ def fit_ridge(
 ) -> Ridge:
     """Ridge with an unpenalised intercept on the one-hot labels of all attributes.
 
-    Pair counts give D'D; one pass over the vectors gives D'Y and Y'Y. Everything after is algebra on matrices as wide as the labels and the vectors: the fit, the residual
-    crossproduct and its eigenvectors.
+    Counts of pairs of labels give D'D; passes over the vectors give sums by label and Y'Y. From
+    these come the fit, the residual crossproduct and its eigenvectors.
     """
     attributes = list(columns)
     rows = df.filter(vectors.valid(F.col(vector), width))
     mapping = fit_labels(rows, columns)
     sizes = [mapping.sizes[a] for a in attributes]
-    p = sum(sizes)
     encoded = mapping.transform(rows, columns, spread_by=spread_by)
-    if p > DENSE_LABELS:
-        return _fit_wide(encoded, attributes, sizes, vector, width, alpha, n_nuisance_dims, mapping)
-    offsets = dict(zip(attributes, np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(int)))
-
-    # Pair counts have at most p * p rows, p <= DENSE_LABELS.
-    dd = np.zeros((p, p))
-    for r in design_pairs(encoded, {a: f"{a}_idx" for a in attributes}).collect():
-        i, j = offsets[r["attribute_i"]] + int(r["label_i"]), offsets[r["attribute_j"]] + int(r["label_j"])
-        dd[i, j] = dd[j, i] = r["n"]
-    g, dy = sums_by_label(encoded, [f"{a}_idx" for a in attributes], sizes, vector, width)
-    return _solve(mapping, attributes, alpha, n_nuisance_dims, dd, dy, g)
-
-
-def _solve(mapping, attributes, alpha, dims, dd, dy, g: Gram) -> Ridge:
-    n, counts = g.n, np.diag(dd)
-    d_mean, y_mean = counts / n, g.sums / n
-    centred_dd = dd - n * np.outer(d_mean, d_mean)
-    centred_dy = dy - n * np.outer(d_mean, y_mean)
-    w = np.linalg.solve(centred_dd + alpha * np.eye(len(dd)), centred_dy)
-    intercept = y_mean - d_mean @ w
-
-    # Residual crossproduct: centred parts, residual means are zero with a free intercept.
-    centred_yy = g.cross - n * np.outer(y_mean, y_mean)
-    residual = centred_yy - centred_dy.T @ w - w.T @ centred_dy + w.T @ centred_dd @ w
-    return _summary(mapping, attributes, alpha, dims, g, residual, intercept, w)
+    if sum(sizes) == 0:
+        raise ValueError("no valid vectors")
+    fit = _fit_wide if sum(sizes) - max(sizes) > DENSE_REST else _fit_by_elimination
+    return fit(encoded, attributes, sizes, vector, width, alpha, n_nuisance_dims, mapping)
+
+
+def _fit_by_elimination(encoded: DataFrame, attributes: list[str], sizes: list[int], vector: str, width: int, alpha: float, dims: int, mapping: LabelMapping) -> Ridge:
+    """Eliminate the largest attribute, solve for the others and the intercept, and put them back.
+
+    A task holds matrices as wide as the labels of the other attributes, and a block of
+    labels of the largest.
+    """
+    spark, idx = encoded.sparkSession, [f"{a}_idx" for a in attributes]
+    offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(int).tolist()
+    big = int(np.argmax(sizes))
+    rest = [i for i in range(len(attributes)) if i != big]
+    q = sum(sizes[i] for i in rest)
+    starts = dict(zip(rest, np.concatenate([[0], np.cumsum([sizes[i] for i in rest])]).astype(int).tolist()))
+
+    keys = stage(encoded.groupBy(*idx).agg(F.count("*").alias("n")), "design-keys")  # one row per distinct key
+    places = F.array(*[(F.col(c) + o).cast("long") for c, o in zip(idx, offsets)])
+    sums = stage(_sum_by_place(encoded.select(F.explode(places).alias("place"), F.lit(1).alias("n"), F.col(vector).alias("v"))), "label-sums")
+    g = gram(encoded, vector, width)
+    mean = g.sums / g.n
+
+    def rest_pairs(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
+        """Pair counts of the other attributes and the intercept, which comes last."""
+        total = None
+        for batch in batches:
+            n = batch.column(len(rest)).to_numpy()
+            at = [batch.column(j).to_numpy() + starts[i] for j, i in enumerate(rest)] + [np.full(len(n), q)]
+            total = np.zeros((q + 1, q + 1)) if total is None else total
+            for one in at:
+                for other in at:
+                    np.add.at(total, (one, other), n)
+        return None if total is None else total.ravel()
+
+    inner = sum_over(keys.select(*[idx[i] for i in rest], "n"), rest_pairs).reshape(q + 1, q + 1)
+
+    # The large attribute's labels, each with its count, its sum and its counts with the other labels.
+    met = [keys.groupBy(F.col(idx[big]).alias("e"), (F.col(idx[i]) + starts[i]).alias("at")).agg(F.sum("n").alias("n")) for i in rest]
+    here = (F.col("place") >= offsets[big]) & (F.col("place") < offsets[big] + sizes[big])
+    large = sums.filter(here).select("place", "n", "v")
+    if met:
+        lists = reduce(DataFrame.unionByName, met).groupBy((F.col("e") + offsets[big]).cast("long").alias("place"))
+        lists = lists.agg(F.array_agg(F.struct("at", "n")).alias("near"))  # at most DENSE_REST entries
+        large = large.join(lists, "place").select("place", "n", "v", F.col("near.at").alias("at"), F.col("near.n").alias("k"))
+    else:
+        large = large.select("place", "n", "v", F.array().cast("array<int>").alias("at"), F.array().cast("array<long>").alias("k"))
+    large = stage(large, "large-labels")
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Places, counts with the other labels and the intercept as a dense block, centred sums, weights."""
+        for whole in batches:
+            for first in range(0, len(whole), BLOCK_ROWS):
+                batch = whole.slice(first, BLOCK_ROWS)
+                n = batch.column(1).to_numpy().astype(float)
+                block = np.zeros((len(n), q + 1))
+                block[:, q] = n
+                sizes = [len(x) for x in batch.column(3)]
+                block[np.repeat(np.arange(len(n)), sizes), batch.column(3).flatten().to_numpy()] = batch.column(4).flatten().to_numpy()
+                v = matrix(batch.column(2))[0]
+                yield batch.column(0), block, v - n[:, None] * mean, 1 / (n + alpha)
+
+    def eliminated(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
+        square, right, found = np.zeros((q + 1, q + 1)), np.zeros((q + 1, width)), False
+        for _, block, v, weight in blocks(batches):
+            scaled, found = block * weight[:, None], True
+            square += block.T @ scaled
+            right += scaled.T @ v
+        return np.concatenate([square.ravel(), right.ravel()]) if found else None
+
+    flat = sum_over(large, eliminated)
+    square, right = flat[: (q + 1) ** 2].reshape(q + 1, q + 1), flat[(q + 1) ** 2 :].reshape(q + 1, width)
+    known = np.zeros((q + 1, width))  # centred sums of the other labels; that of all rows is zero
+    stack = {offsets[i] + j: starts[i] + j for i in rest for j in range(sizes[i])}
+    for r in sums.filter(~here).collect():  # at most DENSE_REST rows
+        known[stack[r["place"]]] = np.array(r["v"]) - r["n"] * mean
+    penalty = np.append(np.full(q, alpha), 0.0)
+    solved = np.linalg.solve(inner + np.diag(penalty) - square, known - right)
+
+    def put_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for place, block, v, weight in blocks(batches):
+            w, every = (v - block @ solved) * weight[:, None], np.ones(len(v), bool)
+            yield pa.RecordBatch.from_arrays([place, list_array(w, every, pa.float64()), list_array(v, every, pa.float64())], names=["place", "w", "v"])
+
+    found = stage(large.mapInArrow(put_back, "place long, w array<double>, v array<double>"), "large-coefficients")
+
+    def products(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
+        total = None
+        for batch in batches:
+            if len(batch):
+                w, v = matrix(batch.column(0))[0], matrix(batch.column(1))[0]
+                more = v.T @ w + alpha * w.T @ w
+                total = more if total is None else total + more
+        return None if total is None else total.ravel()
+
+    # With the normal equations, what the fit takes away is the sums times the coefficients, and the penalty.
+    taken = sum_over(found.select("w", "v"), products).reshape(width, width) + known.T @ solved + alpha * solved[:q].T @ solved[:q]
+    residual = g.cross - g.n * np.outer(mean, mean) - (taken + taken.T) / 2
+    rows = [(p, solved[at].tolist()) for p, at in stack.items()]
+    table = found.select("place", "w").union(spark.createDataFrame(rows, "place long, w array<double>"))
+    coefficients = None
+    if sum(sizes) * width * 8 <= SMALL_BYTES:
+        coefficients, table = np.zeros((sum(sizes), width)), table.toArrow()
+        coefficients[table.column(0).to_numpy()] = matrix(table.column(1))[0]
+        table = None
+    return _summary(mapping, attributes, alpha, dims, g, residual, solved[q] + mean, coefficients, table)
 
 
 def _summary(mapping, attributes, alpha, dims, g: Gram, residual: np.ndarray, intercept, w, table=None) -> Ridge:

@@ -63,7 +63,15 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._facetry_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``stage`` has returned and that nothing reads any more."""
+    where = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._facetry_path)
+    where.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def unpivot(df: DataFrame, keys: list[str], columns: dict[str, Column], name: str, value: str) -> DataFrame:

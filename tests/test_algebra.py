@@ -147,15 +147,22 @@ def test_many_categories(spark, monkeypatch):
 
 
 def test_ridge_with_many_labels(spark, monkeypatch):
-    """Conjugate gradients on tables give what the dense solve gives, and fit more labels than it takes."""
+    """Conjugate gradients on tables give what elimination gives; coefficients in a table what those in memory give."""
     rng = np.random.default_rng(4)
     rows = [(i, f"a{rng.integers(30)}", f"b{rng.integers(6) ** 2}", rng.normal(size=3).tolist()) for i in range(400)]
     df = spark.createDataFrame([*rows, (400, "a1", "b0", None)], "item_id long, a string, b string, v array<double>")
     columns = {"a": "a", "b": "b"}
     dense = ridge.fit_ridge(df, columns, "v", 3, alpha=0.7, n_nuisance_dims=2)
-    monkeypatch.setattr(ridge, "DENSE_LABELS", 3)
+    monkeypatch.setattr(ridge, "DENSE_REST", 3)
     wide = ridge.fit_ridge(df, columns, "v", 3, alpha=0.7, n_nuisance_dims=2)
     monkeypatch.undo()
+    monkeypatch.setattr(ridge, "SMALL_BYTES", 0)
+    monkeypatch.setattr(ridge, "BLOCK_ROWS", 7)
+    same_ridge(spark, df, columns, dense, ridge.fit_ridge(df, columns, "v", 3, alpha=0.7, n_nuisance_dims=2))
+    same_ridge(spark, df, columns, dense, wide)
+
+
+def same_ridge(spark, df, columns, dense, wide):
     assert wide.coefficients is None and np.allclose(wide.intercept, dense.intercept)
     frame = lambda fit: {(r.attribute, r.idx): r.coefficients for r in fit.coefficient_frame(spark).collect()}
     assert frame(wide).keys() == frame(dense).keys() and all(np.allclose(v, frame(dense)[k]) for k, v in frame(wide).items())
@@ -167,16 +174,20 @@ def test_ridge_with_many_labels(spark, monkeypatch):
             assert r[name] is None or np.allclose(scored[r.item_id][name], r[name])
 
 
-def test_ridge_beyond_the_dense_solve(spark):
+@pytest.mark.parametrize("many, parts", [(10, 3), (11_000, 8)])
+def test_ridge_normal_equations(spark, many, parts):
+    """Few labels or many: the same way, and the normal equations hold."""
     rng = np.random.default_rng(5)
-    rows = [(i, f"a{i % 11_000}", f"b{rng.integers(4)}", rng.normal(size=2).tolist()) for i in range(15_000)]
-    df = spark.createDataFrame(rows, "item_id long, a string, b string, v array<double>")
-    fit = ridge.fit_ridge(df, {"a": "a", "b": "b"}, "v", 2, alpha=1.0, n_nuisance_dims=1)
-    assert sum(fit.sizes.values()) == 11_004 > ridge.DENSE_LABELS
-    scored = fit.mapping.transform(fit.score(df, {"a": "a", "b": "b"}, "v", spread_by="item_id"), {"a": "a", "b": "b"}).toPandas()
+    rows = [(i, f"a{i % many}", f"b{rng.integers(4)}", f"c{rng.integers(3)}", (rng.normal(size=2) + 100).tolist()) for i in range(15_000)]
+    df = spark.createDataFrame(rows, "item_id long, a string, b string, c string, v array<double>").repartition(parts)
+    columns = {x: x for x in "abc"}
+    fit = ridge.fit_ridge(df, columns, "v", 2, alpha=1.0, n_nuisance_dims=1)
+    assert sum(fit.sizes.values()) == many + 7
+    scored = fit.mapping.transform(fit.score(df, columns, "v", spread_by="item_id"), columns).toPandas()
     residual = np.stack(scored.residual)
     assert np.allclose(residual.sum(0), 0, atol=1e-6)  # the intercept is free
-    for name in ("a", "b"):  # residuals of a label add up to alpha times its coefficients
+    assert np.isclose(np.sqrt((residual**2).sum()), fit.residual_norm)
+    for name in "abc":  # residuals of a label add up to alpha times its coefficients
         sums = np.zeros((fit.sizes[name], 2))
         np.add.at(sums, scored[f"{name}_idx"].to_numpy(), residual)
         w = {r.idx: r.coefficients for r in fit.coefficient_frame(spark).filter(f"attribute = '{name}'").collect()}
@@ -204,7 +215,7 @@ def test_ridge_without_convergence_raises(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = [(i, f"a{rng.integers(30)}", f"b{rng.integers(6)}", rng.normal(size=2).tolist()) for i in range(200)]
     df = spark.createDataFrame(rows, "item_id long, a string, b string, v array<double>")
-    monkeypatch.setattr(ridge, "DENSE_LABELS", 3)
+    monkeypatch.setattr(ridge, "DENSE_REST", 3)
     monkeypatch.setattr(ridge, "STEPS", 2)
     with pytest.raises(ArithmeticError):
         ridge.fit_ridge(df, {"a": "a", "b": "b"}, "v", 2, alpha=0.01, n_nuisance_dims=1)
