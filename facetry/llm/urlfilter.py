@@ -1,8 +1,8 @@
 """URL filters: listed rules, and association rules for what they leave open.
 
 Listed rules name a host with its subdomains and a start of the path; the longest that
-fits decides. For other urls, combinations of url tokens that go with the label "block" in
-labelled urls are mined set by set, of any length. Rules are pruned by support, confidence and lift, and a rule
+fits decides. For other urls, FP-growth mines combinations of url tokens, of any length, that
+go with the label "block" in labelled urls. Rules are pruned by support, confidence and lift, and a rule
 that adds tokens to another one without being surer is dropped. Matching goes through
 an inverted index: each rule is filed under one token, a url meets the rules of its own
 tokens, and a rule fires if the url has all its tokens.
@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetry.llm.common import let, table, whole
+from facetry.llm.common import let, table, task_count, whole
 from facetry.operators.lookup import attach, fits_broadcast
 from facetry.session import stage
 
@@ -60,74 +61,93 @@ def tokens_of(url: Column) -> Column:
     return F.array_distinct(F.concat(at_host, at_path, F.transform(keys, lambda x: F.concat(F.lit("query="), x))))
 
 
-def _free_sets(baskets: DataFrame, least: int) -> DataFrame:
-    """``set, b, u``: token sets in ``b >= least`` blocked and ``u`` open urls, of which no token can go without letting in an open url.
+#: The item that stands for the label; no token is empty.
+BLOCKED = ""
 
-    Baskets are ``items`` (sorted numbers) in ``b`` blocked and ``u`` open urls. If a set without one of its
-    tokens is met by the same open urls, it is as sure, and so is each larger set without that token: their
-    rules would fall to shorter ones. So free sets grow token by token from free sets, whatever
-    their length, and long baskets of tokens that go together have few of them.
+
+def _items(each: DataFrame, least: int) -> DataFrame:
+    """``token, item``: tokens in ``least`` blocked urls; tokens that always occur together are one item.
+
+    Such tokens have the same urls, told by their number and a digest of them. FP-growth
+    would list every subset of them, all with one count.
+    """
+    urls = [F.bit_xor(F.xxhash64("row", F.lit(i))).alias(f"u{i}") for i in range(2)]
+    known = each.groupBy("token").agg(F.count("*").alias("n"), F.sum("b").alias("b"), *urls).filter(F.col("b") >= least)
+    known = stage(known, "tokens")
+    classes = known.groupBy("n", "b", "u0", "u1").agg(F.min("token").alias("item"), F.count("*").alias("size"))
+    found = stage(known.join(classes, ["n", "b", "u0", "u1"]).select("token", "item", "size"), "items")
+    held = attach(each, found.filter("size > 1"), ["token"], "inner", spread_by="row").groupBy("row", "item", "size").agg(F.count("*").alias("held"))
+    apart = held.filter("held < size").select("item").distinct()  # a digest that two sets of urls share by chance
+    return stage(found.join(apart.withColumn("apart", F.lit(True)), "item", "left").select("token", F.when(F.col("apart"), F.col("token")).otherwise(F.col("item")).alias("item")), "items")
+
+
+def _needed(sets: DataFrame) -> DataFrame:
+    """The sure ones of ``set, confidence, sure`` that no sure subset matches in confidence; with a set, its subsets are there.
+
+    Sets are taken by size: the most that subsets reach comes from the sets one item smaller.
     """
-    hits = baskets.select("items", "b", "u", F.lit(0).alias("at"), F.array().cast("array<int>").alias("set"))
-    found, size, last = None, 0, None
+    kept, size, last = [], 1, None
     while True:
-        size += 1
-        wide = hits.select("items", "b", "u", "at", "set", F.posexplode(F.slice("items", F.col("at") + 1, F.size("items"))).alias("skip", "item"))
-        wide = wide.select("items", "b", "u", (F.col("at") + F.col("skip") + 1).alias("at"), F.concat("set", F.array("item")).alias("set"))
-        kept = wide.groupBy("set").agg(F.sum("b").alias("b"), F.sum("u").alias("u")).filter(F.col("b") >= least)
-        if last is not None:
+        level = sets.filter(F.size("set") == size)
+        if last is None:
+            level = level.withColumn("below", F.lit(0.0))
+        else:
             without = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.filter("set", lambda x, j: j != i))
-            parts = kept.select("set", "b", "u", F.explode(without).alias("less"))
-            parts = parts.join(last.select(F.col("set").alias("less"), F.col("u").alias("u_less")), "less")
-            kept = parts.groupBy("set", "b", "u").agg(F.count("*").alias("n"), F.min("u_less").alias("u_less"))
-            kept = kept.filter((F.col("n") == size) & (F.col("u_less") > F.col("u"))).select("set", "b", "u")
-        last = stage(kept, "token-sets")
-        found = last if found is None else found.unionByName(last)
-        grow = last.filter("u > 0").select("set")
-        if grow.isEmpty():
-            return found
-        hits = stage(attach(wide.filter(F.col("at") < F.size("items")), grow, ["set"], "left_semi", spread_by="items"), "token-hits")
+            parts = level.select("set", F.explode(without).alias("less"))
+            below = parts.join(last.select(F.col("set").alias("less"), "most"), "less").groupBy("set").agg(F.max("most").alias("below"))
+            level = level.join(below, "set")
+        own = F.when(F.col("sure"), F.col("confidence")).otherwise(0.0)
+        last = stage(level.withColumn("most", F.greatest("below", own)), "rule-sets")
+        if last.isEmpty():
+            out = sets.limit(0)
+            for level in kept:
+                out = out.unionByName(level)
+            return out.drop("sure")
+        kept.append(last.filter(F.col("sure") & (F.col("confidence") > F.col("below"))).select(*sets.columns))
+        size += 1
 
 
 def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, min_lift: float = 1.2) -> DataFrame:
     """Rules ``tokens, confidence, support`` from rows ``tokens array<string>, blocked boolean``.
 
-    Baskets are all tokens of a url with the support. The rules are those that FP-growth
-    finds on them and that no shorter rule which is as sure makes needless; only sets that can
-    give such a rule are counted.
+    Baskets are all tokens of a url that are in enough blocked urls, and the label. The number of
+    sets that FP-growth lists has no fixed bound: it is large where many tokens occur together
+    nearly always, but not always.
     """
     spark = labelled.sparkSession
-    rows = labelled.filter(F.size("tokens") > 0).select("tokens", "blocked")
-    n = rows.agg(F.count("*").alias("n"), F.sum(F.col("blocked").cast("long")).alias("b")).first()
+    blocked = F.coalesce(F.col("blocked"), F.lit(False)).cast("long")
+    rows = labelled.filter(F.size("tokens") > 0).select("tokens", blocked.alias("b"), F.monotonically_increasing_id().alias("row"))
+    rows = stage(rows, "labelled-urls")  # which fixes the numbers
+    n = rows.agg(F.count("*").alias("n"), F.sum("b").alias("b")).first()
     schema = "tokens array<string>, confidence double, support double"
     if not n["n"] or not n["b"]:
         return spark.createDataFrame([], schema)
     least = max(math.ceil(min_support * n["n"]), 1)
-    # Tokens above the support: at most tokens per url / min_support of them. Rare ones come first, so few baskets meet a set's start.
-    each = rows.select(F.explode("tokens").alias("token"), F.col("blocked").cast("long").alias("b"))
-    known = each.groupBy("token").agg(F.count("*").alias("n"), F.sum("b").alias("b")).filter(F.col("b") >= least)
-    ranked = [r["token"] for r in known.orderBy("n", "token").collect()]
-    if not ranked:
+    each = rows.select("row", "b", F.explode(F.array_distinct("tokens")).alias("token"))
+    items = _items(each, least)
+    baskets = attach(each, items, ["token"], "inner", spread_by="row").groupBy("row").agg(F.collect_set("item").alias("items"), F.max("b").alias("b"))
+    with_label = F.when(F.col("b") > 0, F.concat("items", F.array(F.lit(BLOCKED)))).otherwise(F.col("items"))
+    baskets = stage(baskets.select(with_label.alias("items")), "baskets")
+    count = baskets.count()
+    if not count:
         return spark.createDataFrame([], schema)
-    place = F.create_map(*[x for i, t in enumerate(ranked) for x in (F.lit(t), F.lit(i))])
-    items = F.array_sort(F.array_distinct(F.filter(F.transform("tokens", lambda t: F.element_at(place, t)), lambda i: i.isNotNull())))
-    names = F.array(*[F.lit(t) for t in ranked])
-    blocked = F.coalesce(F.col("blocked"), F.lit(False)).cast("long")
-    baskets = rows.select(items.alias("items"), blocked.alias("b")).filter(F.size("items") > 0)
-    baskets = stage(baskets.groupBy("items").agg(F.sum("b").alias("b"), F.sum(1 - F.col("b")).alias("u")), "baskets")
-    confidence = F.col("b") / (F.col("b") + F.col("u"))
+    growth = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / count, numPartitions=task_count(spark))
+    found = stage(growth.fit(baskets).freqItemsets, "frequent-sets")
+    label = F.array_contains("items", BLOCKED)
+    sets = found.filter(label & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", BLOCKED)).alias("set"), F.col("freq").alias("b"))
+    sets = sets.join(found.filter(~label).select(F.array_sort("items").alias("set"), F.col("freq").alias("n")), "set")
+    confidence = F.col("b") / F.col("n")
     sure = (confidence >= min_confidence) & (confidence / (n["b"] / n["n"]) >= min_lift)
-    named = F.array_sort(F.transform("set", lambda i: F.get(names, i)))
-    rules = _free_sets(baskets, least).filter(sure).select(named.alias("tokens"), confidence.alias("confidence"), (F.col("b") / n["n"]).alias("support"))
-    rules = stage(rules, "sure-sets")
-    # A rule falls to one that asks for less and is as sure. Rules are compared through a token they share.
-    narrow, wide = rules.alias("a"), rules.alias("b")
-    shorter = wide.select(F.col("tokens").alias("less"), F.col("confidence").alias("sure"), F.element_at("tokens", 1).alias("token"))
-    parts = narrow.select("tokens", "confidence", F.explode("tokens").alias("token"))
-    beaten = parts.join(shorter, "token").filter(
-        (F.size("less") < F.size("tokens")) & (F.col("sure") >= F.col("confidence")) & (F.size(F.array_except("less", "tokens")) == 0)
-    )
-    return stage(rules.join(beaten.select("tokens").distinct(), "tokens", "left_anti"), "rules")
+    sets = stage(sets.select("set", confidence.alias("confidence"), (F.col("b") / n["n"]).alias("support"), sure.alias("sure")), "sets")
+    rules = _needed(sets)
+    # An item of several tokens stands for each of them.
+    tokens = items.groupBy("item").agg(F.collect_list("token").alias("tokens"))
+    parts = rules.select("*", F.explode("set").alias("item")).join(tokens, "item")
+    parts = parts.groupBy("set", "confidence", "support").agg(F.collect_list("tokens").alias("choices"))
+    grow = lambda done, more: F.flatten(F.transform(done, lambda d: F.transform(more, lambda t: F.concat(d, F.array(t)))))
+    chosen = F.aggregate("choices", F.array(F.array().cast("array<string>")), grow)
+    named = parts.select(F.explode(chosen).alias("tokens"), "confidence", "support")
+    return stage(named.select(F.array_sort("tokens").alias("tokens"), "confidence", "support"), "rules")
 
 
 def match(urls: DataFrame, rules: DataFrame, key: str) -> DataFrame:
