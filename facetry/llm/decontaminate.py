@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
 from facetry.llm.common import table
+from facetry.session import stage
 
 #: Characters of benchmark text matched in one pass over the documents.
 BLOCK_CHARS = 8_000_000
@@ -115,9 +116,13 @@ class Matcher:
 
 
 def blocks(items: DataFrame, key: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """Items as (key, plain text), at most ``BLOCK_CHARS`` characters at a time; null and empty ones left out."""
+    """Items as (key, plain text), at most ``BLOCK_CHARS`` characters at a time; null and empty texts left out.
+
+    An item without a key gets a negative one, made from its text.
+    """
     block, size = [], 0
-    rows = items.select(F.col(key).cast("long").alias("key"), F.col(text_col).cast("string").alias("text")).filter("key IS NOT NULL AND text IS NOT NULL")
+    named = F.coalesce(F.col(key).cast("long"), -1 - F.pmod(F.xxhash64(text_col), F.lit(1 << 62)))
+    rows = items.select(named.alias("key"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
     for r in rows.toLocalIterator():
         text = plain(r["text"])
         if block and size + len(text) > BLOCK_CHARS:
@@ -135,13 +140,19 @@ def find_items(
     """The columns of ``docs`` and ``name``: array of (item_id, distance, end) of the items in its text.
 
     The budget of an item is ``rate`` times its length in edits, rounded down. One map pass per block of items, no
-    shuffle. A null or empty text has no items; of repeated item keys the closest counts.
+    shuffle; a pass is written before the next one, so that one block at a time is held. A null or empty
+    text has no items; of repeated item keys the closest counts; an item without a key is matched under a
+    negative one made from its text.
     """
     kept = [c for c in docs.columns if c != name]
     schema = docs.select(*kept).schema.add(name, MATCHES)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("end", pa.int32())]))
     place, found = kept.index(text_col), docs.select(*kept).withColumn(name, F.array().cast(MATCHES))
+    shared = None
     for block in blocks(items, item_key, item_text):
+        if shared is not None:
+            found = stage(found, "matched")
+            shared.unpersist()
         shared = docs.sparkSession.sparkContext.broadcast((block, rate))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -45,7 +45,9 @@ def test_odd_rows(spark, odd, none, monkeypatch):
         monkeypatch.setattr(dc, "BLOCK_CHARS", block)
         got = dc.find_items(odd, items)
         assert got.columns == [*odd.columns, "matches"] and got.count() == odd.count()
-        found = [(r.doc_id, [(m.item_id, m.distance) for m in r.matches]) for r in got.collect() if r.matches]
-        assert found == [(None, [(1, 0), (6, 0)])]
+        found = {r.doc_id: [(m.item_id, m.distance) for m in r.matches] for r in got.collect() if r.matches}
+        assert {k: [m for m in v if m[0] > 0] for k, v in found.items()} == {None: [(1, 0), (6, 0)], 10: [], 11: []}
+        unnamed = {m for v in found.values() for m in v if m[0] < 0}  # the item without an id
+        assert len(unnamed) == 1 and found[10] == found[11] == [*unnamed]
     assert dc.find_items(none, items).count() == 0
     assert dc.find_items(odd, items.filter("item_id = 2")).filter("size(matches) > 0").count() == 0

@@ -42,3 +42,15 @@ def test_stages_on_odd_rows(spark, odd, none):
     assert sorted(r.doc_id for r in stay.collect() if r.doc_id) == [1, 4, 5, 6, 7, 8, 9, 10, 12]
     assert stay.filter("doc_id IS NULL").count() == 1
     assert COLUMNS.split()[0] == stay.columns[0]
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    """Two texts under one id both stay, their copies go; copies without an id are copies all the same."""
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, one), (1, two), (1, one), (7, two), (8, one + " end"), (None, two), (None, "alone"), (None, "alone"), (9, "alone too")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stay = sorted((r.doc_id or 0, r.text) for r in cp.one_of_each_group(spark, docs, FOLDER).collect())
+    # The first text of id 1 has its name; the other text's group is named by its smallest name, that of document 7.
+    assert sum(t == one for _, t in stay) + sum(t == one + " end" for _, t in stay) == 1
+    assert sum(t == two for _, t in stay) == 1
+    assert sum(t == "alone" for _, t in stay) == 1 and (9, "alone too") in stay and len(stay) == 4
