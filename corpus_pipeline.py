@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetry.llm import decontaminate, language, mixing, neardup, tokenids
-from facetry.llm.common import table
+from facetry.llm.common import table, whole
+from facetry.operators.lookup import attach
 from facetry.session import ship_package, stage
 
 #: Below this score a text is hardly nearer to its language than to the others.
@@ -41,12 +42,20 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group whose five-word shingles overlap by 0.8 or more.
 
-    Documents without an id belong to no group and stay; of rows that share an id one stays.
+    Texts are compared, not ids: a row without an id, or with the id of a row that has another
+    text, is a document of its own with a name made from its id and text. Of rows with the same id
+    and text one stays, and of a group of rows without ids the one whose name is smallest.
     """
-    found = neardup.near_duplicates(docs, neardup.Sketch(words=5, percent=80))
-    kept = found.filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    stay = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return stay.union(docs.filter("doc_id IS NULL"))
+    name = F.lit(1 << 62) + F.pmod(F.xxhash64("doc_id", whole("text")), F.lit(1 << 62))
+    digest = F.xxhash64(whole("text"))
+    shared = docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.min(digest).alias("_first"), F.max(digest).alias("_last"))
+    shared = stage(shared.filter("_first <> _last").drop("_last"), "ids-of-several-texts")
+    rows = attach(docs.withColumn("_id", F.col("doc_id")).withColumn("_digest", digest), shared, ["_id"], spread_by="_digest")
+    own = F.col("doc_id").isNotNull() & (F.col("_first").isNull() | (F.col("_first") == F.col("_digest")))
+    rows = rows.select(*docs.columns, F.when(own, F.col("doc_id").cast("long")).otherwise(name).alias("_name"))
+    found = neardup.near_duplicates(rows, neardup.Sketch(words=5, percent=80), key="_name")
+    kept = found.filter("kept").select(F.col("_name").alias("_kept")).distinct()
+    return rows.join(kept, F.col("_name") == F.col("_kept"), "left_semi").dropDuplicates(["_name"]).select(*docs.columns)
 
 
 @shipped
