@@ -1,20 +1,25 @@
 """Distributed training of the attribute network.
 
-The training rows are spread over a fixed number of shards by item id and kept on the
-executors' disks; a lost one is rebuilt from the staged table. One job per epoch: every
-shard starts from the same weights and walks its rows in minibatches, then the weights
+The training rows are written once. Each epoch deals them anew to a fixed number of shards and
+orders them there, by a seeded hash of item and epoch: a permutation of all rows that
+does not depend on files or partitions. Every shard starts from the same weights and walks its
+rows in minibatches, cut from the stream of rows whatever batches it arrives in; then the weights
 and optimiser moments are averaged by rows (``sync="weights"``), or all rows give one
 summed gradient and one step (``sync="gradient"``).
+
+With a state folder every epoch ends with a written state, and a run that was ended goes on
+from the last one.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +28,13 @@ from facetry.operators.arrow import matrix
 from facetry.operators.blocks import sum_over
 from facetry.operators.lookup import salted_join
 from facetry.operators.network import Network
-from facetry.session import stage
+from facetry.session import discard, stage
 
 # Optimiser defaults.
 BETA_1, BETA_2, EPSILON = 0.9, 0.999, 1e-8
 SHARDS = 8
+#: Rows whose gradients are summed at once, where no step is taken in between.
+TOGETHER = 1024
 
 
 def training_rows(
@@ -54,37 +61,63 @@ class Layout:
 
     attributes: list[str]
     slots: int
-    mask: int
+    width: int
 
-    def batches(self, stream: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, dict[str, np.ndarray]]]:
+    def batches(self, stream: Iterator[pa.RecordBatch], size: int, mask: int) -> Iterator[tuple[np.ndarray, dict[str, np.ndarray]]]:
+        """Cells cut to ``mask`` and labels of ``size`` rows at a time, the last time of those left."""
+        held = None
         for batch in stream:
-            cells, _ = matrix(batch.column(0))
-            labels = {a: batch.column(i + 1).to_numpy() for i, a in enumerate(self.attributes)}
-            if len(cells):
-                yield cells.reshape(-1, self.slots, self.mask), labels
+            if not batch.num_rows:
+                continue
+            cells = matrix(batch.column(0))[0].reshape(-1, self.slots, self.width)[:, :, :mask]
+            rows = [cells, *[batch.column(i + 1).to_numpy() for i in range(len(self.attributes))]]
+            held = rows if held is None else [np.concatenate(pair) for pair in zip(held, rows)]
+            whole = len(held[0]) // size * size
+            for at in range(0, whole, size):
+                yield self._named([x[at : at + size] for x in held])
+            held = [x[whole:] for x in held]
+        if held is not None and len(held[0]):
+            yield self._named(held)
+
+    def _named(self, rows: list[np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        return np.ascontiguousarray(rows[0]), dict(zip(self.attributes, rows[1:]))
 
 
 @dataclass
 class Shards:
-    """Rows cut to the network's mask, placed for repeated passes."""
+    """Rows written for repeated passes; networks with masks up to the layout's width train on them."""
 
-    df: DataFrame
+    table: DataFrame
     layout: Layout
+    shards: int
+
+    def permuted(self, seed: int, epoch: int) -> DataFrame:
+        """The rows of an epoch, dealt and ordered by a hash; a partition is a shard."""
+        draw = F.xxhash64(F.lit(f"{seed}:{epoch}"), "_item")
+        dealt = self.table.withColumn("_draw", draw).repartitionById(self.shards, F.pmod("_draw", F.lit(self.shards)).cast("int"))
+        return dealt.sortWithinPartitions("_draw", "_item").select(*self.columns())
+
+    def rows(self) -> DataFrame:
+        return self.table.select(*self.columns())
+
+    def columns(self) -> list[str]:
+        return [c for c in self.table.columns if c != "_item"]
 
     def unpersist(self) -> None:
-        self.df.unpersist()
+        """Delete the written rows."""
+        discard(self.table)
 
 
 def place(rows: DataFrame, attributes: list[str], mask: int, slots: int, item_id: str = "item_id",
           shards: int = SHARDS, label_suffix: str = "_idx") -> Shards:
-    """Rows by shard. With ``sync="weights"`` the number of shards is the degree of averaging.
+    """Write the rows, cut to the widest mask that will be asked for.
 
-    So it is a parameter of the training, whatever the table and the cluster; large tables ask for more.
+    With ``sync="weights"`` the number of shards is the degree of averaging. So it is a
+    parameter of the training, whatever the table and the cluster; large tables ask for more.
     """
     flat = F.flatten(F.transform("cells", lambda v: vectors.trim(v, mask))).alias("cells")
     labels = [F.col(f"{a}{label_suffix}").alias(f"_{a}") for a in attributes]
-    spread = rows.repartition(shards, item_id).sortWithinPartitions(item_id).select(flat, *labels)
-    return Shards(spread.persist(StorageLevel.DISK_ONLY), Layout(attributes, slots, mask))
+    return Shards(stage(rows.select(flat, *labels, F.col(item_id).alias("_item")), "placed-rows"), Layout(attributes, slots, mask), shards)
 
 
 @dataclass
@@ -125,16 +158,17 @@ def _means(names: list[str], sums: np.ndarray) -> dict[str, float]:
 def evaluate(shards: Shards, network: Network) -> dict[str, float]:
     """Row means of the losses and accuracies, dropout off."""
     layout, names = shards.layout, loss_names(shards.layout.attributes)
-    shared = shards.df.sparkSession.sparkContext.broadcast(network)
+    shared = shards.table.sparkSession.sparkContext.broadcast(network)
 
     def partial(stream: Iterator[pa.RecordBatch]) -> np.ndarray | None:
         network, total, seen = shared.value, np.zeros(len(names)), False
-        for cells, labels in layout.batches(stream):
+        for cells, labels in layout.batches(stream, TOGETHER, network.shape["mask_size"]):
             sums, _ = network.losses(cells, labels, slopes=False)
             total, seen = total + [sums[k] for k in names], True
         return total if seen else None
 
-    sums = sum_over(shards.df, partial)
+    sums = sum_over(shards.rows(), partial)
+    shared.unpersist()
     return _means(names, sums if sums is not None else np.zeros(len(names)))
 
 
@@ -144,21 +178,17 @@ def train_epoch(shards: Shards, network: Network, state: AdamW, rate: float, dec
     layout, names = shards.layout, loss_names(shards.layout.attributes)
     size = len(state.weights)
 
-    shared = shards.df.sparkSession.sparkContext.broadcast((network, state))  # once per executor, not per task
+    shared = shards.table.sparkSession.sparkContext.broadcast((network, state))  # once per executor, not per task
 
     def local_steps(stream: Iterator[pa.RecordBatch]) -> np.ndarray | None:
         network, state = shared.value
         rng = np.random.default_rng([seed, epoch, TaskContext.get().partitionId()])
         own = AdamW(state.weights, state.first, state.second, state.steps)
         total = np.zeros(len(names))
-        for cells, labels in layout.batches(stream):
-            order = rng.permutation(len(cells))
-            for at in range(0, len(order), batch_size):
-                pick = order[at : at + batch_size]
-                sums, grad = network.with_flat(own.weights).losses(
-                    cells[pick], {a: v[pick] for a, v in labels.items()}, rng if dropout else None)
-                own.step(grad / len(pick), rate, decay)
-                total += [sums[k] for k in names]
+        for cells, labels in layout.batches(stream, batch_size, network.shape["mask_size"]):
+            sums, grad = network.with_flat(own.weights).losses(cells, labels, rng if dropout else None)
+            own.step(grad / len(cells), rate, decay)
+            total += [sums[k] for k in names]
         n = total[0]
         if not n:
             return None
@@ -168,16 +198,14 @@ def train_epoch(shards: Shards, network: Network, state: AdamW, rate: float, dec
         network, _ = shared.value
         rng = np.random.default_rng([seed, epoch, TaskContext.get().partitionId()])
         total, gradient = np.zeros(len(names)), np.zeros(size)
-        for cells, labels in layout.batches(stream):
-            for at in range(0, len(cells), 1024):
-                part = slice(at, at + 1024)
-                sums, grad = network.losses(cells[part], {a: v[part] for a, v in labels.items()}, rng if dropout else None)
-                total, gradient = total + [sums[k] for k in names], gradient + grad
+        for cells, labels in layout.batches(stream, TOGETHER, network.shape["mask_size"]):
+            sums, grad = network.losses(cells, labels, rng if dropout else None)
+            total, gradient = total + [sums[k] for k in names], gradient + grad
         return np.concatenate([total, gradient]) if total[0] else None
 
     if sync not in ("weights", "gradient"):
         raise ValueError(f"unknown sync {sync!r}")
-    flat = sum_over(shards.df, local_steps if sync == "weights" else whole_gradient, merge_splits=False)
+    flat = sum_over(shards.permuted(seed, epoch), local_steps if sync == "weights" else whole_gradient, merge_splits=False)
     shared.unpersist()
     if flat is None:
         raise ValueError("no training rows")
@@ -207,9 +235,42 @@ class Plateau:
             self.rate, self.bad = max(self.rate * self.factor, self.floor), 0
 
 
+class States:
+    """The state after each epoch as a small table ``folder/epoch-N``; the last two are kept.
+
+    A state counts once its table is complete, so a run that ends while writing goes on from the one before.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        where = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        self.files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _path(self, epoch: int, name: str = ""):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/epoch-{epoch:06}{name}")
+
+    def write(self, epoch: int, record: dict, arrays: dict[str, np.ndarray]) -> None:
+        rows = [("record", json.dumps(record), None), *[(k, None, v.tolist()) for k, v in arrays.items()]]
+        frame = self.spark.createDataFrame(rows, "name string, record string, numbers array<double>").coalesce(1)
+        frame.write.mode("overwrite").parquet(self._path(epoch).toString())
+        if epoch > 1:
+            self.files.delete(self._path(epoch - 2), True)
+
+    def last(self) -> tuple[dict, dict[str, np.ndarray]] | None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        if not self.files.exists(where):
+            return None
+        epochs = [int(f.getPath().getName().split("-")[1]) for f in self.files.listStatus(where)]
+        done = [e for e in epochs if self.files.exists(self._path(e, "/_SUCCESS"))]
+        if not done:
+            return None
+        rows = {r["name"]: r for r in self.spark.read.parquet(self._path(max(done)).toString()).collect()}  # one model
+        return json.loads(rows.pop("record")["record"]), {k: np.array(r["numbers"]) for k, r in rows.items()}
+
+
 def train_network(
-    train: DataFrame,
-    validation: DataFrame,
+    train: DataFrame | Shards,
+    validation: DataFrame | Shards,
     network: Network,
     epochs: int = 100,
     learning_rate: float = 0.001,
@@ -225,19 +286,39 @@ def train_network(
     shards: int = SHARDS,
     item_id: str = "item_id",
     on_improvement=None,
+    state_path: str | None = None,
 ) -> tuple[Network, list[dict]]:
     """Train with early stopping; the best weights are returned with the history.
 
     The best weights are tracked from the first epoch, patience counts from
     ``start_from_epoch``. ``on_improvement(network)`` runs whenever counted epochs improve.
+    Rows may have been placed before. With ``state_path`` the run continues from the last
+    state written there, as if it had not been ended; a state of a training with other settings
+    is an error. ``epochs`` may be raised from run to run.
     """
     shape = network.shape
     args = (shape["attribute_names"], shape["mask_size"], shape["mini_batch_size"], item_id, shards)
-    placed, held_out = place(train, *args), place(validation, *args)
+    placed, held_out = (r if isinstance(r, Shards) else place(r, *args) for r in (train, validation))
+    spark = placed.table.sparkSession
+    settings = [shape, learning_rate, weight_decay, batch_size, early_stopping_patience, lr_reduce_patience, lr_reduce_factor,
+                min_lr, start_from_epoch, seed, sync, placed.shards]
+    settings = json.loads(json.dumps(settings))
     state, schedule = AdamW.start(network), Plateau(learning_rate, lr_reduce_factor, lr_reduce_patience, min_lr)
     best, best_loss, waited, history = network, float("inf"), 0, []
+    states = States(spark, state_path) if state_path else None
+    known = states.last() if states else None
+    if known:
+        record, arrays = known
+        if record["settings"] != settings:
+            raise ValueError(f"{state_path} has the state of another training")
+        state = AdamW(arrays["weights"], arrays["first"], arrays["second"], record["steps"])
+        network, best = network.with_flat(state.weights), network.with_flat(arrays["best"])
+        best_loss, waited, history = record["best_loss"], record["waited"], record["history"]
+        schedule.rate, schedule.best, schedule.bad = record["schedule"]
     try:
-        for epoch in range(epochs):
+        for epoch in range(len(history), epochs):
+            if waited >= early_stopping_patience and epoch > start_from_epoch:
+                break
             state, fitted = train_epoch(placed, network, state, schedule.rate, weight_decay, batch_size, epoch, seed, sync)
             network = network.with_flat(state.weights)
             seen = evaluate(held_out, network)
@@ -253,11 +334,14 @@ def train_network(
                 waited = 0 if improved else waited + 1
                 if improved and on_improvement:
                     on_improvement(network)
-                if waited >= early_stopping_patience:
-                    break
+            if states:
+                record = {"settings": settings, "steps": state.steps, "best_loss": best_loss, "waited": waited, "history": history,
+                          "schedule": [schedule.rate, schedule.best, schedule.bad]}
+                states.write(epoch, record, {"weights": state.weights, "first": state.first, "second": state.second, "best": best.flat()})
     finally:
-        placed.unpersist()
-        held_out.unpersist()
+        for rows, given in ((placed, train), (held_out, validation)):
+            if rows is not given:
+                rows.unpersist()
     return best, history
 
 

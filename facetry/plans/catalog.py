@@ -773,7 +773,7 @@ def training_history(spark, folder):
 def tuning_trials(spark, folder):
     train, held_out = split_training_rows(spark, folder)
     sizes = initial_network(spark, folder).shape["attribute_sizes"]
-    _, trials = tuning.tune(train, held_out, sizes, 64, n_trials=2, epochs_per_trial=2)
+    _, trials = tuning.tune(train, held_out, sizes, 64, n_trials=6, epochs_per_trial=6, parallel_trials=3)
     return trials
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from facetry.operators import network as nn
+from facetry.operators.network import Network, network_shape
 from facetry.operators import training, tuning
 from facetry.sources import readers, writers
 
@@ -138,3 +139,66 @@ def test_parallel_trials(spark):
     best, trials = tuning.tune(data, data, SIZES, 6, mini_batch_size=4, n_trials=2, epochs_per_trial=1, parallel_trials=2, shards=2)
     assert trials.count() == 2 and best["mask_size"] == 6
     assert trials.filter(F.col("val_loss") > 0).count() == 2
+
+
+def test_minibatches_do_not_depend_on_arrow_batches(spark):
+    data = rows(spark, 130)
+    found = []
+    for size in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        for sync in ("weights", "gradient"):
+            best, history = training.train_network(data.repartition(int(size) % 5 + 1), data, small(), epochs=2, learning_rate=0.01, shards=3, sync=sync)
+            found.append((best.flat(), history))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for (one, history), (other, again) in zip(found[:2], found[2:]):
+        assert np.array_equal(one, other) and [h["train_loss"] for h in history] == [h["train_loss"] for h in again]
+
+
+def test_every_epoch_has_another_order(spark):
+    placed = training.place(rows(spark, 60), ["a", "b"], 6, 4, shards=3)
+    first, again, second = (placed.permuted(1, e).collect() for e in (0, 0, 1))
+    assert first == again != second and sorted(map(str, first)) == sorted(map(str, second))
+    placed.unpersist()
+
+
+def same(one, other):
+    """Histories but for the order in which losses were added up."""
+    return len(one) == len(other) and all(a.keys() == b.keys() and np.allclose(list(a.values()), list(b.values()), rtol=1e-12) for a, b in zip(one, other))
+
+
+def test_an_ended_run_continues(spark, tmp_path):
+    data, path = rows(spark, 60), str(tmp_path / "state")
+    run = lambda epochs, **more: training.train_network(data, data, small(), epochs=epochs, learning_rate=0.01, shards=2, seed=5, **more)
+    best, history = run(5)
+    run(2, state_path=path)
+    (tmp_path / "state" / "epoch-000002" / "_temporary").mkdir(parents=True)  # ended while writing the third state
+    again, resumed = run(5, state_path=path)
+    assert same(resumed, history) and np.array_equal(best.flat(), again.flat())
+    assert run(5, state_path=path)[1] == resumed
+    with pytest.raises(ValueError, match="another training"):
+        run(6, state_path=path, batch_size=9)
+
+
+def test_early_stop_is_kept(spark, tmp_path):
+    data, path = rows(spark, 20), str(tmp_path / "state")
+    run = lambda epochs: training.train_network(data, data, small(), epochs=epochs, learning_rate=2.0, early_stopping_patience=2, start_from_epoch=1, shards=1, sync="gradient", state_path=path)[1]
+    stopped = run(30)
+    assert len(stopped) < 30 and run(30) == stopped
+
+
+def test_successive_halving(spark, tmp_path):
+    assert tuning.rungs(75, 50, 3) == [(75, 1), (25, 2), (8, 6), (2, 17), (1, 50)]
+    assert tuning.rungs(4, 2, 3) == [(4, 1), (1, 2)] and tuning.rungs(5, 7, None) == [(5, 7)] and tuning.rungs(1, 7, 3) == [(1, 7)]
+    data, path = rows(spark, 40), str(tmp_path / "search")
+    args = dict(mini_batch_size=4, n_trials=4, epochs_per_trial=3, shards=2, seed=1)
+    best, trials = tuning.tune(data, data, SIZES, 6, **args, state_path=path)
+    found = {r.trial: r for r in trials.collect()}
+    assert sorted(r.epochs for r in found.values()) == [1, 1, 1, 3]
+    last = next(r for r in found.values() if r.epochs == 3)
+    # The one that is left has the loss of training it alone, and a search that goes on finds the same.
+    params = tuning.draw_trials(4, 6, seed=1)[last.trial]
+    optimiser = {k: params.pop(k) for k in ("learning_rate", "weight_decay")}
+    net = Network.initial(network_shape(SIZES, 6, **(params | {"mini_batch_size": 4})), 1)
+    _, history = training.train_network(data, data, net, epochs=3, batch_size=8, seed=1, shards=2, **optimiser)
+    assert math.isclose(min(h["val_loss"] for h in history), last.val_loss, rel_tol=1e-12)
+    assert sorted(tuning.tune(data, data, SIZES, 6, **args, state_path=path)[1].collect()) == sorted(trials.collect())
