@@ -472,6 +472,59 @@ def elbow_table(spark, folder):
     return rounded(projection.elbow_table(spark, fit.spectrum.values), "singular_value", "diff", "cumulative_pct")
 
 
+def represented(spark, folder):
+    """All documents: network representations ``x`` and full vectors ``y``, null where there is no vector."""
+    net = initial_network(spark, folder)
+    rows = maybe_items(spark, folder).select("item_id", "embedding").withColumn("y", F.col("embedding"))
+    scored = network.score(rows, net, keep=["item_id", "y"])
+    x = F.concat(*[F.col(a) for a in net.shape["attribute_names"]])
+    width = net.shape["embedding_units_per_attribute"] * len(net.shape["attribute_names"])
+    return stage(scored.select("item_id", "y", x.alias("x")), "represented"), width
+
+
+def products(rows: DataFrame, left: str, right: str) -> DataFrame:
+    """``i, j, value``: the crossproduct of two vector columns, relative to the lengths of their columns."""
+    one = rows.select("item_id", F.posexplode(left).alias("i", "a"))
+    other = rows.select("item_id", F.posexplode(right).alias("j", "b"))
+    sums = one.join(other, "item_id").groupBy("i", "j").agg(
+        F.sum(F.col("a").cast("double") * F.col("b")).alias("ab"), F.sum(F.col("a").cast("double") * F.col("a")).alias("aa"),
+        F.sum(F.col("b").cast("double") * F.col("b")).alias("bb"))
+    return sums.select("i", "j", (F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).alias("value"))
+
+
+@query
+def projection_certificate(spark, folder):
+    """Residuals of all entries on all representation entries: their products with these are zero."""
+    rows, width = represented(spark, folder)
+    found = projection.projection_residuals(rows, "x", "y", width, 64).filter("residual IS NOT NULL")
+    n = found.count()
+    leaks = products(found, "x", "residual").groupBy("j").agg((F.round(F.max(F.abs("value")), 6) + 0.0).alias("leak"))
+    return leaks.select(F.col("j").cast("int").alias("pos"), F.lit(n).cast("bigint").alias("n"), "leak")
+
+
+@query
+def nuisance_certificate(spark, folder):
+    """Five components at full width: free of the representations, and of each other."""
+    rows, width = represented(spark, folder)
+    fit = projection.fit_nuisance(rows, "x", "y", width, 64, num_nuisance_dims=5)
+    scored = stage(fit.score(rows, "x", "y").filter("nuisance IS NOT NULL"), "nuisance")
+    leak = products(scored, "x", "nuisance").groupBy("j").agg((F.round(F.max(F.abs("value")), 6) + 0.0).alias("leak"))
+    own = products(scored, "nuisance", "nuisance").filter("i <> j").groupBy("j").agg((F.round(F.max(F.abs("value")), 6) + 0.0).alias("overlap"))
+    return leak.join(own, "j").select(F.col("j").cast("int").alias("component"), F.lit(scored.count()).cast("bigint").alias("n"), "leak", "overlap")
+
+
+@query
+def elbow_certificate(spark, folder):
+    """Each singular value of the residuals is the length of its scores; drops and shares follow from them."""
+    rows, width = represented(spark, folder)
+    fit = projection.fit_nuisance(rows, "x", "y", width, 64, num_nuisance_dims=20)
+    table = projection.elbow_table(spark, fit.spectrum.values)
+    lengths = fit.score(rows, "x", "y").filter("nuisance IS NOT NULL").select(F.posexplode("nuisance").alias("i", "v"))
+    lengths = lengths.groupBy((F.col("i") + 1).alias("dim")).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"))
+    falls = (F.col("diff") >= 0) & (F.col("cumulative_pct") > 0) & (F.col("cumulative_pct") <= 100 + 1e-9)
+    return table.join(lengths, "dim").select("dim", (F.round(F.col("length") - F.col("singular_value"), 6) + 0.0).alias("gap"), falls.alias("falls"))
+
+
 @query
 def design_pair_counts(spark, folder):
     return ridge.design_pairs(items(spark, folder), {"lang": "lang", "source": "source", "label": "label"})
@@ -514,6 +567,22 @@ def ridge_two_attributes(spark, folder):
     return exploded(fit.score(rows, columns, "embedding").select("item_id", "nuisance"), ["item_id"], "nuisance")
 
 
+@query
+def ridge_certificate(spark, folder):
+    """Three attributes: residuals of a label add up to alpha times its coefficients."""
+    rows = items(spark, folder)
+    columns = {"lang": "lang", "source": "source", "label": "label"}
+    fit = ridge.fit_ridge(rows, columns, "embedding", 64, alpha=2.0)
+    scored = stage(fit.mapping.transform(fit.score(rows, columns, "embedding"), columns), "scored")
+    weights, gaps = fit.coefficient_frame(spark), []
+    for a in columns:
+        sums = scored.select(F.col(f"{a}_idx").alias("idx"), F.posexplode("residual")).groupBy("idx", "pos").agg(F.sum("col").alias("total"), F.count("*").alias("n"))
+        own = weights.filter(F.col("attribute") == a).select("idx", F.posexplode("coefficients").alias("pos", "w"))
+        gap = F.round(F.max(F.abs(F.col("total") - 2.0 * F.col("w"))), 6) + 0.0
+        gaps.append(sums.join(own, ["idx", "pos"]).groupBy("idx").agg(F.first("n").alias("n"), gap.alias("gap")).select(F.lit(a).alias("attribute"), "idx", "n", "gap"))
+    return reduce(DataFrame.unionByName, gaps)
+
+
 @query
 def linear_baseline(spark, folder):
     docs = labelled(spark, folder).select(F.col("doc_id").alias("item_id"), "text", "lang", "source", "quality")
@@ -624,6 +693,18 @@ def lexicon_summary(spark, folder):
     return rounded(summary, "mean", "std")
 
 
+@query
+def lexicon_certificate(spark, folder):
+    """Ten controls of every document: free of each other, as long as their singular values."""
+    out, fit = lexicon.lexicon_controls(documents(spark, folder), "doc_id", "text", word_lists(spark, folder), 10)
+    out = stage(out.withColumnRenamed("doc_id", "item_id"), "controls")
+    own = products(out, "controls", "controls").filter("i <> j").groupBy("j").agg((F.round(F.max(F.abs("value")), 6) + 0.0).alias("overlap"))
+    lengths = out.select(F.posexplode("controls").alias("j", "v")).groupBy("j").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"), F.count("*").alias("n"))
+    values = spark.createDataFrame(list(enumerate(fit.spectrum.values.tolist())), "j int, value double")
+    gap = (F.round(F.col("length") - F.col("value"), 6) + 0.0).alias("gap")
+    return own.join(lengths, "j").join(values, "j").select(F.col("j").cast("int").alias("component"), "n", "overlap", gap)
+
+
 @query
 def lexicon_controls(spark, folder):
     out, _ = lexicon.lexicon_controls(documents(spark, folder), "doc_id", "text", word_lists(spark, folder), 10)
@@ -769,6 +850,29 @@ def training_history(spark, folder):
     return history_frame(spark, history)
 
 
+@query
+def training_certificate(spark, folder):
+    """Three epochs in two runs, the second from the first one's state: rates, and whether the loss is below that of the untrained network."""
+    train, held_out = split_training_rows(spark, folder)
+    net, path = initial_network(spark, folder), scratch_path(spark, "state")
+    args = (list(ATTRIBUTES), 64, 10)
+    placed, kept = place(train, *args), place(held_out, *args)
+    before = evaluate(kept, net)["total"]
+    train_network(placed, kept, net, epochs=1, learning_rate=0.004, state_path=path)
+    _, history = train_network(placed, kept, net, epochs=3, learning_rate=0.004, state_path=path)
+    rows = history_frame(spark, history).select("epoch", "learning_rate", (F.col("val_loss") < before).alias("below"))
+    return rows.withColumn("n_train", F.lit(placed.rows().count()).cast("bigint")).withColumn("n_validation", F.lit(kept.rows().count()).cast("bigint"))
+
+
+@query
+def tuning_certificate(spark, folder):
+    """How many of six trials went how far, and that the best of them went to the end."""
+    found = tuning_trials(spark, folder)
+    best = F.max(F.struct(-F.col("val_loss"), "epochs")).alias("best")
+    last = found.agg(best, F.max("epochs").alias("most")).select((F.col("best.epochs") == F.col("most")).alias("best_is_last"))
+    return found.groupBy("epochs").agg(F.count("*").alias("n_trials")).join(F.broadcast(last))
+
+
 @query
 def tuning_trials(spark, folder):
     train, held_out = split_training_rows(spark, folder)
@@ -789,6 +893,25 @@ def fit_and_transform(spark, folder):
     return scored.select("item_id", *[F.size(c).cast("bigint").alias(f"{c}_width") for c in ("lang", "label", "nuisance")])
 
 
+@query
+def reload_certificate(spark, folder):
+    """A saved and loaded model gives every document what the fitted one gives it, and its representations are the network's."""
+    model = fitted_model(spark, folder)
+    rows = maybe_items(spark, folder).select("item_id", "embedding")
+    one = model.transform(rows, nuisance="project")
+    other = FacetModel.load(spark, model.save(spark)).transform(rows, nuisance="project")
+    direct = network.score(rows, model.network).select("item_id", F.concat("lang", "label").alias("direct"))
+    names = ["lang", "label", "nuisance"]
+    both = one.join(other.select("item_id", *[F.col(n).alias(f"_{n}") for n in names]), "item_id").join(direct, "item_id")
+
+    def gap(a: str, b: str):
+        return F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x - y)))
+
+    far = F.greatest(*[gap(n, f"_{n}") for n in names], gap("_all", "direct"))
+    both = both.withColumn("_all", F.concat("lang", "label"))
+    return both.select("item_id", F.col("nuisance").isNotNull().alias("valid"), (F.round(F.coalesce(far, F.lit(0.0)), 9) + 0.0).alias("gap"))
+
+
 @query
 def transform_new_items(spark, folder):
     model = fitted_model(spark, folder)

