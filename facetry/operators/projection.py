@@ -1,4 +1,4 @@
-"""Projection residuals, SVD scores and nuisance controls from one Gram matrix."""
+"""Projection residuals, SVD scores and nuisance controls from one triangular factor."""
 
 from __future__ import annotations
 
@@ -15,10 +15,11 @@ from pyspark.sql import types as T
 from facetry.functions import vectors
 from facetry.operators.arrow import list_array, matrix
 from facetry.operators.blocks import sum_over
+from facetry.operators.qr import reduced, triangle
 
 DEFAULT_NUISANCE_DIMS = 5
-# Squared float32 precision: eigenvalues of a crossproduct are squared singular values.
-RANK_TOLERANCE = float(np.finfo(np.float32).eps) ** 2
+# Singular values of the representations below this share of the largest count as zero.
+RANK_TOLERANCE = 1e-12
 
 
 @dataclass
@@ -85,10 +86,19 @@ def spectrum(cross: np.ndarray, k: int) -> Spectrum:
     """From a crossproduct. Signs are fixed: the largest loading of each vector is positive."""
     eigenvalues, vecs = np.linalg.eigh((cross + cross.T) / 2)
     order = np.argsort(eigenvalues)[::-1][:k]
-    vecs = vecs[:, order]
+    return Spectrum(_signed(vecs[:, order]), np.sqrt(np.clip(eigenvalues[order], 0, None)))
+
+
+def spectrum_of_root(root: np.ndarray, k: int) -> Spectrum:
+    """From a matrix whose crossproduct is that of the rows; its condition is not squared."""
+    _, values, vecs = np.linalg.svd(root)
+    values = np.concatenate([values, np.zeros(root.shape[1] - len(values))])
+    return Spectrum(_signed(vecs[:k].T), values[:k])
+
+
+def _signed(vecs: np.ndarray) -> np.ndarray:
     largest = np.abs(vecs).argmax(axis=0)
-    vecs = vecs * np.where(vecs[largest, np.arange(vecs.shape[1])] < 0, -1.0, 1.0)
-    return Spectrum(vecs, np.sqrt(np.clip(eigenvalues[order], 0, None)))
+    return vecs * np.where(vecs[largest, np.arange(vecs.shape[1])] < 0, -1.0, 1.0)
 
 
 def elbow_table(spark: SparkSession, values: np.ndarray) -> DataFrame:
@@ -104,28 +114,40 @@ def elbow_table(spark: SparkSession, values: np.ndarray) -> DataFrame:
 
 @dataclass
 class Projection:
-    """Least squares of Y on X without intercept, with the crossproduct of its residuals."""
+    """Least squares of Y on X without intercept; ``residual_root`` has the crossproduct of the residuals."""
 
     coefficients: np.ndarray
-    residual_cross: np.ndarray
+    residual_root: np.ndarray
     total_squares: float
     n: int
+    #: The triangular factor of all columns: with it a fit can be extended by more rows.
+    root: np.ndarray | None = None
 
     @property
     def residual_ratio(self) -> float:
         """Frobenius norm of the residuals over that of Y."""
-        return float(np.sqrt(max(np.trace(self.residual_cross), 0.0) / self.total_squares))
+        return float(np.sqrt((self.residual_root**2).sum() / self.total_squares))
 
 
-def fit_projection(df: DataFrame, x: str, y: str, x_width: int, y_width: int) -> Projection:
-    """Fit on the rows valid in both columns; the residuals themselves are never stored."""
+def fit_projection(df: DataFrame, x: str, y: str, x_width: int, y_width: int, known: Projection | None = None) -> Projection:
+    """Fit on the rows valid in both columns, and with ``known`` on those it was fitted on as well.
+
+    In the triangular factor of the columns of X and Y, the corner of X gives the coefficients
+    as the rows would, and what they leave of the corner of Y is as long as the residuals. The
+    residuals themselves are never stored. Factors of two sets of rows, stacked, have that of both.
+    """
+    if known is not None and known.root is None:
+        raise ValueError("this fit can't be extended: it was saved without its factor")
     ok = vectors.valid(F.col(x), x_width) & vectors.valid(F.col(y), y_width)
-    g = gram(df.filter(ok), F.concat(F.col(x), F.col(y)), x_width + y_width)
-    if g.n < x_width:
-        raise ValueError(f"too few valid rows ({g.n}) for a projection on {x_width} columns")
-    xx, xy, yy = g.cross[:x_width, :x_width], g.cross[:x_width, x_width:], g.cross[x_width:, x_width:]
-    coefficients = np.linalg.pinv(xx, rcond=RANK_TOLERANCE, hermitian=True) @ xy
-    return Projection(coefficients, yy - xy.T @ coefficients, float(np.trace(yy)), g.n)
+    both = F.concat(F.col(x).cast("array<double>"), F.col(y).cast("array<double>"))
+    n, root = triangle(df.filter(ok), both, x_width + y_width)
+    if known is not None:
+        n, root = n + known.n, reduced(np.concatenate([known.root, root]))
+    if n < x_width:
+        raise ValueError(f"too few valid rows ({n}) for a projection on {x_width} columns")
+    xs, ys = root[:, :x_width], root[:, x_width:]
+    coefficients = np.linalg.pinv(xs, rcond=RANK_TOLERANCE) @ ys
+    return Projection(coefficients, ys - xs @ coefficients, float((ys**2).sum()), n, root)
 
 
 def map_vectors(df: DataFrame, x: str, y: str, out: str, x_width: int, y_width: int, ax: np.ndarray, ay: np.ndarray) -> DataFrame:
@@ -180,11 +202,14 @@ def fit_nuisance(
     num_nuisance_dims: int | None = None,
     method: str = "svd",
     k_svd: int = 20,
+    known: Nuisance | None = None,
 ) -> Nuisance:
     """Directions of the full vectors that the representations do not explain.
 
-    One pass over the rows; the eigenvectors of the residual crossproduct are the right
-    singular vectors of the residuals.
+    With ``known`` the rows are added to those of that fit, which need not be read again.
+
+    One pass over the rows; the right singular vectors of the residuals are those of
+    what is left of their triangular factor.
     """
     if method != "svd":
         raise ValueError(f"unknown method {method!r}: only 'svd' runs distributed")
@@ -193,8 +218,8 @@ def fit_nuisance(
         num_nuisance_dims = DEFAULT_NUISANCE_DIMS
         warnings.warn(f"using {num_nuisance_dims} nuisance dimensions; see the elbow table before relying on it", stacklevel=2)
         k_svd = max(k_svd, 20)
-    fit = fit_projection(df, x, y, x_width, y_width)
-    spec = spectrum(fit.residual_cross, max(min(k_svd, fit.n - 1, y_width - 1), 1))
+    fit = fit_projection(df, x, y, x_width, y_width, known.projection if known else None)
+    spec = spectrum_of_root(fit.residual_root, max(min(k_svd, fit.n - 1, y_width - 1), 1))
     diagnostics = {"method": method, "singular_values": spec.values.tolist(),
                    "num_dims": num_nuisance_dims, "using_default": using_default}
     return Nuisance(fit, spec, min(num_nuisance_dims, len(spec.values)), diagnostics)

@@ -513,6 +513,21 @@ def nuisance_certificate(spark, folder):
     return leak.join(own, "j").select(F.col("j").cast("int").alias("component"), F.lit(scored.count()).cast("bigint").alias("n"), "leak", "overlap")
 
 
+@query
+def extend_certificate(spark, folder):
+    """A nuisance fit on the even documents, extended by the odd ones, against the fit on all: rows, singular values, directions."""
+    rows, width = represented(spark, folder)
+    whole = projection.fit_nuisance(rows, "x", "y", width, 64, num_nuisance_dims=5)
+    part = projection.fit_nuisance(rows.filter("item_id % 2 = 0"), "x", "y", width, 64, num_nuisance_dims=5)
+    part = projection.fit_nuisance(rows.filter("item_id % 2 <> 0"), "x", "y", width, 64, num_nuisance_dims=5, known=part)
+    found = []
+    for i in range(5):
+        one, other = whole.spectrum, part.spectrum
+        turn = 1.0 - abs(float(one.loadings[:, i] @ other.loadings[:, i]))
+        found.append((i, part.projection.n, float(abs(one.values[i] - other.values[i])), turn))
+    return rounded(spark.createDataFrame(found, "component int, n bigint, gap double, turn double"), "gap", "turn")
+
+
 @query
 def elbow_certificate(spark, folder):
     """Each singular value of the residuals is the length of its scores; drops and shares follow from them."""

@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from facetry.operators import encode, labelvectors, lexicon, metrics
 from facetry.operators.labels import LabelMapping, fit_labels
 from facetry.operators.negatives import sample_negatives
 from facetry.operators.network import Network, network_shape, score
-from facetry.operators.projection import Nuisance, elbow_table, fit_nuisance, vector_width
+from facetry.operators.projection import Nuisance, Projection, Spectrum, elbow_table, fit_nuisance, vector_width
 from facetry.operators.split import split_items
 from facetry.operators.training import history_frame, train_network, training_rows
 from facetry.operators.tuning import tune
@@ -120,15 +121,15 @@ class FacetModel:
         self.hyperparameters = shape | {"learning_rate": rate, "weight_decay": decay}
         save_network(spark, self.network, model_path)
 
-    def _score(self, rows: DataFrame, keep: list[str], refit: bool) -> DataFrame:
+    def _score(self, rows: DataFrame, keep: list[str], refit: bool, extend: bool = False) -> DataFrame:
         names, units = self.attributes, self.network.shape["embedding_units_per_attribute"]
         scored = score(rows.withColumn("_full", F.col("embedding")), self.network, keep=["item_id", *keep, "_full"])
         combined = stage(scored.withColumn("interpretable", F.concat(*[F.col(a) for a in names])), "representations")
-        if refit:
-            self.nuisance = fit_nuisance(combined, "interpretable", "_full", units * len(names), self.width,
-                                         self.settings.num_nuisance_dims, self.settings.nuisance_method)
-        if self.nuisance is None:
+        if self.nuisance is None and not refit:
             raise RuntimeError("no fitted nuisance projection; use nuisance='refit'")
+        if refit or extend:
+            self.nuisance = fit_nuisance(combined, "interpretable", "_full", units * len(names), self.width, self.settings.num_nuisance_dims,
+                                         self.settings.nuisance_method, known=self.nuisance if extend else None)
         return stage(self.nuisance.score(combined, "interpretable", "_full").select("item_id", *keep, *names, "nuisance"), "scored")
 
     def transform(self, items: DataFrame | None = None, item_id: str = "item_id", vector: str | None = "embedding",
@@ -137,7 +138,9 @@ class FacetModel:
         """``(item_id, representations.., nuisance)``: of the fitted items, or of new ones.
 
         ``nuisance="refit"`` fits the nuisance projection anew on the given rows;
-        ``"project"`` uses the fitted one and is the choice for small batches.
+        ``"project"`` uses the fitted one and is the choice for small batches; ``"extend"`` adds
+        the rows to those it was fitted on and keeps the result, so that batches one after
+        another give the projection of all of them.
         """
         if self.network is None:
             raise RuntimeError("fit or load first")
@@ -145,16 +148,17 @@ class FacetModel:
             if self.scored is None:
                 raise RuntimeError("a loaded model holds no fitted items")
             return self.scored.select("item_id", *self.attributes, "nuisance")
-        if nuisance not in ("refit", "project"):
+        if nuisance not in ("refit", "project", "extend"):
             raise ValueError(f"unknown nuisance mode {nuisance!r}")
         rows = self._with_vectors(items, item_id, vector, text, make_encoder)
         rows = rows.select(F.col(item_id).alias("item_id"), "embedding")
         fitted = self.nuisance
         self.width = self.network.shape["orig_size"]
         try:
-            return self._score(rows, [], refit=nuisance == "refit")
+            return self._score(rows, [], refit=nuisance == "refit", extend=nuisance == "extend")
         finally:
-            self.nuisance = fitted or self.nuisance
+            if nuisance != "extend":
+                self.nuisance = fitted or self.nuisance
 
     def elbow(self, spark: SparkSession) -> DataFrame:
         return elbow_table(spark, self.nuisance.spectrum.values)
@@ -229,6 +233,10 @@ class FacetModel:
             save_labels(self.mapping, f"{path}/labels")
         if self.nuisance is not None:
             save_json(spark, nuisance_to_dict(self.nuisance), f"{path}/nuisance")
+            root = self.nuisance.projection.root
+            if root is not None:
+                rows = spark.createDataFrame(list(enumerate(root.tolist())), "row int, entries array<double>")
+                save_table(rows, f"{path}/nuisance_factor")
         return path
 
     @classmethod
@@ -242,6 +250,9 @@ class FacetModel:
             model.mapping = load_labels(spark, f"{path}/labels")
         if exists(spark, f"{path}/nuisance"):
             model.nuisance = nuisance_from_dict(read_json(spark, f"{path}/nuisance"))
+            if exists(spark, f"{path}/nuisance_factor"):
+                rows = spark.read.parquet(f"{path}/nuisance_factor").orderBy("row").collect()  # as many as columns
+                model.nuisance.projection.root = np.array([r["entries"] for r in rows])
         return model
 
 
@@ -252,13 +263,9 @@ def nuisance_to_dict(fit: Nuisance) -> dict:
 
 
 def nuisance_from_dict(saved: dict) -> Nuisance:
-    import numpy as np
-
-    from facetry.operators.projection import Projection, Spectrum
-
     spec = Spectrum(np.array(saved["loadings"]), np.array(saved["values"]))
-    cross = spec.loadings @ np.diag(spec.values**2) @ spec.loadings.T  # of the kept components
-    fit = Projection(np.array(saved["coefficients"]), cross, saved["total_squares"], saved["n"])
+    root = spec.values[:, None] * spec.loadings.T  # of the kept components
+    fit = Projection(np.array(saved["coefficients"]), root, saved["total_squares"], saved["n"])
     return Nuisance(fit, spec, saved["dims"], saved["diagnostics"])
 
 

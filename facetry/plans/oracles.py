@@ -467,6 +467,8 @@ _KNOWN = "known AS (SELECT count(*) AS n FROM documents d JOIN embeddings e ON e
 SQL["projection_certificate"] = f"WITH {_KNOWN} SELECT pos::INT AS pos, n, 0.0::DOUBLE AS leak FROM known, (SELECT unnest(range(64)) AS pos)"
 SQL["nuisance_certificate"] = f"""WITH {_KNOWN}
 SELECT component::INT AS component, n, 0.0::DOUBLE AS leak, 0.0::DOUBLE AS overlap FROM known, (SELECT unnest(range(5)) AS component)"""
+SQL["extend_certificate"] = f"""WITH {_KNOWN}
+SELECT component::INT AS component, n, 0.0::DOUBLE AS gap, 0.0::DOUBLE AS turn FROM known, (SELECT unnest(range(5)) AS component)"""
 SQL["elbow_certificate"] = "SELECT dim::INT AS dim, 0.0::DOUBLE AS gap, true AS falls FROM (SELECT unnest(range(1, 21)) AS dim)"
 SQL["ridge_certificate"] = " UNION ALL ".join(
     f"(WITH {_ITEMS} SELECT '{a}' AS attribute, (row_number() OVER (ORDER BY {a}::VARCHAR) - 1)::INT AS idx, count(*) AS n, 0.0::DOUBLE AS gap FROM items GROUP BY {a})"

@@ -44,6 +44,40 @@ def test_residuals_and_nuisance_against_numpy(spark, deficient, partitions):
     assert fit.diagnostics["num_dims"] == 3 and not fit.diagnostics["using_default"]
 
 
+@pytest.mark.parametrize("parts", [1, 40])
+def test_condition_is_not_squared(spark, parts):
+    """Columns of condition 1e9: as exact as least squares and the SVD on the rows."""
+    rng = np.random.default_rng(9)
+    turn = np.linalg.qr(rng.normal(size=(200, 6)))[0]
+    x = turn @ np.diag(10.0 ** -np.arange(0, 10.8, 1.8)) @ np.linalg.qr(rng.normal(size=(6, 6)))[0]
+    y = x @ rng.normal(size=(6, 9)) * 1e3 + rng.normal(size=(200, 9)) @ np.diag(10.0 ** -np.arange(9.0))
+    df = table(spark, list(x), list(y), parts)
+    want = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
+    fit = projection.fit_nuisance(df, "x", "y", 6, 9, num_nuisance_dims=8)
+    values, vecs = np.linalg.svd(want)[1:]
+    assert np.allclose(fit.spectrum.values, values[:8], rtol=1e-6, atol=1e-10)
+    assert np.allclose(np.abs((fit.spectrum.loadings * vecs[:8].T).sum(0)), 1, atol=1e-6)
+    assert np.isclose(fit.projection.residual_ratio, np.linalg.norm(want) / np.linalg.norm(y), rtol=1e-9)
+    got = vectors_of(projection.projection_residuals(df, "x", "y", 6, 9), "residual", 200, 9)
+    assert np.abs(got - want).max() < 1e-6 * np.abs(want).max()
+
+
+def test_a_fit_on_two_tables_is_the_fit_on_both(spark):
+    rng = np.random.default_rng(10)
+    x, y = rng.normal(size=(90, 3)), rng.normal(size=(90, 7))
+    df = table(spark, list(x), list(y), 4)
+    whole = projection.fit_nuisance(df, "x", "y", 3, 7, num_nuisance_dims=4)
+    part = None
+    for some in ("item_id < 5", "item_id >= 5 AND item_id < 60", "item_id >= 60", "false"):
+        part = projection.fit_nuisance(df.filter(some), "x", "y", 3, 7, num_nuisance_dims=4, known=part)
+    assert part.projection.n == 90 and np.allclose(part.projection.coefficients, whole.projection.coefficients)
+    assert np.allclose(part.spectrum.values, whole.spectrum.values) and np.allclose(part.spectrum.loadings, whole.spectrum.loadings)
+    assert np.isclose(part.projection.residual_ratio, whole.projection.residual_ratio)
+    part.projection.root = None
+    with pytest.raises(ValueError, match="extended"):
+        projection.fit_nuisance(df, "x", "y", 3, 7, known=part)
+
+
 def test_nuisance_errors_and_default(spark):
     rng = np.random.default_rng(2)
     df = table(spark, rng.normal(size=(3, 4)), rng.normal(size=(3, 6)))

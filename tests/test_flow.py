@@ -56,6 +56,17 @@ def test_save_load_project_and_refit(model, spark, items, tmp_path):
         loaded.transform(items)
 
 
+def test_extend(model, spark, items, tmp_path):
+    """The same rows once more: twice as many, the same directions; also for a model that was saved and loaded."""
+    loaded = FacetModel.load(spark, model.save(spark, str(tmp_path / "saved")))
+    before = loaded.nuisance
+    with pytest.warns(UserWarning):
+        scored = loaded.transform(items, vector=None, text="text", make_encoder=hashing, nuisance="extend")
+    assert loaded.nuisance.projection.n == 2 * before.projection.n and scored.count() == 90
+    assert np.allclose(loaded.nuisance.spectrum.values, np.sqrt(2) * before.spectrum.values)
+    assert np.allclose(loaded.nuisance.projection.coefficients, before.projection.coefficients, atol=1e-6)
+
+
 class _nothing:
     def __enter__(self):
         return self
