@@ -98,6 +98,27 @@ def read_items_csv(spark, folder):
     return back.select("doc_id", F.md5("text").alias("digest"), "lang", "source")
 
 
+@query
+def read_orders_typed(spark, folder):
+    """Orders written as CSV and read without a schema: whole numbers, numbers, dates and strings."""
+    path = scratch_path(spark, "orders") + ".csv"
+    table(spark, folder, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("date").cast("string")).write.option("header", True).csv(path)
+    back = readers.load_items(spark, path, infer=True, multi_line=False)
+    kinds = F.lit(",".join(kind for _, kind in back.select("o_orderkey", "o_totalprice", "o_orderdate", "o_orderstatus").dtypes))
+    return back.select("o_orderkey", "o_totalprice", F.date_add("o_orderdate", 1).cast("string").alias("next_day"), "o_orderstatus", kinds.alias("kinds"))
+
+
+@query
+def sketched_attributes(spark, folder):
+    """Sketches of the documents by source, added up: exact counts, and whether the estimate is within four standard errors."""
+    rows, columns = labelled(spark, folder).withColumn("doc", F.col("doc_id")), ["doc", "lang", "source", "quality"]
+    even, odd = rows.filter("doc_id % 2 = 0"), rows.filter("doc_id % 2 <> 0")
+    merged = clean.summarise_sketches(clean.merge_sketches(*[clean.sketch_attributes(part, columns) for part in (even, odd)]))
+    exact = clean.summarise(rows, columns).select("attribute", F.col("n_unique").alias("exact"))
+    close = F.abs(F.col("n_unique") - F.col("exact")) <= 4 * 1.04 / 64 * F.col("exact")
+    return merged.join(exact, "attribute").select("attribute", "n_rows", "n_missing", close.alias("close"))
+
+
 @query
 def read_vectors(spark, folder):
     known = readers.load_vectors(spark, f"{folder}/embeddings.parquet")

@@ -39,6 +39,13 @@ SELECT doc_id, md5(CASE WHEN text NOT IN ({_MISSING}) THEN text END) AS digest,
        CASE WHEN lang NOT IN ({_MISSING}) THEN lang END AS lang,
        CASE WHEN source NOT IN ({_MISSING}) THEN source END AS source
 FROM documents"""
+SQL["read_orders_typed"] = """
+SELECT o_orderkey::BIGINT AS o_orderkey, o_totalprice::DOUBLE AS o_totalprice, strftime(o_orderdate::DATE + 1, '%Y-%m-%d') AS next_day,
+       o_orderstatus, 'bigint,double,date,string' AS kinds FROM orders"""
+SQL["sketched_attributes"] = f"""WITH {_LABELLED},
+cells AS (SELECT unnest(['doc', 'lang', 'source', 'quality']) AS attribute,
+                 unnest([doc_id::VARCHAR, lang, source, quality::VARCHAR]) AS value FROM labelled)
+SELECT attribute, count(*) AS n_rows, count(*) - count(value) AS n_missing, true AS "close" FROM cells GROUP BY attribute"""
 SQL["read_vectors"] = "SELECT vec_id, len(embedding)::BIGINT AS width FROM embeddings"
 SQL["vectors_round_trip"] = _entries("embeddings", "vec_id", "embedding")
 

@@ -30,11 +30,46 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(where)
 
 
-def load_items(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+#: What the text of a whole, a broken, a boolean and a date cell looks like.
+WHOLE = r"^[+-]?[0-9]{1,19}$"
+BROKEN = r"^[+-]?([0-9]+\.[0-9]*|\.[0-9]+|[0-9]+(?=[eE]))([eE][+-]?[0-9]{1,3})?$"
+BOOLEAN = r"^(?i)(true|false)$"
+DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+
+
+def infer_types(raw: DataFrame) -> dict[str, str]:
+    """The narrowest type that every value of a column of strings has.
+
+    Whole numbers, then numbers; truth values; dates; else strings. Mixed kinds are strings, as are whole
+    numbers beyond 64 bits and columns without a value. One map-side aggregate for all columns.
+    """
+    kinds = {
+        "n": lambda c: c.isNotNull(),
+        "whole": lambda c: c.rlike(WHOLE) & c.try_cast("bigint").isNotNull(),
+        "broken": lambda c: c.rlike(BROKEN),
+        "boolean": lambda c: c.rlike(BOOLEAN),
+        "date": lambda c: c.rlike(DATE) & c.try_cast("date").isNotNull(),
+    }
+    counts = [F.struct(*[F.count_if(F.coalesce(is_kind(F.col(f"`{c}`")), F.lit(False))).alias(k) for k, is_kind in kinds.items()]).alias(f"c{i}")
+              for i, c in enumerate(raw.columns)]
+    row, out = raw.agg(*counts).first(), {}
+    for i, c in enumerate(raw.columns):
+        found = row[f"c{i}"]
+        whole, broken, n = found["whole"], found["broken"], found["n"]
+        fits = [(whole == n, "bigint"), (whole + broken == n, "double"), (found["boolean"] == n, "boolean"), (found["date"] == n, "date")]
+        out[c] = next((kind for ok, kind in fits if ok and n), "string")
+    return out
+
+
+def load_items(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, infer: bool = False, multi_line: bool = True
+) -> DataFrame:
     """Read ``.parquet``, ``.csv`` or ``.gz`` (taken as CSV) items.
 
     CSV cells may hold quoted line breaks, which makes a file unsplittable: convert
-    large inputs to Parquet once. Missing-value tokens become null.
+    large inputs to Parquet once, or say ``multi_line=False`` where no cell has one. Missing-value
+    tokens become null. Without a schema columns are strings, or with ``infer`` of the narrowest
+    type that all their values have, which reads the file once more.
     """
     path = os.path.expanduser(path)
     suffix = os.path.splitext(path.rstrip("/"))[1]
@@ -44,7 +79,7 @@ def load_items(spark: SparkSession, path: str, schema: T.StructType | str | None
         raise FileNotFoundError(path)
     if suffix == ".parquet":
         return (spark.read.schema(schema) if schema else spark.read).parquet(path)
-    reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"')
     if schema is None:
         raw = reader.csv(path)
     else:
@@ -55,6 +90,8 @@ def load_items(spark: SparkSession, path: str, schema: T.StructType | str | None
     df = raw.select(*cleaned)
     if schema is not None:
         df = df.select(*[F.col(f.name).cast(f.dataType) for f in target])
+    elif infer:
+        df = df.select(*[F.col(f"`{c}`").cast(kind).alias(c) for c, kind in infer_types(df).items()])
     return df
 
 
