@@ -814,6 +814,13 @@ def augment_texts(spark, folder):
     return out.select("base_id", "strategy", "variation", F.md5("text").alias("digest"), "status", "attempts")
 
 
+@query
+def augmentation_outcomes(spark, folder):
+    """Texts asked for and attempts made by status, from a generator that fails by a hash of the text."""
+    found = aug.answers(documents(spark, folder), "doc_id", "text", aug.MoodyGenerator, num_variations=2, retry_delay=0.0)
+    return aug.outcome(found).select("status", F.col("texts").alias("n"), "attempts")
+
+
 @query
 def augmentation_status(spark, folder):
     return encode.status_counts(write_variations(spark, folder))

@@ -398,6 +398,12 @@ _KEPT = f"WITH {_VARIED} SELECT base_id, strategy, variation, md5(text) AS diges
 SQL["augment_texts"] = _KEPT.format(extra="'ok' AS status,")
 SQL["augmentation_round_trip"] = _KEPT.format(extra="")
 SQL["augmentation_status"] = f"WITH {_VARIED} SELECT 'ok' AS status, count(*) AS n FROM varied WHERE {_usable('text')}"
+SQL["augmentation_outcomes"] = f"""WITH {_VARIED},
+moods AS (SELECT v.text, substr(md5(d.text), 1, 1) AS mood FROM varied v JOIN documents d ON d.doc_id = v.base_id),
+tried AS (SELECT CASE WHEN mood IN ('0', '1') THEN 'retries_exhausted' WHEN mood = '4' THEN 'failed' WHEN mood = '5' OR NOT {_usable('text')} THEN 'unusable'
+                      ELSE 'ok' END AS status, mood FROM moods)
+SELECT status, count(*) AS n, sum(CASE WHEN status IN ('retries_exhausted', 'unusable') THEN 5 WHEN status = 'ok' AND mood IN ('2', '3') THEN 3 ELSE 1 END)::BIGINT AS attempts
+FROM tried GROUP BY status"""
 
 # -- network --------------------------------------------------------------------
 

@@ -87,6 +87,31 @@ def test_augment_counts_and_cache(spark, tmp_path):
     assert sorted(again.collect()) == sorted(out.collect())
 
 
+def test_waves_and_outcomes(spark, monkeypatch):
+    """More waves give the same answers, failures among them; a cache is for the items it was made for."""
+    df = texts(spark, [f"base text number {i}" for i in range(40)])
+    one = aug.answers(df, "item_id", "text", aug.MoodyGenerator, num_variations=2, retry_delay=0)
+    assert one.count() == 40 * 2 * 2
+    counts = {r.status: (r.texts, r.attempts) for r in aug.outcome(one).collect()}
+    assert set(counts) == {"ok", "failed", "retries_exhausted", "unusable"} and sum(n for n, _ in counts.values()) == 160
+    assert counts["failed"][0] == counts["failed"][1] and counts["unusable"][1] == 5 * counts["unusable"][0]
+    monkeypatch.setattr(aug, "PROMPTS_PER_TASK", 20)
+    many = aug.answers(df, "item_id", "text", aug.MoodyGenerator, num_variations=2, concurrent_limit=2, retry_delay=0)
+    assert len(many.inputFiles()) > len(one.inputFiles()) / 8 and sorted(map(str, many.collect())) == sorted(map(str, one.collect()))
+
+
+def test_cache_is_for_its_items(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    df = texts(spark, ["first base text", "second base text"])
+    aug.augment(df, "item_id", "text", aug.TemplateGenerator, num_variations=1, cache_path=path)
+    more = texts(spark, ["first base text", "second base text", "third base text"])
+    with pytest.warns(UserWarning, match="other items"):
+        out = aug.augment(more, "item_id", "text", aug.TemplateGenerator, num_variations=1, cache_path=path)
+    assert {r.base_id for r in out.collect()} == {0, 1, 2}
+    again = aug.augment(more, "item_id", "text", broken, num_variations=1, cache_path=path)
+    assert sorted(again.collect()) == sorted(out.collect())
+
+
 def test_strategy_limits(spark):
     with pytest.raises(ValueError):
         aug.Strategy("x", "y", temperature=2.1)
