@@ -130,7 +130,8 @@ def test_job(spark, items, tmp_path):
         Settings.quick = quick
     distinct = items.select("text").distinct().count()
     assert spark.read.parquet(files["where_embedding"]).count() == distinct
-    assert job.main(["version"]) == 0 and job.main([]) == 1
+    with pytest.raises(SystemExit):  # a command is required
+        job.main([])
 
 
 def test_linear_baseline(spark, items, tmp_path):
