@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Callable
+from dataclasses import asdict
 from functools import reduce
 
 import numpy as np
@@ -21,7 +23,7 @@ from facetry.operators.training import history_frame, train_network, training_ro
 from facetry.operators.tuning import tune
 from facetry.plans.settings import Settings
 from facetry.session import stage
-from facetry.sources.readers import complete, exists, load_network
+from facetry.sources.readers import complete, exists, load_network, read_json
 from facetry.sources.writers import fingerprint, save_json, save_labels, save_network, save_table
 
 
@@ -56,8 +58,9 @@ class FacetModel:
     ) -> FacetModel:
         """``columns`` maps attribute to column. Vectors come from ``vector`` or from ``text``.
 
-        A complete model at ``cached_model_path`` (by default ``<output>/model``) for the same
-        attributes, numbers of labels and width is used instead of training a new one.
+        A complete model at ``cached_model_path`` (by default ``<output>/model``) is used instead of
+        training a new one if it was made for the same labels, width and settings; otherwise it is
+        trained anew, and a warning says what differs.
         """
         s, spark = self.settings, items.sparkSession
         columns = columns or {a: a for a in self.attributes}
@@ -72,18 +75,31 @@ class FacetModel:
         self.negatives = negatives
 
         model_path = cached_model_path or f"{self.output_dir}/model"
-        known = load_network(spark, model_path) if use_cached_model and complete(spark, f"{model_path}/weights") else None
-        sizes = {a: self.mapping.sizes[a] for a in self.attributes}
-        if known and known.shape["attribute_sizes"] == sizes and known.shape["orig_size"] == self.width:
-            self.network = known
+        # The nuisance part is fitted anew in any case, and the length of the search is no property of the model.
+        own = {k: v for k, v in asdict(s).items() if "nuisance" not in k}
+        made_with = {"labels": fingerprint(self.mapping.table), "width": self.width, "settings": own}
+        if use_cached_model and self._is_made_with(spark, model_path, made_with):
+            self.network = load_network(spark, model_path)
         else:
             self._train(encoded, negatives, label_cols, model_path, tune_first, n_trials, training)
+            save_json(spark, made_with, f"{model_path}/made_with")
         self.hyperparameters = self.hyperparameters or dict(self.network.shape)
 
         self.scored = self._score(encoded, label_cols, refit=True)
         self.metrics = stage(classification_metrics(encoded, self.network), "metrics")
         return self
 
+    @staticmethod
+    def _is_made_with(spark: SparkSession, path: str, made_with: dict) -> bool:
+        """Whether a complete model lies at ``path`` that was made just so."""
+        if not complete(spark, f"{path}/weights"):
+            return False
+        found = read_json(spark, f"{path}/made_with") if complete(spark, f"{path}/made_with") else {}
+        other = [k for k, v in json.loads(json.dumps(made_with)).items() if found.get(k) != v]
+        if other:
+            warnings.warn(f"the model at {path} was made with other {', '.join(other)} and is trained anew", stacklevel=3)
+        return not other
+
     def _with_vectors(self, items, item_id, vector, text, make_encoder) -> DataFrame:
         if vector and vector in items.columns:
             return items.withColumnRenamed(vector, "embedding")
@@ -241,7 +257,7 @@ class FacetModel:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, output_dir: str | None = None, settings: Settings | None = None) -> FacetModel:
-        from facetry.sources.readers import load_labels, read_json
+        from facetry.sources.readers import load_labels
 
         network = load_network(spark, path)
         model = cls(network.shape["attribute_names"], output_dir or path, settings)

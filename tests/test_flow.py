@@ -116,6 +116,23 @@ def test_cached_model_is_used(model, spark, items):
     assert again.history is None and np.allclose(again.network.flat(), model.network.flat())
 
 
+def test_model_of_other_labels_is_not_used(model, spark, items):
+    """As many labels, but others: the names have changed."""
+    renamed = items.withColumn("kind", F.concat(F.lit("other "), "kind"))
+    again = FacetModel(["region", "kind"], model.output_dir + "-copy", model.settings)
+    with pytest.warns(UserWarning, match="other labels"):
+        again.fit(renamed, vector=None, text="text", make_encoder=hashing, tune_first=False, shards=2, cached_model_path=copied(spark, model))
+    assert again.history is not None
+
+
+def copied(spark, model):
+    path = f"{model.output_dir}-copied"
+    for name in ("weights", "made_with", "shape"):
+        source = f"{model.output_dir}/model/{name}"
+        (spark.read.parquet(source).write.parquet if name == "weights" else spark.read.text(source, wholetext=True).coalesce(1).write.text)(f"{path}/{name}")
+    return path
+
+
 def test_job(spark, items, tmp_path):
     data, vectors, out = (str(tmp_path / n) for n in ("items.parquet", "vectors.parquet", "out"))
     items.write.parquet(data)
