@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FOLDS = 4
+_kept: dict[str, object] = {}
 HELD_OUT = 2
 
 
@@ -30,3 +31,14 @@ def let(value: Column, body) -> Column:
 
 def task_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def kept(name: str, make):
+    """``make()``, remembered by a Python worker between tasks; one object at a time.
+
+    Workers outlive stages, so what one operator remembers would take the memory of the next.
+    """
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetry.llm.common import is_held_out, table, whole
+from facetry.llm.common import is_held_out, kept, table, whole
 from facetry.llm.piecetable import PieceTable, enlarged, pieces_of
 from facetry.llm.tokenids import _groups
 from facetry.operators.lookup import attach
@@ -38,8 +38,6 @@ SHARPNESS = 4.0
 LENGTH_AT = 56
 MOST = 7
 
-_memory: dict[str, Scorer] = {}
-
 
 @dataclass
 class LanguageModel:
@@ -219,12 +217,7 @@ def identify(
     keep = [key] if keep is None else keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        scorer = _memory.get(model.name)
-        if scorer is None:
-            scorer = Scorer(model)
-            _memory.clear()
-            _memory[model.name] = scorer
+        scorer = kept(f"language {shared.value.name}", lambda: Scorer(shared.value))
         for batch in batches:
             found = scorer.predict(batch.column(batch.num_columns - 1).to_pylist())
             columns = [*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]

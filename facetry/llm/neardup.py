@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetry.llm.common import table, whole
+from facetry.llm.common import kept, table, whole
 from facetry.llm.components import components
 from facetry.operators.lookup import salted_join
 from facetry.session import stage
@@ -35,7 +35,6 @@ SLICE = 8192
 BLOCK = 256
 COLUMNS = 16_384
 
-_words: dict[bytes, int] = {}
 
 
 @dataclass(frozen=True)
@@ -69,13 +68,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
-    found = list(map(_words.get, words))
+    known = kept("shingled words", dict)
+    found = list(map(known.get, words))
     if None in found:
-        if len(_words) > CACHE:
-            _words.clear()
+        if len(known) > CACHE:
+            known.clear()
         for i, h in enumerate(found):
             if h is None:
-                found[i] = _words[words[i]] = xxhash.xxh64_intdigest(words[i])
+                found[i] = known[words[i]] = xxhash.xxh64_intdigest(words[i])
     return np.array(found, np.uint64)
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetry.llm.common import table, whole
-from facetry.llm.tokenids import _groups, default_tokenizer, encoder_of, id_kind
+from facetry.llm.tokenids import default_tokenizer, encoder_of, id_kind, text_groups
 from facetry.operators.lookup import attach
 from facetry.session import stage
 
@@ -156,27 +156,24 @@ def cut_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = encoder_of(tokenizer, kind), np.zeros(capacity + 1, np.int64)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in _groups(texts):
-                of, number, starts, lengths, pieces, local = [], [], [], [], [], []
-                for row, data in enumerate(encoder.encode(texts[part])):
-                    ids = np.frombuffer(data + end, kind).astype("<u4")
-                    for i, start in enumerate(range(0, len(ids), capacity)):
-                        some = ids[start : start + capacity]
-                        of.append(row)
-                        number.append(i)
-                        starts.append(start)
-                        lengths.append(len(some))
-                        pieces.append(some.tobytes())
-                        local.append(int(seen[len(some)]))
-                        seen[len(some)] += 1
-                columns = [
-                    batch.column(0)[part].take(pa.array(of, pa.int64())), pa.array(number, pa.int64()), pa.array(starts, pa.int64()),
-                    pa.array(lengths, pa.int32()), pa.array(pieces, pa.binary()), pa.array(list(map(zlib.crc32, pieces)), pa.int64()),
-                    pa.array(local, pa.int64()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=[key, "piece", "start", "length", "ids", "ids_crc32", "local"])
+        for keys, texts in text_groups(batches):
+            of, number, starts, lengths, pieces, local = [], [], [], [], [], []
+            for row, data in enumerate(encoder.encode(texts)):
+                ids = np.frombuffer(data + end, kind).astype("<u4")
+                for i, start in enumerate(range(0, len(ids), capacity)):
+                    some = ids[start : start + capacity]
+                    of.append(row)
+                    number.append(i)
+                    starts.append(start)
+                    lengths.append(len(some))
+                    pieces.append(some.tobytes())
+                    local.append(int(seen[len(some)]))
+                    seen[len(some)] += 1
+            columns = [
+                keys.take(pa.array(of, pa.int64())), pa.array(number, pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int32()),
+                pa.array(pieces, pa.binary()), pa.array(list(map(zlib.crc32, pieces)), pa.int64()), pa.array(local, pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "piece", "start", "length", "ids", "ids_crc32", "local"])
 
     rows = docs.select(F.col(key), whole(text_col).alias("_text"))
     return rows.mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, {PIECES}")

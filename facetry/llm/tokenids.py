@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetry.llm.common import table, whole
+from facetry.llm.common import kept, table, whole
 from facetry.llm.huffman import Code, code_lengths, limit_for
 from facetry.llm.piecetable import PieceTable, enlarged, pieces_of
 from facetry.operators.lookup import attach
@@ -30,11 +30,10 @@ from facetry.session import scratch_path, stage
 PAGE_IDS = 65_536
 #: Decoded together: pages of a batch, as far as they have this many ids.
 DECODE_IDS = 1_000_000
-#: Pieces remembered by one Python worker, and bytes of those among them that are long.
-CACHE = 1_200_000
-HELD = 64_000_000
-
-_encoders: dict[str, PieceEncoder] = {}
+#: Pieces remembered by one Python worker, bytes of those among them that are long, and words that make up new pieces.
+CACHE = 1_000_000
+HELD = 32_000_000
+WORDS = 300_000
 
 
 #: Punctuation that may end a piece.
@@ -124,6 +123,8 @@ class PieceEncoder:
         cores = [p.rstrip(TAIL) for p in pieces] if self.short else pieces
         sure = list(map(is_sure, cores)) if self.short else [False] * len(pieces)
         parts = [(c.lower(), p[len(c) :]) for p, c, ok in zip(pieces, cores, sure) if ok]
+        if len(self.words) > WORDS:
+            self.words = {"": b""}
         self._learn_words([w for w in {w for part in parts for w in part} if w not in self.words])
         rest = self.tokenizer.encode_batch_fast([p for p, ok in zip(pieces, sure) if not ok], add_special_tokens=False)
         parts, rest = iter(parts), iter(rest)
@@ -150,7 +151,7 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of every text. What stands between breaks is looked up for all texts at once."""
-        if self.table.size > CACHE or self.table.held > HELD or len(self.words) > CACHE:
+        if self.table.size > CACHE or self.table.held > HELD:
             self._forget()
         rows = [(folded(t) if self.short else t).encode() for t in texts]
         joined, starts, stops, counts = pieces_of(rows)
@@ -177,6 +178,16 @@ def _groups(texts: list[str], limit: int = 1 << 21) -> Iterator[slice]:
         yield slice(first, len(texts))
 
 
+def text_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
+    """Keys and texts of batches (key, text), about as many characters at a time as ``_groups`` says."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            some = batch.slice(at, 1024)
+            texts = some.column(1).to_pylist()
+            for part in _groups(texts):
+                yield some.column(0)[part], texts[part]
+
+
 def id_kind(tokenizer: str, end_id: int | None) -> str:
     """Two bytes an id if all ids fit, else four; little-endian and unsigned."""
     from tokenizers import Tokenizer
@@ -186,10 +197,7 @@ def id_kind(tokenizer: str, end_id: int | None) -> str:
 
 def encoder_of(tokenizer: str, kind: str) -> PieceEncoder:
     """The encoder of this Python worker."""
-    name = f"{tokenizer} {kind}"
-    if name not in _encoders:
-        _encoders[name] = PieceEncoder(tokenizer, kind)
-    return _encoders[name]
+    return kept(f"encoder {tokenizer} {kind}", lambda: PieceEncoder(tokenizer, kind))
 
 
 def encode_texts(docs: DataFrame, tokenizer: str, end_id: int | None, key: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,11 +210,9 @@ def encode_texts(docs: DataFrame, tokenizer: str, end_id: int | None, key: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer, kind)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in _groups(texts):
-                ids = [x + end for x in encoder.encode(texts[part])]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array(ids, pa.binary())], names=[key, "ids"])
+        for keys, texts in text_groups(batches):
+            ids = [x + end for x in encoder.encode(texts)]
+            yield pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.binary())], names=[key, "ids"])
 
     rows = docs.select(F.col(key), whole(text_col).alias("_text"))
     return rows.mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, ids binary").withMetadata("ids", {"kind": kind})

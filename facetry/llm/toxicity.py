@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetry.llm.common import is_held_out, table, whole
+from facetry.llm.common import is_held_out, kept, table, whole
 from facetry.llm.piecetable import PieceTable, enlarged, pieces_of
 from facetry.llm.tokenids import _groups
 from facetry.session import stage
@@ -32,9 +32,6 @@ WORD = re.compile(r"\w+")
 CACHE = 600_000
 HELD = 64_000_000
 
-_memory: dict[str, Terms] = {}
-
-
 #: Rows that a term must be in to be tried for a place of its own.
 LEAST_ROWS = 3
 #: Steps of the buckets after terms of their own were learned, as a share of those.
@@ -231,10 +228,7 @@ def score(docs: DataFrame, model: FactorizationMachine, key: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        terms = _memory.get(model.name)
-        if terms is None:
-            _memory.clear()
-            terms = _memory[model.name] = Terms(model.terms, model.buckets)
+        terms = kept(f"toxicity {model.name}", lambda: Terms(model.terms, model.buckets))
         for batch in batches:
             texts = batch.column(1).to_pylist()
             found = [model.score(*terms.positions(texts[part])) for part in _groups(texts)]
