@@ -37,7 +37,9 @@ from facetry.session import stage
 #: Children of a node of the tree of keys.
 FAN_OUT = 32
 #: Rounds of the permutation, and the prime of its round function.
-ROUNDS = 6
+ROUNDS = 8
+#: Bits that are permuted at least: on few bits such a network is far from even.
+LEAST_BITS = 8
 PRIME = 2**31 - 1
 FACTOR = 48271
 
@@ -105,7 +107,7 @@ def permuted(x: np.ndarray, size: np.ndarray, keys: np.ndarray) -> np.ndarray:
     A Feistel network permutes the numbers of as many bits as ``size - 1`` has; what lands
     beyond ``size`` is permuted again until it does not.
     """
-    bits = np.maximum(np.ceil(np.log2(np.maximum(size, 2).astype(np.float64))).astype(np.int64), 2)
+    bits = np.maximum(np.ceil(np.log2(np.maximum(size, 2).astype(np.float64))).astype(np.int64), LEAST_BITS)
     bits += (size - 1) >> bits > 0  # the logarithm of a very large number may be rounded
     right_bits = bits - bits // 2
     masks = [(1 << (bits // 2)) - 1, (1 << right_bits) - 1]

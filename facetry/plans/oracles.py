@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from facetry.functions.text import REFUSAL_MARKERS, WHITESPACE
-from facetry.operators.negatives import FACTOR, PRIME, ROUNDS
+from facetry.operators.negatives import FACTOR, LEAST_BITS, PRIME, ROUNDS
 from facetry.sources.readers import MISSING_TOKENS
 
 SQL: dict[str, str] = {}
@@ -179,7 +179,7 @@ pairs AS (
   SELECT a.item_id, b.item_id AS neg_id, row_number() OVER (PARTITION BY a.item_id ORDER BY b.label::VARCHAR, b.lang, b.item_id) - 1 AS x
   FROM items a JOIN items b ON a.label <> b.label AND a.lang <> b.lang),
 anchors AS (
-  SELECT item_id, count(*)::BIGINT AS pool, greatest(length(bin(count(*) - 1)), 2)::BIGINT AS bits,
+  SELECT item_id, count(*)::BIGINT AS pool, greatest(length(bin(count(*) - 1)), {LEAST_BITS})::BIGINT AS bits,
          list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(md5(item_id || ':42'), i, 8))::BIGINT % {PRIME}) AS k
   FROM pairs GROUP BY item_id HAVING count(*) >= 9),
 walk AS (
