@@ -54,15 +54,16 @@ def clear_scratch(spark: SparkSession) -> None:
         del context._facetry_run
 
 
-def stage(df: DataFrame, tag: str) -> DataFrame:
+def stage(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     """Write ``df`` once as a Parquet table and return the table.
 
     Cuts the lineage on storage that outlives executors, gives the next plan exact
-    file sizes, and lets it prune columns again.
+    file sizes, and lets it prune columns again. ``by`` is the last column, if the
+    table is to have a folder for each of its values.
     """
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._facetry_path = path
     return table

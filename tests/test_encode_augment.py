@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from facetry.operators import augment as aug
 from facetry.operators import encode
@@ -100,6 +101,24 @@ def test_waves_and_outcomes(spark, monkeypatch):
     assert len(many.inputFiles()) > len(one.inputFiles()) / 8 and sorted(map(str, many.collect())) == sorted(map(str, one.collect()))
 
 
+def test_waves_make_one_table(spark, monkeypatch):
+    """All waves are read as one table, and items that share an id, or have none, are dealt to all waves."""
+    monkeypatch.setattr(aug, "PROMPTS_PER_TASK", 20)
+    for same in (7, None):
+        df = spark.createDataFrame([(same, f"base text number {i}") for i in range(80)], "item_id long, text string").repartition(3)
+        found = aug.answers(df, "item_id", "text", aug.TemplateGenerator, num_variations=2, concurrent_limit=2)
+        assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+        assert found.count() == 80 * 2 * 2 and found.select("text").distinct().count() == 80 * 2
+        shares = [r["count"] for r in found.groupBy(F.input_file_name()).count().collect()]
+        assert max(shares) <= 2 * 20
+
+
+def test_answers_of_no_items(spark):
+    df = spark.createDataFrame([], "item_id long, text string")
+    found = aug.answers(df, "item_id", "text", aug.TemplateGenerator)
+    assert found.count() == 0 and found.columns == ["base_id", "strategy", "variation", "text", "status", "attempts"]
+
+
 def test_cache_is_for_its_items(spark, tmp_path):
     path = str(tmp_path / "cache")
     df = texts(spark, ["first base text", "second base text"])
