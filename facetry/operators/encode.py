@@ -107,6 +107,10 @@ def status_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("status").agg(F.count("*").alias("n"))
 
 
+#: Tokens whose place the stand-in encoder remembers; the rest are hashed again.
+REMEMBERED = 2**16
+
+
 class HashingEncoder:
     """Deterministic stand-in encoder: signed token buckets, scaled to unit length.
 
@@ -122,6 +126,8 @@ class HashingEncoder:
         if place is None:
             digest = hashlib.md5(token.encode()).hexdigest()
             place = int(digest[:8], 16) % self.width, 1 if int(digest[8], 16) % 2 == 0 else -1
+            if len(self.seen) >= REMEMBERED:
+                self.seen.clear()
             self.seen[token] = place
         return place
 

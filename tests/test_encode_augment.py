@@ -41,6 +41,13 @@ def test_retries_then_succeeds_or_gives_up():
     assert encode.encode_batch(lambda b: 1 / 0, ["x"])[1] == "failed"
 
 
+def test_encoder_remembers_a_bounded_number_of_tokens():
+    encoder, many = encode.HashingEncoder(8), [f"word{i} word{i + 1} same" for i in range(2**16 + 5000)]
+    found = np.vstack([encoder(many[at : at + 10_000]) for at in range(0, len(many), 10_000)])
+    assert len(encoder.seen) <= 2**16
+    assert np.array_equal(found[-100:], encode.HashingEncoder(8)(many[-100:])) and np.array_equal(found[:100], encoder(many[:100]))
+
+
 # Lambdas travel to the workers by value, this module does not.
 uneven = lambda: lambda batch: [[1.0] * (3 if t == "odd" else 2) if t != "none" else [] for t in batch]
 broken = lambda: lambda batch: {}["missing"]
