@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -21,3 +23,13 @@ def list_array(rows: np.ndarray, present: np.ndarray, kind: pa.DataType) -> pa.L
     lengths = np.where(present, rows.shape[1] if rows.ndim == 2 else 0, 0)
     offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.ravel(), kind), mask=pa.array(~present))
+
+
+def shares(batch: pa.RecordBatch, lists: pa.ListArray, entries: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``rows`` rows and ``entries`` list entries, or one row if its list is longer."""
+    ends, at = lists.offsets.to_numpy(), 0
+    while at < batch.num_rows:
+        most = int(np.searchsorted(ends, int(ends[at]) + entries, "right")) - 1
+        to = max(min(most, at + rows), at + 1)
+        yield batch.slice(at, to - at)
+        at = to

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from facetry.functions.text import strip
-from facetry.operators.arrow import list_array, matrix
+from facetry.operators.arrow import list_array, matrix, shares
 from facetry.operators.blocks import sum_over
 from facetry.operators.lookup import attach, fits_broadcast, salted_join
 from facetry.operators.projection import Gram, Spectrum, spectrum
@@ -25,6 +25,8 @@ from facetry.session import stage
 
 #: Up to this width the crossproduct of the scores is summed and solved at once, beyond it by block Lanczos.
 DENSE_CATEGORIES = 4_000
+#: Tokens and dense cells that a task counts at once, whatever the rows of its batches.
+TOKENS_AT_ONCE, CELLS_AT_ONCE = 500_000, 2_000_000
 #: Columns of a block beside the wanted ones, products at most, blocks kept before a restart, and the residual wanted.
 OVERSAMPLE, STEPS, BLOCKS, TOLERANCE = 8, 3000, 8, 1e-11
 
@@ -65,19 +67,21 @@ class Terms:
 
 def _sparse_small(df: DataFrame, item_id: str, text: str, terms: Terms) -> DataFrame:
     """One row per item with its hit columns and scores. Items do not meet, nothing is shuffled."""
-    step = max(1, 4_000_000 // max(terms.width, 1))
+    step = max(1, CELLS_AT_ONCE // max(terms.width, 1))
+
+    def scored(part: pa.RecordBatch) -> pa.RecordBatch:
+        dense, lengths = terms.hits(part.column(1))
+        row, column = np.nonzero(dense)
+        scores = dense[row, column] / lengths[row]
+        offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(dense)))]), pa.int32())
+        return pa.RecordBatch.from_arrays([
+            part.column(0), pa.ListArray.from_arrays(offsets, pa.array(column, pa.int32())),
+            pa.ListArray.from_arrays(offsets, pa.array(scores, pa.float64()))], names=[item_id, "cols", "vals"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                dense, lengths = terms.hits(part.column(1))
-                row, column = np.nonzero(dense)
-                scores = dense[row, column] / lengths[row]
-                offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(dense)))]), pa.int32())
-                yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.ListArray.from_arrays(offsets, pa.array(column, pa.int32())),
-                    pa.ListArray.from_arrays(offsets, pa.array(scores, pa.float64()))], names=[item_id, "cols", "vals"])
+            for part in shares(batch, batch.column(1), TOKENS_AT_ONCE, step):
+                yield scored(part)
 
     schema = T.StructType([df.schema[item_id], T.StructField("cols", T.ArrayType(T.IntegerType())),
                            T.StructField("vals", T.ArrayType(T.DoubleType()))])

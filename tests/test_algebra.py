@@ -145,6 +145,24 @@ def test_lexicon_scores_small_and_large_paths(spark, monkeypatch):
     assert found() == want
 
 
+def test_lexicon_counts_a_bounded_number_of_tokens_at_once(spark, monkeypatch):
+    """A batch is cut by its tokens, not only by its rows; a longer text is counted alone."""
+    rows = [(i, " ".join(f"w{(i + j) % 7}" for j in range(1 + i % 23))) for i in range(300)] + [(300, "w1 " * 200), (301, ""), (302, None)]
+    df = spark.createDataFrame(rows, "item_id long, text string").coalesce(1)
+    terms = spark.createDataFrame([(f"c{i % 3}", f"w{i}") for i in range(7)], "category string, term string")
+    want = sorted(lexicon.category_scores(df, "item_id", "text", terms).collect())
+
+    class Bounded(lexicon.Terms):
+        def hits(self, texts):
+            if len(texts) > 1 and len(texts.flatten()) > 64:
+                raise ValueError(f"{len(texts.flatten())} tokens at once")
+            return super().hits(texts)
+
+    monkeypatch.setattr(lexicon, "TOKENS_AT_ONCE", 64, raising=False)
+    monkeypatch.setattr(lexicon, "Terms", Bounded)
+    assert sorted(lexicon.category_scores(df, "item_id", "text", terms).collect()) == want and len(want) > 300
+
+
 def test_lexicon_controls_against_numpy(spark):
     df, terms = lexicon_tables(spark)
     out, fit = lexicon.lexicon_controls(df, "item_id", "text", terms, 2)
