@@ -64,13 +64,14 @@ class Layout:
     width: int
 
     def batches(self, stream: Iterator[pa.RecordBatch], size: int, mask: int) -> Iterator[tuple[np.ndarray, dict[str, np.ndarray]]]:
-        """Cells cut to ``mask`` and labels of ``size`` rows at a time, the last time of those left."""
+        """Cells cut to ``mask`` and labels of ``size`` rows at a time, the last time of those left.
+
+        No more than ``TOGETHER`` rows are widened at once, however many a batch of the stream has.
+        """
         held = None
-        for batch in stream:
-            if not batch.num_rows:
-                continue
-            cells = matrix(batch.column(0))[0].reshape(-1, self.slots, self.width)[:, :, :mask]
-            rows = [cells, *[batch.column(i + 1).to_numpy() for i in range(len(self.attributes))]]
+        for part in (batch.slice(at, TOGETHER) for batch in stream for at in range(0, batch.num_rows, TOGETHER)):
+            cells = matrix(part.column(0))[0].reshape(-1, self.slots, self.width)[:, :, :mask]
+            rows = [cells, *[part.column(i + 1).to_numpy() for i in range(len(self.attributes))]]
             held = rows if held is None else [np.concatenate(pair) for pair in zip(held, rows)]
             whole = len(held[0]) // size * size
             for at in range(0, whole, size):

@@ -1,6 +1,8 @@
 import math
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,6 +156,22 @@ def test_minibatches_do_not_depend_on_arrow_batches(spark):
         assert np.array_equal(one, other) and [h["train_loss"] for h in history] == [h["train_loss"] for h in again]
 
 
+def test_a_large_batch_is_widened_in_parts():
+    """The rows of a batch are not all made double at once, and minibatches are the same whatever the batches."""
+    n, layout = 20_000, training.Layout(["a"], 2, 32)
+    cells = pa.array(np.random.default_rng(0).normal(size=(n, 64)).astype(np.float32).tolist(), pa.list_(pa.float32()))
+    whole = pa.RecordBatch.from_arrays([cells, pa.array(range(n), pa.int32())], names=["cells", "_a"])
+    tracemalloc.start()
+    cut = [(len(x), int(y["a"][0])) for x, y in layout.batches(iter([whole]), 24, 16)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < n * 64 * 8 / 3
+    assert cut == [(min(24, n - at), at) for at in range(0, n, 24)]
+    parts = [whole.slice(at, 777) for at in range(0, n, 777)]
+    both = zip(layout.batches(iter([whole]), 1500, 16), layout.batches(iter(parts), 1500, 16), strict=True)
+    assert all(np.array_equal(x, u) and np.array_equal(y["a"], v["a"]) for (x, y), (u, v) in both)
+
+
 def test_every_epoch_has_another_order(spark):
     placed = training.place(rows(spark, 60), ["a", "b"], 6, 4, shards=3)
     first, again, second = (placed.permuted(1, e).collect() for e in (0, 0, 1))
