@@ -200,7 +200,7 @@ def _moments(sparse: DataFrame, width: int) -> Gram:
 
     def partial(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
         n, sums, cross = 0, np.zeros(width), np.zeros((width, width))
-        for batch in batches:
+        for batch in _parts(batches, width, 1):
             dense = _fill(batch, width)
             n, sums, cross = n + len(dense), sums + dense.sum(axis=0), cross + dense.T @ dense
         return np.concatenate([[n], sums, cross[upper]]) if n else None
@@ -208,6 +208,13 @@ def _moments(sparse: DataFrame, width: int) -> Gram:
     return Gram.from_flat(sum_over(sparse.select("cols", "vals"), partial), width)
 
 
+def _parts(batches: Iterator[pa.RecordBatch], width: int, columns: int) -> Iterator[pa.RecordBatch]:
+    """Batches of scores, cut so that ``columns`` numbers for each score, or ``width`` for each row, are few enough to hold."""
+    for batch in batches:
+        cols = batch.column(batch.schema.get_field_index("cols"))
+        yield from shares(batch, cols, max(1, CELLS_AT_ONCE // columns), max(1, CELLS_AT_ONCE // max(width, 1)))
+
+
 def _cells(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, column and value of every score in a batch."""
     cols, vals = batch.column(batch.schema.get_field_index("cols")), batch.column(batch.schema.get_field_index("vals"))
@@ -273,7 +280,7 @@ def _wide_spectrum(sparse: DataFrame, width: int, k: int) -> tuple[Spectrum, np.
 
         def partial(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
             total, seen = np.zeros((width, m)), False
-            for batch in batches:
+            for batch in _parts(batches, m, m):
                 row, column, value = _cells(batch)
                 scores = _add_rows(row, value[:, None] * block[column], batch.num_rows)
                 total += _add_rows(column, value[:, None] * scores[row], width)
@@ -325,7 +332,7 @@ def lexicon_controls(
     shared = df.sparkSession.sparkContext.broadcast(spec.loadings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches, shared.value.shape[1], shared.value.shape[1]):
             scores = _times(batch, shared.value)
             present = np.ones(batch.num_rows, dtype=bool)
             yield pa.RecordBatch.from_arrays([batch.column(0), list_array(scores, present, pa.float64())], names=[item_id, "controls"])

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from facetry.operators import lexicon, projection, ridge
@@ -163,6 +164,40 @@ def test_lexicon_counts_a_bounded_number_of_tokens_at_once(spark, monkeypatch):
     assert sorted(lexicon.category_scores(df, "item_id", "text", terms).collect()) == want and len(want) > 300
 
 
+def test_lexicon_controls_hold_a_bounded_number_of_cells(spark, monkeypatch):
+    """Batches of scores are cut before a row of numbers is held for each score; the controls are the same."""
+    df = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 11}" for j in range(1 + i % 9))) for i in range(400)], "item_id long, text string").coalesce(1)
+    terms = spark.createDataFrame([(f"c{i}", f"w{i}") for i in range(11)], "category string, term string")
+    one, fit = lexicon.lexicon_controls(df, "item_id", "text", terms, 3)
+    want, times, fill = sorted(one.collect()), lexicon._times, lexicon._fill
+
+    def bounded_times(batch, matrix):
+        if batch.num_rows > 1 and len(batch.column("cols").flatten()) * matrix.shape[1] > 120:
+            raise ValueError("too many cells at once")
+        return times(batch, matrix)
+
+    def bounded_fill(batch, width):
+        if batch.num_rows * width > 120:
+            raise ValueError("too many cells at once")
+        return fill(batch, width)
+
+    monkeypatch.setattr(lexicon, "CELLS_AT_ONCE", 120, raising=False)
+    batch = pa.RecordBatch.from_arrays([pa.array([list(range(i % 11)) for i in range(99)], pa.list_(pa.int32()))], names=["cols"])
+    parts = list(lexicon._parts(iter([batch]), 11, 3))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert all(p.num_rows * 11 <= 120 and len(p.column("cols").flatten()) * 3 <= 120 for p in parts)
+    monkeypatch.setattr(lexicon, "_times", bounded_times)
+    monkeypatch.setattr(lexicon, "_fill", bounded_fill)
+    # The function that cuts travels by value here, so that it sees the smaller bound.
+    monkeypatch.setattr(lexicon, "_parts", lambda batches, width, columns: (
+        part for batch in batches for part in lexicon.shares(batch, batch.column("cols"), 120 // columns, 120 // width)), raising=False)
+    again, other = lexicon.lexicon_controls(df, "item_id", "text", terms, 3)
+    assert np.allclose(fit.spectrum.values, other.spectrum.values, rtol=1e-12)
+    found = sorted(again.collect())
+    assert [r.item_id for r in found] == [r.item_id for r in want]
+    assert np.allclose(np.abs([r.controls for r in found]), np.abs([r.controls for r in want]), atol=1e-9)
+
+
 def test_lexicon_controls_against_numpy(spark):
     df, terms = lexicon_tables(spark)
     out, fit = lexicon.lexicon_controls(df, "item_id", "text", terms, 2)
